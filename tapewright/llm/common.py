@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
+def keep_by_text(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, with all columns, for which ``keep(texts)`` is true; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(batch["text"].to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Recent(dict):
     """A bounded memo: two generations, the older one dropped when the younger one is full.
 

@@ -12,9 +12,12 @@ from .bpe import bpe_digests
 from .chat import ESCAPES, END, NEXT, START, chat_digests
 from .common import table
 from .exact_dedup import exact_groups
+from .langid import detect_languages
 from .minhash import near_groups
 from .packing import packed_documents
+from .quality import score_quality
 from .tokencount import token_counts
+from .toxicity import score_toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -45,6 +48,14 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(turns.unionByName(spark.sql(HOSTILE)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -53,6 +64,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -62,8 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
     "op3_minhash": op3_minhash,
     "op4_chat": op4_chat,
+    "op5_toxicity": op5_toxicity,
+    "op6_langid": op6_langid,
     "op7_token_counts": op7_token_counts,
     "op8_bpe": op8_bpe,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
