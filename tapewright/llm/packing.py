@@ -34,7 +34,7 @@ class ChunkEncoder:
     by the library's model in bulk; all other chunks go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, chunks_kept: int = 600_000):
+    def __init__(self, path: str, chunks_kept: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -60,8 +60,6 @@ class ChunkEncoder:
                 self.words[word] = raw[a:b]
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self.chunks) + len(chunks) > self.kept:
-            self.chunks = {}
         if len(self.words) > self.kept:
             self.words = {}
         split = {}
@@ -71,7 +69,7 @@ class ChunkEncoder:
                 split[raw] = _LATIN.findall(chunk.lower())
             else:
                 self.chunks[raw] = np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self._learn_words(list({w for ws in split.values() for w in ws} - self.words.keys()))
+        self._learn_words(list({w for ws in split.values() for w in ws}.difference(self.words)))
         words = self.words
         for raw, ws in split.items():
             self.chunks[raw] = b"".join([words[w] for w in ws])
@@ -80,8 +78,11 @@ class ChunkEncoder:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
         for i in range(0, len(texts), 64):
             split = [(t or "").encode("utf-8", "replace").split() for t in texts[i : i + 64]]
-            if missing := set().union(*split) - self.chunks.keys():
-                self.learn(missing)
+            needed = set().union(*split)
+            missing = needed.difference(self.chunks)
+            if len(self.chunks) + len(missing) > self.kept:
+                self.chunks, missing = {}, needed
+            self.learn(missing)
             for chunks in split:
                 yield b"".join(map(self.chunks.__getitem__, chunks))
 
