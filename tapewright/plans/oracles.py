@@ -95,6 +95,7 @@ share AS (SELECT (1 - avg(is_shock::INT)) * (count(*) - 1) AS pos FROM z),
 cuts AS (SELECT {", ".join(_cut(c) for c in FLAGS)}),
 flagged AS (SELECT *, abs_return_flag OR volspike_flag AS return_or_volspike_flag FROM (SELECT z.*, {", ".join(f"z_{c} >= c_{c} AS {c}_flag" for c in FLAGS)} FROM z, cuts))"""
 W = "WITH RECURSIVE "
+CLOSED = "sec + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)"
 
 
 def _prf(t: str, p: str, rows: str, stage: int) -> str:
@@ -208,5 +209,11 @@ ORACLES: dict[str, str] = {
     "replay_k": f"""{W}{FEATS} SELECT t, t % 4 AS sym, symbol AS base, idx, {rounded('r_t')} FROM range(2000) AS r(t) JOIN feats ON symbol = (SELECT min(symbol) FROM feats) AND idx = 20 * (t % 4) + t // 4""",
     "artifact_tag": """SELECT h, 'H' || h || '_a' || (CASE WHEN h % 4 = 0 THEN (h // 4)::VARCHAR ELSE (h / 4)::DOUBLE::VARCHAR END) || '_L' || lpad(round_even(h * 100 / 64, 0)::BIGINT::VARCHAR, 2, '0') AS tag, n
         FROM (SELECT event_id % 60 + 1 AS h, count(*) AS n FROM events GROUP BY 1)""",
+    # a stream puts out the bars that ended an hour, its watermark's delay, before the newest trade
+    "stream_bars": f"WITH {BARS} SELECT symbol, {HOUR}, {rounded('sum_pq', 'sum_q', 'total_vol', 'buy_vol', 'sell_vol')}, msg_count FROM bars WHERE {CLOSED}",
+    "stream_features": f"{W}{FEATS} SELECT symbol, {HOUR}, {rounded('total_vol', 'vwap', 'buy_vol', 'sell_vol', *F6)}, msg_count, least(idx + 1, 30)::BIGINT AS window_rows FROM feats WHERE {CLOSED}",
+    "stream_scores": f"""{W}{FEATS}, scored AS (SELECT *, round(1 / (1 + exp(-(abs(r_t) - 1))), 4) AS p1, round(1 / (1 + exp(-Imbalance_t)), 4) AS p2 FROM feats WHERE {CLOSED})
+        SELECT symbol, {HOUR}, {PREDICTED.format(p2='CASE WHEN p1 >= 0.5 THEN round(p2, 6) END')} FROM scored""",
 }
+
 ORACLES = {name: _settled(sql) for name, sql in ORACLES.items()}

@@ -42,11 +42,15 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.shock_labels(feats(spark, sf_dir), HORIZON, ALPHA)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled rows with probabilities by formulas that any SQL engine computes alike, rounded so that some tie."""
+def with_formulas(df: DataFrame) -> DataFrame:
+    """Adds probabilities by formulas that any SQL engine computes alike, rounded so that some tie."""
     p1 = F.round(1 / (1 + F.exp(-(F.abs("r_t") - 1))), 4)
     p2 = F.round(1 / (1 + F.exp(-F.col("Imbalance_t"))), 4)
-    return labelled(spark, sf_dir).withColumns({"p1": p1, "p2": p2})
+    return df.withColumns({"p1": p1, "p2": p2})
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_formulas(labelled(spark, sf_dir))
 
 
 def out(df: DataFrame, *columns: str) -> DataFrame:
@@ -384,30 +388,30 @@ def _stream_dir(spark: SparkSession) -> str:
 
 
 def _live_bars(spark, sf):
+    # a stream takes a folder or a pattern, and the table may be one file
     schema = table(spark, sf, "events").schema
-    return live.stream_bars(trades_of_events(spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")), "1 hour", "1 hour")
+    return live.stream_bars(trades_of_events(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")), "1 hour", "1 hour")
 
 
 @query
 def stream_bars(spark, sf):
-    return live.run_to_table(_live_bars(spark, sf).drop("window"), _stream_dir(spark))
+    rows = live.run_to_table(_live_bars(spark, sf).drop("window"), _stream_dir(spark))
+    return out(rows, "symbol", "sec", "sum_pq", "sum_q", "total_vol", "buy_vol", "sell_vol", "msg_count")
 
 
 @query
 def stream_features(spark, sf):
     live.use_rocksdb(spark)
-    return live.run_to_table(live.stream_features(_live_bars(spark, sf), LAMBDA), _stream_dir(spark))
+    rows = live.run_to_table(live.stream_features(_live_bars(spark, sf), LAMBDA), _stream_dir(spark))
+    return out(rows, "symbol", "sec", "total_vol", "vwap", "buy_vol", "sell_vol", *FEATURES, "window_rows")
 
 
 @query
 def stream_scores(spark, sf):
     live.use_rocksdb(spark)
 
-    def formulas(df: DataFrame) -> DataFrame:
-        return df.withColumns({"p1": 1 / (1 + F.exp(-(F.abs("r_t") - 1))), "p2": 1 / (1 + F.exp(-F.col("Imbalance_t")))})
-
-    scores = live.stream_scores(live.stream_features(_live_bars(spark, sf)), formulas, TAU, TAU2)
-    return live.run_to_table(scores, _stream_dir(spark))
+    scores = live.stream_scores(live.stream_features(_live_bars(spark, sf)), with_formulas, TAU, TAU2)
+    return out(live.run_to_table(scores, _stream_dir(spark)), "symbol", "sec", "p1", "p2", "yhat")
 
 
 for _plain, _name in (("bars_hourly", "bars"), ("artifact_tag_rows", "artifact_tag")):
