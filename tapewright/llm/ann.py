@@ -134,7 +134,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
         return F.pmod(F.xxhash64(bucket, block), F.lit(cells)).alias("cell")
 
     there = hashed.select("entry", "embedding", F.explode("buckets").alias("bucket")).join(sizes, "bucket")
-    there = there.withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks"))).withColumn("cell", cell(F.col("bucket"), F.col("block")))
+    there = there.withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).withColumn("cell", cell(F.col("bucket"), F.col("block")))
 
     def probe_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CrossPolytope(dim, tables)
