@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, work_dir, written
@@ -21,6 +21,10 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch.
 SKETCH_BITS = 512
+#: Nodes of a bucket that are compared in one block.
+BLOCK = 2000
+#: Rounds in which a node is compared with one leader of its buckets.
+STARS = 2
 #: Candidates of a lower estimate are dropped: 5 standard deviations below 0.75 for these numbers.
 LEAST_ESTIMATE = 0.53
 
@@ -127,23 +131,34 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, set_digest binary, bands array<long>, sketch array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose whole shingle sets are linked; a and b are ids of ``docs``."""
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("body"))
-    need = pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct()
-    text = text.join(need.hint("shuffle_hash"), F.col("id") == F.col("need"), "left_semi").dropDuplicates(["id"])
-    both = pairs.select("a", "b").join(text.withColumnRenamed("body", "text_b"), F.col("b") == F.col("id")).drop("id")
-    both = both.join(text.withColumnRenamed("body", "text_a"), F.col("a") == F.col("id")).drop("id")
+def sifted(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose odd sketches differ little enough for a link."""
+    sketches = own.select(F.col("node").alias("of"), "sketch")
+    both = pairs.join(sketches.withColumnRenamed("sketch", "x"), F.col("a") == F.col("of")).drop("of")
+    both = both.join(sketches.withColumnRenamed("sketch", "y"), F.col("b") == F.col("of"))
+    return both.where(differing(F.col("x"), F.col("y")) <= MOST_DIFFERING).select("a", "b")
+
+
+def differing(x: Column, y: Column) -> Column:
+    """Population count of the XOR of two sketches."""
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose whole shingle sets are linked; ``texts`` (node, text) has both sides."""
+    text = texts.select(F.col("node").alias("id"), "text")
+    both = pairs.select("a", "b").join(text.withColumnRenamed("text", "text_b"), F.col("b") == F.col("id")).drop("id")
+    both = both.join(text.withColumnRenamed("text", "text_a"), F.col("a") == F.col("id")).drop("id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = shingler()
         seen: tuple = (None, None)
         for batch in batches:
             keep = []
-            for a, ta, tb in zip(batch["a"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
+            for a, ta, tb in zip(batch["a"].to_pylist(), batch["text_a"], batch["text_b"]):
                 if seen[0] != a:
-                    seen = (a, shingle(ta))
-                x, y = seen[1], shingle(tb)
+                    seen = (a, shingle(ta.as_py()))
+                x, y = seen[1], shingle(tb.as_py())
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(SHARE_OF * common >= SHARE * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -151,6 +166,91 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
+def links_across(left: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) between nodes of different components of a bucket; ``left`` has bucket, node, root and n, its size.
+
+    A bucket is cut into blocks of about BLOCK nodes, and each pair of blocks is one piece of work, so a bucket of very
+    many nodes is spread over tasks and no pair is ever a row. A pair that shares several buckets is looked at in the
+    first of its bands only.
+    """
+    rows = left.join(own.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
+    rows = rows.join(texts.select(F.col("node").alias("of"), "text"), F.col("node") == F.col("of")).drop("of")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
+    rows = rows.select("bucket", "lo", "hi", "block", "node", "root", "sketch", "bands", "text")
+    rows = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, ["bucket", "lo", "hi"]):
+            found = _links_in(group)
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*found) if found else ((), ()))], schema=schema)
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of the adjacent rows that agree in ``keys``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        ends = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows]):
+            key = tuple(c[lo] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _links_in(group: pa.Table) -> list[tuple[int, int]]:
+    """Confirmed links of one pair of blocks; pairs that the links found so far join already are left out."""
+    n = group.num_rows
+    node, block = group["node"].to_numpy(), group["block"].to_numpy()
+    root = {x: r for x, r in zip(node.tolist(), group["root"].to_pylist())}
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)  # signed ones count as absolute
+    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+    here = group["bucket"][0].as_py()
+    one, shingle, sets, out = group["lo"][0] == group["hi"][0], shingler(), {}, []
+    roots = group["root"].to_numpy()
+    for i in range(0, n, 64):
+        apart = np.bitwise_count(sketch[i : i + 64, None, :] ^ sketch[None, :, :]).sum(axis=2)
+        fit = (apart <= MOST_DIFFERING) & (roots[i : i + 64, None] != roots[None, :]) & (node[i : i + 64, None] < node[None, :])
+        if not one:
+            fit &= block[i : i + 64, None] != block[None, :]
+        at, to = np.nonzero(fit)
+        at += i
+        same = bands[at] == bands[to]
+        first = bands[at, same.argmax(axis=1)] == here
+        for x, y in zip(at[first].tolist(), to[first].tolist()):
+            a, b = int(node[x]), int(node[y])
+            p, q = top(root[a]), top(root[b])
+            if p == q:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = shingle(group["text"][k].as_py())
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if SHARE_OF * common >= SHARE * (len(sets[x]) + len(sets[y]) - common):
+                above[max(p, q)] = min(p, q)
+                out.append((a, b))
+    return out
+
+
 def components(edges: DataFrame, path: str) -> DataFrame:
     """(node, root): the smallest node that is reachable, for every node of ``edges`` (a, b) that isn't its own root.
 
@@ -182,39 +282,47 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Two documents are linked if their sets of five-word shingles have 100 * intersection >= 75 * union; component_id is
     the smallest doc_id that links lead to, and that document is kept. A text of fewer words is one shingle; null,
-    empty and blank texts have none and are linked with nothing. Rows that repeat a doc_id with one text are alike. A
-    null doc_id links with nothing: its component_id is null and it is kept. Other columns are ignored.
-
-    Equal sets are one node. In each band's bucket all nodes are compared with the bucket's smallest one, so a bucket of
-    n nodes has n - 1 candidates. Nodes that are then still in different components of a bucket are compared with each
-    other, component by component, so no link is lost; candidates below an odd-sketch estimate are dropped first.
+    empty and blank texts have none and are linked with nothing. doc_id is a key: rows that repeat it are one document.
+    A null doc_id links with nothing: its component_id is null and it is kept. Other columns are ignored.
+
+    Equal sets are one node. Nodes that share a band's bucket are candidates. In each of STARS rounds a node that is in
+    another component than the leading node of one of its buckets is compared with one such leader, so a large group
+    grows together along few comparisons. Then all nodes of a bucket that are still in different components are
+    compared with each other, so no link is lost. Candidates of a low odd-sketch estimate are dropped, the others
+    confirmed on their whole sets.
     """
     path = work_dir(docs.sparkSession)
     signed = written(signatures(docs), f"{path}/signed")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = known.groupBy(F.col("set_digest").alias("digest")).agg(F.min("doc_id").alias("node"))
     nodes = written(nodes, f"{path}/nodes")
-    # a repeated id with different texts: its sets are one node, that of the smallest digest
     own = known.select("doc_id", "set_digest", "bands", "sketch").join(nodes, (F.col("set_digest") == F.col("digest")) & (F.col("doc_id") == F.col("node")))
-    own = own.dropDuplicates(["node", "set_digest"]).select("node", "sketch", "bands")
-    held = written(own.select("node", "sketch", F.posexplode("bands").alias("band", "bucket")).select("node", "sketch", "bucket"), f"{path}/bands")
-    least = held.groupBy(F.col("bucket").alias("in")).agg(F.min_by("sketch", "node").alias("sketch_a"), F.min("node").alias("a"), F.count(F.lit(1)).alias("n"))
-    shared = least.where("n > 1").drop("n")
-    near = F.aggregate(F.zip_with("sketch_a", "sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= MOST_DIFFERING
-    star = held.join(shared, F.col("bucket") == F.col("in")).where((F.col("node") != F.col("a")) & near).select("a", F.col("node").alias("b")).distinct()
-    star = written(confirmed(star, docs), f"{path}/star")
-    roots = components(star, f"{path}/first")
-
-    # what a bucket still holds of several components; of a component's nodes all, since any may have the link
-    placed = held.join(roots, held["node"] == roots["node"], "left").select(held["node"], "sketch", "bucket", F.coalesce("root", held["node"]).alias("root"))
-    mixed = placed.groupBy(F.col("bucket").alias("in")).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("in")
-    left = written(placed.join(mixed, F.col("bucket") == F.col("in"), "left_semi"), f"{path}/left")
-    other = left.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("bucket").alias("in"), F.col("root").alias("root_a"))
-    pairs = left.join(other, (F.col("bucket") == F.col("in")) & (F.col("a") < F.col("node")) & (F.col("root") != F.col("root_a")) & near)
-    pairs = pairs.select("a", F.col("node").alias("b")).distinct()
-    more = written(confirmed(pairs, docs), f"{path}/more")
-    if not more.isEmpty():
-        roots = components(star.union(more), f"{path}/second")
+    own = written(own.dropDuplicates(["node"]).select("node", "sketch", "bands"), f"{path}/own")
+    held = own.select("node", F.explode("bands").alias("bucket"))
+    shared = held.groupBy(F.col("bucket").alias("in")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("in")
+    held = written(held.join(shared, F.col("bucket") == F.col("in"), "left_semi"), f"{path}/held")
+    need = held.select(F.col("node").alias("need")).distinct().hint("shuffle_hash")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+    texts = written(texts.join(need, F.col("node") == F.col("need"), "left_semi"), f"{path}/texts").dropDuplicates(["node"])
+    roots = held.select("node", F.col("node").alias("root")).limit(0)
+    links = held.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for turn in range(STARS + 1):
+        placed = held.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
+        if turn:
+            placed = written(placed, f"{path}/placed{turn}")
+        lead = (F.min if turn % 2 == 0 else F.max)(F.struct("node", "root")).alias("lead")
+        mixed = placed.groupBy(F.col("bucket").alias("in")).agg(lead, F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y")
+        if turn < STARS:
+            star = placed.join(mixed, F.col("bucket") == F.col("in")).where(F.col("root") != F.col("lead.root"))
+            pairs = star.groupBy(F.col("node").alias("b")).agg(F.min("lead.node").alias("a"))
+            found = confirmed(written(sifted(pairs, own), f"{path}/sifted{turn}"), texts)
+        else:
+            sized = placed.join(mixed.select("in", "n"), F.col("bucket") == F.col("in")).select("bucket", "node", "root", "n")
+            found = links_across(written(sized, f"{path}/left"), own, texts)
+        found = written(found, f"{path}/links{turn}")
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = components(links, f"{path}/turn{turn}")
     joined = signed.join(nodes, F.col("set_digest") == F.col("digest"), "left")
     joined = joined.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id"))
