@@ -16,8 +16,12 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, read through Spark only, so any Hadoop path works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables, read through Spark only, so any Hadoop path works.
+
+    A table of fewer splits than the cluster has cores is dealt out to them; large tables are left as they are.
+    """
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def work_dir(spark: SparkSession) -> str:
