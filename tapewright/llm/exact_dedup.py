@@ -66,14 +66,20 @@ def exact_groups(docs: DataFrame, keys=strong_keys) -> DataFrame:
     group without one keeps its rows, with keep_id null. Rows that repeat both doc_id and text share their fate. An
     empty table gives no rows; other columns of ``docs`` are ignored, whatever their names.
 
-    The lists are compared, never the texts: sizes and smallest ids are summed before they are shuffled, and the join
-    back has one row per list on one side, so a list that a third of all documents share is split by skew handling.
+    The lists are compared, never the texts: sizes and smallest ids are summed before they are shuffled. Only lists that
+    occur more than once are joined back, as a table of one row for each, so that a list that a third of all documents
+    share is split by skew handling and a short table is broadcast once its size is known.
     """
-    rows = written(recipes(docs, keys), f"{work_dir(docs.sparkSession)}/recipes")
-    groups = rows.groupBy(F.col("recipe").alias("list")).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = rows.join(groups, F.col("recipe") == F.col("list"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    path = work_dir(docs.sparkSession)
+    rows = written(recipes(docs, keys), f"{path}/recipes")
+    groups = rows.groupBy(F.col("recipe").alias("list")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    repeated = written(groups.where("n > 1"), f"{path}/repeated")
+    joined = rows.join(repeated, F.col("recipe") == F.col("list"), "left")
+    keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    size = F.coalesce("n", F.lit(1).cast("long"))
+    return joined.select("doc_id", keep_id.alias("keep_id"), size.alias("group_size"), "text_sha256").select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
