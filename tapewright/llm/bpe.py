@@ -10,45 +10,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent
+from .common import Recent, held
 from .pretokens import PATTERN, UnitMemo, compiled
 
 
 class RankQueue:
-    """Positions by merge rank; three levels of 64-bit masks lead to the lowest rank that has any."""
+    """Positions by merge rank; two levels of 256-bit masks lead to the lowest rank that has any.
+
+    A bucket is a position or, where several wait, a heap of them.
+    """
 
     def __init__(self, ranks: int):
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (ranks // 4096 + 1)
+        self.low = [0] * (ranks // 256 + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        held = self.buckets.get(rank)
-        if held is not None:
-            heapq.heappush(held, position)
-            return
-        self.buckets[rank] = [position]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
+        waiting = self.buckets.get(rank)
+        if waiting is None:
+            self.buckets[rank] = position
+            word = rank >> 8
+            if not self.low[word]:
+                self.top |= 1 << word
+            self.low[word] |= 1 << (rank & 255)
+        elif type(waiting) is list:
+            heapq.heappush(waiting, position)
+        else:
+            self.buckets[rank] = [waiting, position] if waiting < position else [position, waiting]
 
     def pop(self) -> tuple[int, int] | None:
         """The leftmost position of the lowest rank."""
-        if not self.top:
+        top = self.top
+        if not top:
             return None
-        a = (self.top & -self.top).bit_length() - 1
-        b = a << 6 | (self.mid[a] & -self.mid[a]).bit_length() - 1
-        rank = b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
-        held = self.buckets[rank]
-        position = heapq.heappop(held)
-        if not held:
-            del self.buckets[rank]
-            self.low[b] &= self.low[b] - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
+        word = (top & -top).bit_length() - 1
+        mask = self.low[word]
+        bit = mask & -mask
+        rank = word << 8 | bit.bit_length() - 1
+        waiting = self.buckets[rank]
+        if type(waiting) is list:
+            position = heapq.heappop(waiting)
+            if waiting:
+                return rank, position
+        else:
+            position = waiting
+        del self.buckets[rank]
+        self.low[word] = mask ^ bit
+        if mask == bit:
+            self.top = top & (top - 1)
         return rank, position
 
 
@@ -118,14 +127,9 @@ class Bpe:
         return b"".join(map(self.vocabulary.__getitem__, memoryview(ids).cast("I"))) if ids else b""
 
 
-_CODERS: dict[tuple[str, str], Bpe] = {}
-
-
 def coder(path: str, pattern: str) -> Bpe:
     """One for each Python worker and file."""
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = Bpe.from_file(path, pattern)
-    return _CODERS[path, pattern]
+    return held(f"coder {path} {pattern}", lambda: Bpe.from_file(path, pattern))
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,6 +77,22 @@ def keep_by_text(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]
     return docs.mapInArrow(run, docs.schema)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """One object for each Python worker, kept from task to task; one of another name takes its place.
+
+    Workers outlive jobs, so without that the memos of one job would stay in memory during the next.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 class Recent(dict):
     """A bounded memo: two generations, the older one dropped when the younger one is full.
 

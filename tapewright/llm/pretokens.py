@@ -34,7 +34,7 @@ class UnitMemo:
     so units can be looked up on their own. Results are kept in bounded memos.
     """
 
-    def __init__(self, make: Callable[[str], object], at_most: int = 300_000):
+    def __init__(self, make: Callable[[str], object], at_most: int = 200_000):
         self.plain = Recent(make, at_most)
         self.spaced = Recent(lambda word: make(" " + word), at_most)
 

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent
+from .common import Recent, held
 from .pretokens import PATTERN, UnitMemo, compiled
 
 NEVER = 1 << 60
@@ -162,14 +162,9 @@ class TokenCounter:
         return at
 
 
-_COUNTERS: dict[str, TokenCounter] = {}
-
-
 def counter(path: str) -> TokenCounter:
     """One for each Python worker and file."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = TokenCounter(path)
-    return _COUNTERS[path]
+    return held(f"counter {path}", lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, prefixes: bool = False) -> DataFrame:
