@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, work_dir, written
+from .common import Recent, held, work_dir, written
 
 WORDS = 5
 #: Linked: SHARE_OF * intersection >= SHARE * union.
@@ -39,7 +39,7 @@ _SPREAD = _RANDOM.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + n
 class Shingler:
     """The set of word shingles of a text as sorted distinct 64-bit hashes."""
 
-    def __init__(self, words_kept: int = 500_000):
+    def __init__(self, words_kept: int = 200_000):
         self.words = Recent(xxhash.xxh3_64_intdigest, words_kept)
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -60,14 +60,9 @@ class Shingler:
         return np.unique(got)
 
 
-_SHINGLER: list[Shingler] = []
-
-
 def shingler() -> Shingler:
     """One for each Python worker."""
-    if not _SHINGLER:
-        _SHINGLER.append(Shingler())
-    return _SHINGLER[0]
+    return held("shingles", Shingler)
 
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
@@ -192,7 +187,7 @@ def links_across(left: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the adjacent rows that agree in ``keys``."""
-    held: list[pa.RecordBatch] = []
+    parts: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -201,13 +196,13 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         ends = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
         for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows]):
             key = tuple(c[lo] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
+            if parts and key != last:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            parts.append(batch.slice(lo, hi - lo))
             last = key
-    if held:
-        yield pa.Table.from_batches(held)
+    if parts:
+        yield pa.Table.from_batches(parts)
 
 
 def _links_in(group: pa.Table) -> list[tuple[int, int]]:
@@ -298,16 +293,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     nodes = written(nodes, f"{path}/nodes")
     own = known.select("doc_id", "set_digest", "bands", "sketch").join(nodes, (F.col("set_digest") == F.col("digest")) & (F.col("doc_id") == F.col("node")))
     own = written(own.dropDuplicates(["node"]).select("node", "sketch", "bands"), f"{path}/own")
-    held = own.select("node", F.explode("bands").alias("bucket"))
-    shared = held.groupBy(F.col("bucket").alias("in")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("in")
-    held = written(held.join(shared, F.col("bucket") == F.col("in"), "left_semi"), f"{path}/held")
-    need = held.select(F.col("node").alias("need")).distinct().hint("shuffle_hash")
+    shares = own.select("node", F.explode("bands").alias("bucket"))
+    shared = shares.groupBy(F.col("bucket").alias("in")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("in")
+    shares = written(shares.join(shared, F.col("bucket") == F.col("in"), "left_semi"), f"{path}/held")
+    need = shares.select(F.col("node").alias("need")).distinct().hint("shuffle_hash")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
     texts = written(texts.join(need, F.col("node") == F.col("need"), "left_semi"), f"{path}/texts").dropDuplicates(["node"])
-    roots = held.select("node", F.col("node").alias("root")).limit(0)
-    links = held.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    roots = shares.select("node", F.col("node").alias("root")).limit(0)
+    links = shares.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for turn in range(STARS + 1):
-        placed = held.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
+        placed = shares.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
         if turn:
             placed = written(placed, f"{path}/placed{turn}")
         lead = (F.min if turn % 2 == 0 else F.max)(F.struct("node", "root")).alias("lead")

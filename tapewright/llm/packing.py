@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_dir, written
+from .common import held, work_dir, written
 
 WINDOW, END_ID = 4096, 2
 #: Pieces that one task packs together; a window is left part empty about once for so many pieces.
@@ -34,7 +34,7 @@ class ChunkEncoder:
     by the library's model in bulk; all other chunks go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, chunks_kept: int = 800_000):
+    def __init__(self, path: str, chunks_kept: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -87,14 +87,9 @@ class ChunkEncoder:
                 yield b"".join(map(self.chunks.__getitem__, chunks))
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each Python worker and file; its memo serves the worker's later tasks too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: ChunkEncoder(path))
 
 
 def tokenised_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, fold, keep_by_text, labelled_sample, work_dir, written
+from .common import Recent, fold, held, keep_by_text, labelled_sample, work_dir, written
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents that the lexicon and the weights are learnt from, at most.
@@ -53,7 +54,7 @@ class Grammar:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.symbols = Recent(self._symbol, 400_000)
+        self.symbols = Recent(self._symbol, 200_000)
 
     def _symbol(self, word: str) -> tuple[int, float] | None:
         if word in _FIXED and word not in self.lexicon:
@@ -114,16 +115,11 @@ class ToxicityModel:
 
     def __init__(self, lexicon: dict[str, float], weights: np.ndarray, centre: np.ndarray, scale: np.ndarray):
         self.lexicon, self.weights, self.centre, self.scale = lexicon, weights, centre, scale
-        self._grammar: Grammar | None = None
+        self.name = f"grammar {uuid.uuid4().hex}"
 
     def grammar(self) -> Grammar:
-        """One for each copy of the model, so that its memo lasts from batch to batch."""
-        if self._grammar is None:
-            self._grammar = Grammar(self.lexicon)
-        return self._grammar
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_grammar": None}
+        """One for each Python worker, so that its memo lasts from task to task."""
+        return held(self.name, lambda: Grammar(self.lexicon))
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         x = np.clip((features - self.centre) / self.scale, -20, 20)
@@ -225,8 +221,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | No
             yield pa.record_batch([batch["doc_id"], pa.array(shared.value.scores(x))], schema=schema)
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
-    held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
