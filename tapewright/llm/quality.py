@@ -36,8 +36,9 @@ def shape(word: str) -> str:
 
 
 def _word(word: str) -> int:
-    """Both features of a word in one number."""
-    return xxhash.xxh3_64_intdigest(word.lower()) % WORDS << 16 | WORDS + xxhash.xxh3_64_intdigest(shape(word)) % SHAPES
+    """Both features of a word in one number of 32 bits, and above them how many letters it has."""
+    both = xxhash.xxh3_64_intdigest(word.lower()) % WORDS << 16 | WORDS + xxhash.xxh3_64_intdigest(shape(word)) % SHAPES
+    return sum(map(str.isalpha, word)) << 32 | both
 
 
 class Featuriser:
@@ -55,13 +56,14 @@ class Featuriser:
         whole[min(15, n.bit_length())] = 1
         if not n:
             return out
-        both = np.fromiter(map(self.words.__getitem__, words), np.int64, n)
+        found = np.fromiter(map(self.words.__getitem__, words), np.int64, n)
+        letters, both = int((found >> 32).sum()), found & 0xFFFFFFFF  # white space has no letters
         ids = np.concatenate((both >> 16, both & 0xFFFF))
         out[: WORDS + SHAPES] = np.log1p(np.bincount(ids, minlength=WORDS + SHAPES)[: WORDS + SHAPES])
         # shares in steps, so that texts alike in them share features
         same = float((both[1:] == both[:-1]).mean()) if n > 1 else 0.0
         lines = text.split("\n")
-        facts = (same, len(set(words)) / n, 1 - len(set(lines)) / len(lines), sum(map(str.isalpha, text[:: max(1, len(text) // 4096)])) / min(len(text), 4096 + 4095))
+        facts = (same, len(set(words)) / n, 1 - len(set(lines)) / len(lines), letters / len(text))
         for i, share in enumerate(facts):
             whole[16 + 12 * i + min(11, int(share * 12))] = 1
         return out

@@ -77,6 +77,14 @@ def test_votes_equal_a_plain_neighbour_search():
         assert abs(got - (w * labels[near]).sum() / w.sum()) < 1e-4
 
 
+def test_letter_share_is_of_the_whole_text():
+    featurise = quality.Featuriser()
+    share = lambda text: int(np.flatnonzero(featurise(text)[quality.WORDS + quality.SHAPES + 16 + 36 :][:12])[0])
+    for text in ("gr\u00fcn x1 42 \u00df\u0416 " * 100, "a" * 2000, "ab 12\n" * 300, "%% " * 700 + "a"):
+        assert share(text) == share(text * 10) == min(11, int(sum(map(str.isalpha, text)) / len(text) * 12))
+    assert [share("a" * n) for n in (8191, 8192, 12_287, 20_000, 128_657)] == [11] * 5
+
+
 def test_scores_of_odd_rows_and_no_labels(spark):
     docs, nothing = documents(spark, odd_rows()), spark.createDataFrame([], LABELS)
     some = spark.createDataFrame([(4, 1, 1, "x"), (5, 0, 0, None), (None, 1, 1, "x"), (6, None, None, "x"), (4, 1, 1, "x"), (7, 1, 0, "x")], LABELS)
