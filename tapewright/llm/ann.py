@@ -96,11 +96,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id. score is the Euclidean distance in
     double precision; ties go to the smaller vec_id. Vectors that are null, zero or have null or non-finite components
     take no part, nor do rows without vec_id and vectors of another length than most have. With fewer candidates than
-    k all that were found are returned. Other columns are ignored; an empty table gives no rows.
+    k all are returned. Other columns are ignored; an empty table gives no rows.
 
     Equal vectors are one entry that keeps its k + 1 smallest ids, enough for any answer. Entries are hashed once and
     sent to their bucket of each table, queries to the buckets they probe; a bucket of many entries is dealt out in
     blocks, and each task returns its k best for a query. So what is shuffled follows the rows, not the candidates.
+    Queries that found fewer than k that way are compared with all entries, block by block.
     """
     spark = vectors.sparkSession
     path = work_dir(spark)
@@ -128,7 +129,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     # one row for each bucket: their number is fixed by the tables and the vectors' length
     sizes = hashed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     sizes = F.broadcast(sizes)
-    cells = max(1, -(-hashed.count() * tables // CELL))
+    total = hashed.count()
+    cells = max(1, -(-total * tables // CELL))
 
     def cell(bucket: Column, block: Column) -> Column:
         return F.pmod(F.xxhash64(bucket, block), F.lit(cells)).alias("cell")
@@ -180,13 +182,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
         types = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, types)], names=["entry", "near", "score"])
 
-    found = there.select("cell", "bucket", "entry", "embedding").groupBy("cell").cogroup(asking.groupBy("cell")).applyInArrow(search, "entry long, near long, score double")
-    best = Window.partitionBy("entry").orderBy("score", "near")
-    found = found.distinct().withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
-    spread = found.join(hashed.select(F.col("entry").alias("near"), "ids"), "near").select("entry", "score", F.explode("ids").alias("vec_id"))
-    best = Window.partitionBy("entry").orderBy("score", "vec_id")
-    spread = spread.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
-    answers = queries.select("query_id", "entry").join(spread, "entry").where(F.col("vec_id") != F.col("query_id"))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    answers = answers.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score")
-    return answers.where(F.col("rank") <= k)
+    def ranked(there: DataFrame, asking: DataFrame, queries: DataFrame) -> DataFrame:
+        there = there.select("cell", "bucket", "entry", "embedding").groupBy("cell")
+        found = there.cogroup(asking.groupBy("cell")).applyInArrow(search, "entry long, near long, score double")
+        best = Window.partitionBy("entry").orderBy("score", "near")
+        found = found.distinct().withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
+        spread = found.join(hashed.select(F.col("entry").alias("near"), "ids"), "near").select("entry", "score", F.explode("ids").alias("vec_id"))
+        best = Window.partitionBy("entry").orderBy("score", "vec_id")
+        spread = spread.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
+        answers = queries.select("query_id", "entry").join(spread, "entry").where(F.col("vec_id") != F.col("query_id"))
+        best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        answers = answers.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score")
+        return answers.where(F.col("rank") <= k)
+
+    probed = written(ranked(there, asking, queries), f"{path}/probed")
+    full = probed.where(F.col("rank") == k).select("query_id")
+    short = written(queries.join(full, "query_id", "left_anti"), f"{path}/short")
+    missing = short.count()
+    if not missing:
+        return probed
+    blocks, parts = max(spark.sparkContext.defaultParallelism, -(-total // BLOCK)), -(-missing // BLOCK)
+
+    def dealt(n: int) -> Column:
+        return F.pmod(F.xxhash64("entry"), F.lit(n))
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    there = hashed.select("entry", "embedding", dealt(blocks).alias("block"), each(parts).alias("part"))
+    there = there.select((F.col("block") * parts + F.col("part")).alias("cell"), F.lit(0).cast("long").alias("bucket"), "entry", "embedding")
+    asking = short.groupBy("entry").agg(F.first("embedding").alias("embedding")).select("entry", "embedding", dealt(parts).alias("part"), each(blocks).alias("block"))
+    asking = asking.select((F.col("block") * parts + F.col("part")).alias("cell"), "entry", "embedding", F.array(F.lit(0).cast("long")).alias("buckets"))
+    rest = probed.join(short.select("query_id").distinct(), "query_id", "left_anti")
+    return rest.unionByName(ranked(there, asking, short))

@@ -44,6 +44,18 @@ def test_fewer_candidates_than_k(spark):
     assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 2), (2, 1)]
 
 
+def test_queries_that_probe_too_few_buckets_get_all_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    few = [(i, rng.standard_normal(64).tolist()) for i in range(8)]
+    hot = np.r_[1.0, np.zeros(63)] + rng.standard_normal((300, 64)) * 0.01
+    hot[0] = -hot[0]  # the query points away from all others
+    for rows, step, block in ((few, 1, 20_000), (few, 1, 3), (list(enumerate(hot.tolist())), 1000, 20_000)):
+        monkeypatch.setattr(ann, "BLOCK", block)
+        got = ann.nearest(vectors(spark, rows), F.col("vec_id") % step == 0).collect()
+        found = {q: [v for _, v in sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)] for q, _ in rows if q % step == 0}
+        assert found == {q: [v for _, v in best] for q, best in by_hand(rows, step=step).items()}
+
+
 def test_recall_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1500, 64))
