@@ -357,7 +357,8 @@ def artifact_tag_rows(spark, sf):
 
 def _two_stage(spark, sf, kind):
     rows = split.two_way(_split(spark, sf), 0.2, HORIZON).select("symbol", "sec", "part", "y", *FEATURES).cache()
-    both = training.two_stage(rows.where("part = 'train'"), rows.where("part = 'val'"), kind, 10)
+    val = rows.where("part = 'val'")
+    both = training.two_stage(rows.where("part = 'train'"), val, kind, validation=val)
     return score.gate(both, TAU, TAU2).select("symbol", "sec", "y", "p1", "p2", "yhat")
 
 

@@ -16,6 +16,8 @@ from ..operators.score import class_weights, fit_scaler, gate, scale
 from ..schema import FEATURES
 
 KINDS = ("lr", "rf", "gbt")
+#: Boosting rounds without a better validation loss after which later ones no longer count.
+PATIENCE = 80
 
 
 def estimator(kind: str, stage: int, weight_sum: float, rounds: int = 50):
@@ -33,13 +35,38 @@ def estimator(kind: str, stage: int, weight_sum: float, rounds: int = 50):
     raise ValueError(f"unknown model {kind}")
 
 
-def fit_stage(train: DataFrame, kind: str, stage: int, rounds: int = 50) -> PipelineModel:
-    """Fits one stage on scaled rows with y1 and y2; classes are weighted to count alike. Stage 2 sees shocks only."""
+def best_round(losses: list[float], patience: int = PATIENCE) -> int:
+    """How many rounds early stopping keeps: up to the least loss that was reached before patience ran out."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_stage(train: DataFrame, kind: str, stage: int, rounds: int = 50, validation: DataFrame | None = None) -> PipelineModel:
+    """Fits one stage on scaled rows with y1 and y2; classes are weighted to count alike. Stage 2 sees shocks only.
+
+    With ``validation``, rows like ``train``, boosting of stage 2 stops early by the log loss on their shocks. Spark's
+    validationIndicatorCol gives up at the first round that gains little, so all rounds are fitted and then, with the
+    same seed, the best number of them.
+    """
     rows = require_shocks(train) if stage == 2 else train
     w = class_weights(rows, f"y{stage}").first()
     balanced = F.when(F.col(f"y{stage}") == 1, w["weight_pos"]).otherwise(w["weight_neg"] or 1.0)
-    stages = [VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip"), estimator(kind, stage, float(w["n"]), rounds)]
-    return Pipeline(stages=stages).fit(rows.withColumn("weight", balanced))
+    assembler, weighted = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip"), rows.withColumn("weight", balanced)
+
+    def fit(n: int) -> PipelineModel:
+        return Pipeline(stages=[assembler, estimator(kind, stage, float(w["n"]), n)]).fit(weighted)
+
+    model = fit(rounds)
+    if kind == "gbt" and stage == 2 and validation is not None:
+        shocks = assembler.transform(validation.where("y != 0").withColumn("weight", F.lit(1.0)))
+        if not shocks.isEmpty() and (best := best_round(model.stages[-1].evaluateEachIteration(shocks))) < rounds:
+            model = fit(best)
+    return model
 
 
 def probability(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
@@ -48,13 +75,17 @@ def probability(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "prediction")
 
 
-def two_stage(train: DataFrame, rows: DataFrame, kind: str, rounds: int = 50) -> DataFrame:
-    """``rows`` with p1 and p2 of models fitted on ``train``; both are split, labelled rows with features. Scaled by train."""
+def two_stage(train: DataFrame, rows: DataFrame, kind: str, rounds: int = 50, validation: DataFrame | None = None) -> DataFrame:
+    """``rows`` with p1 and p2 of models fitted on ``train``; both are split, labelled rows with features. Scaled by train.
+
+    ``validation`` is for the early stop of ``fit_stage``.
+    """
     scaler = fit_scaler(train)
     fitted = scale(stage_targets(train), scaler).cache()
     scored = scale(stage_targets(rows), scaler)
+    held = None if validation is None else scale(stage_targets(validation), scaler)
     for stage in (1, 2):
-        scored = probability(fit_stage(fitted, kind, stage, rounds), scored, f"p{stage}")
+        scored = probability(fit_stage(fitted, kind, stage, rounds, held), scored, f"p{stage}")
     return scored
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import anomaly, metrics, score
 from tapewright.operators.infer import infer_feature_cols, infer_label_col, infer_time_col
-from tapewright.plans import training
+from tapewright.plans import queries, training
 from tapewright.schema import FEATURES
 
 
@@ -44,6 +44,30 @@ def test_two_stages_beat_chance_and_tune(spark, kind):
     assert {r["stage"] for r in prf.collect()} == {1, 2} and report.count() == 6
 
 
+def test_early_stop_keeps_the_best_round(spark):
+    assert [training.best_round(x, 2) for x in ([3, 2, 1], [3, 1, 2, 2, 0], [3, 1, 2, 0, 4], [1])] == [3, 2, 4, 1]
+    train = rows(spark, 300).where("y != 0").withColumns({"y1": F.lit(1), "y2": (F.rand(3) < 0.5).cast("int")}).cache()  # nothing to learn
+    n = lambda m: m.stages[-1].getNumTrees
+    assert n(training.fit_stage(train, "gbt", 2, 6)) == 6
+    wrong = train.withColumn("y2", 1 - F.col("y2"))
+    assert n(training.fit_stage(train, "gbt", 2, 6, wrong)) == 1 and n(training.fit_stage(train, "gbt", 2, 6, train)) == 6
+
+
+@pytest.mark.parametrize("kind", ["lr", "rf", "gbt"])
+def test_queries_fit_the_rounds_of_the_operator(spark, monkeypatch, kind):
+    seen = []
+
+    def fitted(train, val, kind, rounds=50, validation=None):
+        seen.append((rounds, validation is val))
+        return val.withColumns({"p1": F.lit(0.5), "p2": F.lit(0.5)})
+
+    part = spark.createDataFrame([("a", 1, "val", 0, *[0.5] * 6)], "symbol string, sec int, part string, y int, " + ", ".join(f"{c} double" for c in FEATURES))
+    monkeypatch.setattr(queries, "_split", lambda spark, sf: part)
+    monkeypatch.setattr(queries.split, "two_way", lambda df, *a: df)
+    monkeypatch.setattr(queries.training, "two_stage", fitted)
+    assert queries._two_stage(spark, "", kind).count() == 1 and seen == [(50, True)]
+
+
 def test_gate_runs_the_second_model_on_passing_rows_only(spark):
     df = spark.createDataFrame([(1, 0.2), (2, 0.9), (3, 0.5), (4, None)], "id int, p1 double")
     seen = []
