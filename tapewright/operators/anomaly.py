@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schema import FEATURES
 
@@ -85,16 +86,23 @@ def _depths(tree: dict, x: np.ndarray, rows: np.ndarray, out: np.ndarray, depth:
     _depths(tree["r"], x, rows[~left], out, depth + 1)
 
 
-def isolation_scores(df: DataFrame, columns: list[str] = FEATURES, trees: int = 50, sample: int = 256, seed: int = 7) -> DataFrame:
+def _largest_hash(n: int, sample: int) -> int:
+    """The 64-bit hash up to which more than ``sample`` of ``n`` rows lie, all but surely."""
+    return min(2**63 - 1, (2**64 * (2 * sample + 64)) // max(n, 1) - 2**63)
+
+
+def isolation_scores(df: DataFrame, columns: list[str] = FEATURES, trees: int = 50, sample: int = 256, seed: int = 7, key: list[str] | None = None) -> DataFrame:
     """Adds score, from 0 to 1, higher where few random cuts isolate a row.
 
-    Each tree is grown from about ``sample`` rows dealt to it by hash; trees grow in parallel. All trees together are
+    Each tree is grown from the ``sample`` rows of least hash of ``key`` and tree, limited in every task first; trees
+    grow in parallel. ``key`` tells rows apart, all columns by default; rows equal in it are drawn together. All trees together are
     trees * sample nodes at most, which is what is sent to the executors.
     """
     n = df.count()
-    rate = min(1.0, sample / max(n, 1))
-    each = df.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), *columns)
-    picked = each.where(F.pmod(F.xxhash64(*columns, "tree", F.lit(seed)), F.lit(1_000_000)) < int(rate * 1_000_000))
+    each = df.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.xxhash64(*(key or df.columns)).alias("row_hash"), *columns)
+    each = each.withColumn("draw", F.xxhash64("row_hash", "tree", F.lit(seed))).where(F.col("draw") <= _largest_hash(n, sample))
+    least = Window.partitionBy("tree").orderBy("draw", *columns)
+    picked = each.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= sample).select("tree", *columns)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(columns)[columns].to_numpy(float)

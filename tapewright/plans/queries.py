@@ -379,7 +379,7 @@ def gbt_scores(spark, sf):
 
 @query
 def isolation_forest_flags(spark, sf):
-    rows = anomaly.isolation_scores(labelled(spark, sf).select("symbol", "sec", "y", *FEATURES))
+    rows = anomaly.isolation_scores(labelled(spark, sf).select("symbol", "sec", "y", *FEATURES), key=["symbol", "sec"])
     return anomaly.top_share_flags(rows, ["score"], 0.2).select("symbol", "sec", "y", "score", "score_flag")
 
 

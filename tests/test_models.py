@@ -100,6 +100,16 @@ def test_isolation_forest_ranks_outliers_first_and_repeats(spark):
     assert [r["score"] for r in anomaly.isolation_scores(df, trees=20).orderBy(F.desc("score")).limit(5).collect()] == [r["score"] for r in a]
 
 
+def test_isolation_forest_draws_copies_of_a_hot_vector_one_by_one(spark):
+    rng = np.random.default_rng(9)
+    data = [tuple(map(float, v)) for v in rng.standard_normal((2000, 6))] + [(3.0,) * 6] * 1000
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(data)], "id long, " + ", ".join(f"{c} double" for c in FEATURES))
+    got = {r["id"]: r["score"] for r in anomaly.isolation_scores(df, trees=20).collect()}
+    others = sorted(got[i] for i in range(2000))
+    assert len(got) == 3000 and got[2000] == got[2999] < others[1000]
+    assert anomaly._largest_hash(300, 256) == 2**63 - 1 and anomaly._largest_hash(10**12, 256) > -(2**63) + 10**9
+
+
 def test_columns_are_inferred(spark):
     df = spark.createDataFrame([(0.5, 1, 2.0, "t")], "y double, label int, r_t double, ts string")
     assert infer_label_col(df) == "label" and infer_time_col(df) == "ts" and infer_feature_cols(df, ["r_t"]) == ["r_t"]
