@@ -45,12 +45,12 @@ class Shingler:
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
         h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        if len(h) > WORDS:
+        if len(h) >= WORDS:
             n = len(h) - WORDS + 1
             got = h[:n] * _MIX[0]
             for i in range(1, WORDS):
                 got += (h[i : n + i] ^ (h[i : n + i] >> np.uint64(31))) * _MIX[i]
-        elif len(h):  # as many words as a shingle has, or fewer: one shingle of them all
+        elif len(h):  # fewer words than a shingle has: one shingle of them all
             got = np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
         else:
             return h
