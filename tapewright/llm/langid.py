@@ -27,9 +27,7 @@ UNKNOWN = "und"
 @cache
 def letters() -> np.ndarray:
     """For each code point whether it is a letter."""
-    out = np.zeros(0x110000, bool)
-    out[:0x32000] = [chr(c).isalpha() for c in range(0x32000)]
-    return out
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def grams(text: str | None) -> np.ndarray:
