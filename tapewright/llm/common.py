@@ -28,13 +28,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests in local mode) a temporary folder takes its place.
+    Where the setting is absent in local mode (tests) a temporary folder takes its place; on a cluster that is an
+    error. ``clear_work`` deletes the folders again.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tapewright-')}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tapewright-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tapewright-{uuid.uuid4().hex}"
+    _WORK.append(path)
+    return path
+
+
+_WORK: list[str] = []
+
+
+def clear_work(spark: SparkSession, before: int | None = None) -> None:
+    """Deletes this session's work folders, or the first ``before`` of them. Results read from them must be used up."""
+    for path in _WORK[:before]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _WORK[:before]
+
+
+def work_count() -> int:
+    """How many work folders there are, for ``clear_work``."""
+    return len(_WORK)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -43,6 +64,24 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one id (or of an id and a hash) that a broadcast may hold: some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, path: str) -> DataFrame:
+    """``df``, short rows, written and counted; broadcast if it is small enough, else left to a shuffle."""
+    df = written(df, path)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` or, where ``df`` has such a column, the name with underscores."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string")) % F.lit(folds)

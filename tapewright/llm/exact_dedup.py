@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, work_dir, written
+from .common import ASCII_SPACE, bounded, unused, work_dir, written
 
 #: Shortest and longest chunk, in UTF-16 units.
 MIN_CHUNK, MAX_CHUNK = 512, 4096
@@ -83,6 +83,15 @@ def exact_groups(docs: DataFrame, keys=strong_keys) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; see ``exact_groups``. Rows with a null id stay."""
-    gone = exact_groups(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone.distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; see ``exact_groups``.
+
+    A row goes by its id and text, so another text under the same id stays. Rows with a null id stay, rows that repeat
+    both id and text share their fate, null texts count as empty, and an empty table stays empty. The list of what
+    goes is written, and broadcast only if it is short enough.
+    """
+    name, texts = unused(docs, "gone_id"), unused(docs, "gone_texts")
+    gone = exact_groups(docs).where("NOT kept AND doc_id IS NOT NULL")
+    gone = gone.groupBy(F.col("doc_id").alias(name)).agg(F.collect_set("text_sha256").alias(texts))
+    gone = bounded(gone, f"{work_dir(docs.sparkSession)}/gone")
+    same = F.array_contains(texts, F.sha2(normalised(F.col("text")).cast("binary"), 256))  # looked at where ids agree
+    return docs.join(gone, (F.col("doc_id") == F.col(name)) & same, "left_anti")
