@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from itertools import pairwise
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -13,24 +14,56 @@ from pyspark.sql.window import Window
 
 from .common import work_dir, written
 
-#: Recall of the ten nearest on the given tables, which have few near neighbours: 0.96 to 0.99.
-TABLES, PROBES, SECOND_AXES = 12, 100, 8
-SEED = 7
-#: Rows of a bucket that are compared in one block, and rows that one task holds together.
-BLOCK, CELL = 20_000, 60_000
+TABLES, SEED = 16, 7
+#: Share of the sampled queries' true neighbours that the probes must reach.
+TARGET = 0.93
+#: Vectors that the centre is taken from, and queries that the number of probes is fitted on.
+CENTRE_ROWS, FITTED_QUERIES = 1000, 100
+#: Probes of a table that are looked at first; doubled until TARGET is reached.
+FIRST_PROBES = 512
+#: Bytes of vectors that one task holds together.
+CELL_BYTES = 64 << 20
+
+
+def axes_for(dim: int, rows: int) -> tuple[int, ...]:
+    """Axes of each rotation of a table: about as many buckets as rows, so that a bucket's size doesn't follow theirs.
+
+    A rotation of ``m`` axes tells 2 * m signed axes apart. All but the last one use the whole (padded) dimension.
+    """
+    size, out = 1 << max(1, (dim - 1).bit_length()), []
+    left = max(2, rows)
+    while left >= 4 * size and len(out) < 5:
+        out.append(size)
+        left //= 2 * size
+    return (*out, min(size, 1 << max(0, left.bit_length() - 2)))
+
+
+def leading(axes: tuple[int, ...], most: int) -> np.ndarray:
+    """Combinations of places in the levels' orders that can be among the ``most`` best: (i + 1)(j + 1)... <= most.
+
+    A combination has at least so many others, less one, that are no worse at any level.
+    """
+    out, used = np.zeros((1, 0), np.int64), np.ones(1, np.int64)
+    for m in axes:
+        room = np.minimum(2 * m, most // used)
+        at = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
+        out = np.concatenate((np.repeat(out, room, axis=0), at[:, None]), axis=1)
+        used = np.repeat(used, room) * (at + 1)
+    return out
 
 
 class CrossPolytope:
-    """For each table two pseudo-rotations (three rounds of random signs and a Hadamard transform each).
+    """Per table one pseudo-rotation (three rounds of random signs and a Hadamard transform) for each level.
 
-    The first gives the nearest signed axis of all, the second that of SECOND_AXES axes; together they are the bucket.
+    A level gives the nearest signed axis of a vector, seen from the centre; the levels together are its bucket.
     """
 
-    def __init__(self, dim: int, tables: int = TABLES, seed: int = SEED):
-        self.dim, self.tables = dim, tables
+    def __init__(self, dim: int, axes: tuple[int, ...], centre: np.ndarray | None = None, tables: int = TABLES, seed: int = SEED):
+        self.dim, self.axes, self.tables = dim, axes, tables
         self.size = 1 << max(1, (dim - 1).bit_length())
-        self.second = min(SECOND_AXES, self.size)
-        self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (tables, 2, 3, self.size))
+        self.centre = np.zeros(dim) if centre is None else centre
+        self.width = prod(2 * m for m in axes)
+        self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (tables, len(axes), 3, self.size))
 
     def _rotated(self, x: np.ndarray, signs: np.ndarray) -> np.ndarray:
         for s in signs:
@@ -43,30 +76,60 @@ class CrossPolytope:
             x /= np.sqrt(self.size)
         return x
 
-    def axes(self, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per table, the nearness of each unit vector to the signed axes of both rotations."""
-        scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    def levels(self, vectors: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """Per table and level, the nearness of each vector's direction to the signed axes."""
+        moved = vectors - self.centre
+        moved = moved / np.maximum(np.abs(moved).max(axis=1, keepdims=True), 1e-300)
         unit = np.zeros((len(vectors), self.size))
-        unit[:, : self.dim] = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+        unit[:, : self.dim] = moved / np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-300)
         for signs in self.signs:
-            a, b = self._rotated(unit, signs[0]), self._rotated(unit, signs[1])[:, : self.second]
-            yield np.concatenate((a, -a), axis=1), np.concatenate((b, -b), axis=1)
+            near = [self._rotated(unit, s)[:, :m] for s, m in zip(signs, self.axes)]
+            yield [np.concatenate((a, -a), axis=1) for a in near]
 
     def buckets(self, vectors: np.ndarray) -> np.ndarray:
         """(rows, tables): the bucket of each vector, numbered throughout the tables."""
-        width = 4 * self.size * self.second
-        out = [a.argmax(axis=1) * 2 * self.second + b.argmax(axis=1) + t * width for t, (a, b) in enumerate(self.axes(vectors))]
-        return np.stack(out, axis=1)
+        out = np.empty((len(vectors), self.tables), np.int64)
+        for t, near in enumerate(self.levels(vectors)):
+            out[:, t] = t
+            for a in near:
+                out[:, t] = out[:, t] * a.shape[1] + a.argmax(axis=1)
+        return out
 
     def probes(self, vectors: np.ndarray, count: int) -> np.ndarray:
-        """(rows, tables * probes): the buckets of least loss against the nearest axes; the vector's own is among them."""
-        width, out = 4 * self.size * self.second, []
-        for t, (a, b) in enumerate(self.axes(vectors)):
-            loss = ((a.max(axis=1, keepdims=True) - a) ** 2)[:, :, None] + ((b.max(axis=1, keepdims=True) - b) ** 2)[:, None, :]
-            loss = loss.reshape(len(vectors), -1)
-            count = min(count, loss.shape[1])
-            out.append(np.argpartition(loss, count - 1, axis=1)[:, :count] + t * width)
-        return np.concatenate(out, axis=1)
+        """(rows, tables, probes): the buckets of greatest nearness over the levels, best first; as many as there are."""
+        count = min(count, self.width)
+        pick = leading(self.axes, count)
+        out = np.empty((len(vectors), self.tables, count), np.int64)
+        for t, near in enumerate(self.levels(vectors)):
+            total, name = np.zeros((len(vectors), len(pick))), np.full((len(vectors), len(pick)), t, np.int64)
+            for level, a in enumerate(near):
+                order = np.argsort(-a, axis=1, kind="stable")[:, pick[:, level]]
+                total += np.take_along_axis(a, order, axis=1)
+                name = name * a.shape[1] + order
+            best = np.argpartition(-total, count - 1, axis=1)[:, :count]
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(total, best, axis=1), axis=1, kind="stable"), axis=1)
+            out[:, t] = np.take_along_axis(name, best, axis=1)
+        return out
+
+
+def probes_needed(index: CrossPolytope, queries: np.ndarray, of: np.ndarray, buckets: np.ndarray, target: float = TARGET) -> int:
+    """Probes of each table that reach ``target`` of the true neighbours; ``of`` says whose each row of ``buckets`` is."""
+    if not len(of):
+        return 1
+    most = min(FIRST_PROBES, index.width)
+    while True:
+        rank = np.full(len(of), most)
+        for q in np.unique(of):
+            own = np.flatnonzero(of == q)
+            for t, found in enumerate(index.probes(queries[q : q + 1], most)[0]):
+                order = np.argsort(found)
+                at = np.minimum(np.searchsorted(found, buckets[own, t], sorter=order), len(found) - 1)
+                there = found[order[at]] == buckets[own, t]
+                rank[own] = np.where(there, np.minimum(rank[own], order[at]), rank[own])
+        enough = int(np.sort(rank)[max(0, int(np.ceil(target * len(rank))) - 1)])
+        if enough < most or most == index.width:
+            return min(enough + 1, index.width)
+        most = min(2 * most, index.width)
 
 
 def usable(embedding: Column) -> Column:
@@ -79,18 +142,52 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _nearest(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of a block, exactly: sifted by the matrix product, then measured by differences."""
-    rough = (vectors**2).sum(axis=1)[None, :] - 2 * (queries @ vectors.T)
-    some = min(len(ids), k + 8)
-    pick = np.argpartition(rough, some - 1, axis=1)[:, :some] if some < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
-    d = np.sqrt(((vectors[pick] - queries[:, None, :]) ** 2).sum(axis=2))
-    order = np.lexsort((ids[pick], d), axis=1)[:, :k]
-    pick = np.take_along_axis(pick, order, axis=1)
-    return ids[pick], np.take_along_axis(d, order, axis=1)
+def _closest(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest, measured exactly, ties to the smaller id; repeated ids count once."""
+    d = np.sqrt(((vectors - query) ** 2).sum(axis=1))
+    near = np.arange(len(d))
+    if len(d) > k:
+        _, once = np.unique(ids, return_index=True)
+        near = once[d[once] <= np.partition(d[once], k - 1)[k - 1]] if len(once) > k else once
+    elif len(d):
+        near = np.unique(ids, return_index=True)[1]
+    near = near[np.lexsort((ids[near], d[near]))][:k]
+    return near, d[near]
+
 
+def _true_neighbours(hashed: DataFrame, queries: np.ndarray, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sampled query's k nearest entries the query's place and their buckets, found by comparing with all."""
+    shared = hashed.sparkSession.sparkContext.broadcast(queries)
+    fields = [("q", pa.int32()), ("d", pa.float64()), ("entry", pa.int64()), ("buckets", pa.list_(pa.int64()))]
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        kept = None
+        for batch in batches:
+            x = _matrix(batch["embedding"], dim)
+            if not len(x):
+                continue
+            far = np.sqrt(np.maximum((asked**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * asked @ x.T, 0))
+            place = np.argpartition(far, k - 1, axis=1)[:, :k] if far.shape[1] > k else np.broadcast_to(np.arange(len(x)), far.shape)
+            entry, names = batch["entry"].to_numpy(), batch["buckets"].flatten().to_numpy().reshape(len(x), -1)
+            now = (np.take_along_axis(far, place, axis=1), entry[place], names[place])
+            if kept is not None:
+                now = tuple(np.concatenate(pair, axis=1) for pair in zip(kept, now))
+                order = np.argsort(now[0], axis=1)[:, :k]
+                now = (np.take_along_axis(now[0], order, axis=1), np.take_along_axis(now[1], order, axis=1), np.take_along_axis(now[2], order[:, :, None], axis=1))
+            kept = now
+        if kept is not None:
+            each = kept[0].shape[1]
+            lists = pa.FixedSizeListArray.from_arrays(kept[2].ravel(), kept[2].shape[2]).cast(pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array(np.repeat(np.arange(len(asked), dtype=np.int32), each)), pa.array(kept[0].ravel()), pa.array(kept[1].ravel()), lists], schema=pa.schema(fields))
+
+    found = hashed.select("embedding", "entry", "buckets").mapInArrow(best, "q int, d double, entry long, buckets array<long>")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy("d", "entry"))
+    rows = found.withColumn("nth", nth).where(F.col("nth") <= k).select("q", "buckets").collect()  # sampled queries * k
+    return np.array([r["q"] for r in rows], np.int64), np.array([r["buckets"] for r in rows], np.int64).reshape(len(rows), -1)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row among all other rows, by distance.
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id. score is the Euclidean distance in
@@ -98,93 +195,116 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     take no part, nor do rows without vec_id and vectors of another length than most have. With fewer candidates than
     k all are returned. Other columns are ignored; an empty table gives no rows.
 
-    Equal vectors are one entry that keeps its k + 1 smallest ids, enough for any answer. Entries are hashed once and
-    sent to their bucket of each table, queries to the buckets they probe; a bucket of many entries is dealt out in
-    blocks, and each task returns its k best for a query. So what is shuffled follows the rows, not the candidates.
-    Queries that found fewer than k that way are compared with all entries, block by block.
+    The number of buckets follows the number of rows. How many of a table's buckets are probed is fitted: a bounded
+    sample of the queries is compared with all entries once, and the least number that reaches ``target`` of their
+    true neighbours is taken, so recall holds for other data and sizes.
+
+    Equal vectors are one entry that keeps its k + 1 smallest ids, enough for any answer. Each table sends an entry to
+    one cell of work and a query once to each cell that has buckets it probes. Buckets that share their leading axes
+    share a cell, up to CELL_BYTES of vectors; beyond that a cell is divided by bucket, and a bucket that is larger
+    still by entry. Each task returns its k best for a query. Queries that found fewer than k that way are compared
+    with all entries, block by block.
     """
     spark = vectors.sparkSession
     path = work_dir(spark)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding") if single else F.col("embedding").cast("array<double>"))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = common["n"]
+    dim, kind = common["n"], "float" if single else "double"
+    per_cell = max(1, CELL_BYTES // (8 * dim))
+    block_rows = max(1, per_cell // 4)
     rows = rows.where(F.size("embedding") == dim)
+
+    def some(df: DataFrame, n: int) -> np.ndarray:
+        found = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("embedding").collect()
+        return np.array([r["embedding"] for r in found], float).reshape(len(found), dim)
+
+    axes = axes_for(dim, common["count"])
+    index = CrossPolytope(dim, axes, some(rows, CENTRE_ROWS).mean(axis=0), tables)
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     entries = first.groupBy("embedding").agg(F.min("vec_id").alias("entry"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = CrossPolytope(dim, tables)
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
                 found = index.buckets(_matrix(part["embedding"], dim))
                 yield part.append_column("buckets", pa.FixedSizeListArray.from_arrays(found.ravel(), tables).cast(pa.list_(pa.int64())))
 
-    hashed = entries.mapInArrow(hash_all, "embedding array<double>, entry long, ids array<long>, buckets array<long>")
+    hashed = entries.mapInArrow(hash_all, f"embedding array<{kind}>, entry long, ids array<long>, buckets array<long>")
     hashed = written(hashed, f"{path}/entries")
     queries = written(asked.join(hashed.select("embedding", "entry"), "embedding").select("query_id", "entry", "embedding"), f"{path}/queries")
-    # one row for each bucket: their number is fixed by the tables and the vectors' length
-    sizes = hashed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    sizes = F.broadcast(sizes)
-    total = hashed.count()
-    cells = max(1, -(-total * tables // CELL))
-
-    def cell(bucket: Column, block: Column) -> Column:
-        return F.pmod(F.xxhash64(bucket, block), F.lit(cells)).alias("cell")
+    sample = some(asked.withColumnRenamed("query_id", "vec_id"), FITTED_QUERIES)
+    probes = probes_needed(index, sample, *_true_neighbours(hashed, sample, dim, k + 1), target) if len(sample) else 1
 
-    there = hashed.select("entry", "embedding", F.explode("buckets").alias("bucket")).join(sizes, "bucket")
-    there = there.withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).withColumn("cell", cell(F.col("bucket"), F.col("block")))
+    total = hashed.count()
+    cells = max(spark.sparkContext.defaultParallelism, -(-total * tables // per_cell))
+    low = index.width  # buckets that share all leading axes
+    for m in axes[:-1]:
+        if low * total // index.width <= per_cell // 2:
+            break
+        low //= 2 * m
+    prefix = F.expr(f"bucket div {low}")
+    sizes = hashed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(sizes, f"{path}/sizes")
+    wide = sizes.groupBy(prefix.alias("prefix")).agg(F.ceil(F.sum("n") / per_cell).cast("int").alias("parts")).where("parts > 1")
+    # the few buckets that aren't one piece of their prefix's cell; Spark broadcasts them only if their table is small
+    uneven = sizes.withColumn("prefix", prefix).join(wide, "prefix", "left")
+    uneven = uneven.select("bucket", F.coalesce("parts", F.lit(1)).alias("parts"), F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    uneven = written(uneven.where("parts > 1 OR blocks > 1"), f"{path}/uneven")
+
+    def placed(df: DataFrame, blocks: Column) -> DataFrame:
+        """Adds cell: by leading axes, by part of the prefix and by block of the bucket."""
+        both = df.join(uneven, "bucket", "left").withColumns({"parts": F.coalesce("parts", F.lit(1)), "blocks": F.coalesce("blocks", F.lit(1))})
+        both = both.withColumn("block", blocks)
+        return both.withColumn("cell", F.pmod(F.xxhash64(prefix, F.pmod(F.xxhash64("bucket"), F.col("parts")), "block"), F.lit(cells)))
+
+    there = placed(hashed.select("entry", "embedding", F.explode("buckets").alias("bucket")), F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
 
     def probe_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = CrossPolytope(dim, tables)
+        step = max(1, (1 << 21) // (probes * 8))
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                found = index.probes(_matrix(part["embedding"], dim), probes)
-                lists = pa.FixedSizeListArray.from_arrays(found.ravel().astype(np.int64), found.shape[1]).cast(pa.list_(pa.int64()))
-                yield part.append_column("buckets", lists)
-
-    asking = queries.groupBy("entry").agg(F.first("embedding").alias("embedding"))
-    asking = asking.mapInArrow(probe_all, "entry long, embedding array<double>, buckets array<long>")
-    asking = asking.select("entry", "embedding", F.explode("buckets").alias("bucket")).join(sizes, "bucket")
-    asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cell", cell(F.col("bucket"), F.col("block")))
-    asking = asking.groupBy("cell", "entry").agg(F.first("embedding").alias("embedding"), F.collect_list("bucket").alias("buckets"))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                found = index.probes(_matrix(part["embedding"], dim), probes).reshape(part.num_rows, -1)
+                lists = pa.FixedSizeListArray.from_arrays(found.ravel(), found.shape[1]).cast(pa.list_(pa.int64()))
+                yield pa.record_batch([part["entry"], lists], names=["entry", "buckets"])
+
+    alone = queries.groupBy("entry").agg(F.first("embedding").alias("embedding"))
+    asking = alone.mapInArrow(probe_all, "entry long, buckets array<long>").select("entry", F.explode("buckets").alias("bucket"))
+    asking = placed(asking, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy("cell", "entry").agg(F.collect_list("bucket").alias("buckets"))
+    asking = asking.join(alone, "entry")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        best: dict[int, list[tuple[float, int]]] = {}
+        out: list[tuple[int, int, float]] = []
         if left.num_rows and right.num_rows:
             ids, bucket = left["entry"].to_numpy(), left["bucket"].to_numpy()
             vecs = _matrix(left["embedding"].combine_chunks(), dim)
             order = np.argsort(bucket, kind="stable")
-            ids, bucket, vecs = ids[order], bucket[order], vecs[order]
-            names, begins = np.unique(bucket, return_index=True)
-            spans = dict(zip(names.tolist(), zip(begins.tolist(), [*begins[1:].tolist(), len(ids)])))
-            asked_ids, asked_vecs = right["entry"].to_pylist(), _matrix(right["embedding"].combine_chunks(), dim)
-            by_bucket: dict[int, list[int]] = {}
-            for i, wanted in enumerate(right["buckets"].to_pylist()):
-                for b in set(wanted):
-                    if b in spans:
-                        by_bucket.setdefault(b, []).append(i)
-            for b, who in by_bucket.items():
-                lo, hi = spans[b]
-                for i in range(0, len(who), 256):
-                    some = who[i : i + 256]
-                    near, far = _nearest(asked_vecs[some], ids[lo:hi], vecs[lo:hi], k + 1)
-                    for q, n, d in zip(some, near.tolist(), far.tolist()):
-                        found = best.get(q, []) + list(zip(d, n))
-                        best[q] = heapq.nsmallest(k + 1, dict.fromkeys(found)) if len(found) > k + 1 else found
-            out = [(asked_ids[q], n, d) for q, found in best.items() for d, n in found]
-        else:
-            out = []
+            ids, vecs = ids[order], vecs[order]
+            names, begins = np.unique(bucket[order], return_index=True)
+            ends = np.append(begins[1:], len(ids))
+            lists, wanted = right["buckets"].combine_chunks(), _matrix(right["embedding"].combine_chunks(), dim)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for query, v, (lo, hi) in zip(right["entry"].to_pylist(), wanted, pairwise(offsets.tolist())):
+                at = np.searchsorted(names, flat[lo:hi])
+                at = at[at < len(names)] if len(names) else at
+                at = np.unique(at[np.isin(names[at], flat[lo:hi])])
+                long = ends[at] - begins[at]
+                pick = np.arange(long.sum()) + np.repeat(begins[at] - np.cumsum(long) + long, long)
+                near, far = _closest(v, ids[pick], vecs[pick], k + 1)
+                out += [(query, n, d) for n, d in zip(ids[pick[near]].tolist(), far.tolist())]
         types = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, types)], names=["entry", "near", "score"])
 
     def ranked(there: DataFrame, asking: DataFrame, queries: DataFrame) -> DataFrame:
         there = there.select("cell", "bucket", "entry", "embedding").groupBy("cell")
-        found = there.cogroup(asking.groupBy("cell")).applyInArrow(search, "entry long, near long, score double")
+        asking = asking.select("cell", "entry", "embedding", "buckets").groupBy("cell")
+        found = there.cogroup(asking).applyInArrow(search, "entry long, near long, score double")
         best = Window.partitionBy("entry").orderBy("score", "near")
         found = found.distinct().withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
         spread = found.join(hashed.select(F.col("entry").alias("near"), "ids"), "near").select("entry", "score", F.explode("ids").alias("vec_id"))
@@ -201,7 +321,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     missing = short.count()
     if not missing:
         return probed
-    blocks, parts = max(spark.sparkContext.defaultParallelism, -(-total // BLOCK)), -(-missing // BLOCK)
+    blocks, parts = max(spark.sparkContext.defaultParallelism, -(-total // block_rows)), -(-missing // block_rows)
 
     def dealt(n: int) -> Column:
         return F.pmod(F.xxhash64("entry"), F.lit(n))

@@ -49,8 +49,8 @@ def test_queries_that_probe_too_few_buckets_get_all_candidates(spark, monkeypatc
     few = [(i, rng.standard_normal(64).tolist()) for i in range(8)]
     hot = np.r_[1.0, np.zeros(63)] + rng.standard_normal((300, 64)) * 0.01
     hot[0] = -hot[0]  # the query points away from all others
-    for rows, step, block in ((few, 1, 20_000), (few, 1, 3), (list(enumerate(hot.tolist())), 1000, 20_000)):
-        monkeypatch.setattr(ann, "BLOCK", block)
+    for rows, step, cell in ((few, 1, 20_000), (few, 1, 3), (list(enumerate(hot.tolist())), 1000, 20_000)):
+        monkeypatch.setattr(ann, "CELL_BYTES", 8 * 64 * cell)
         got = ann.nearest(vectors(spark, rows), F.col("vec_id") % step == 0).collect()
         found = {q: [v for _, v in sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)] for q, _ in rows if q % step == 0}
         assert found == {q: [v for _, v in best] for q, best in by_hand(rows, step=step).items()}
@@ -71,13 +71,12 @@ def test_blocks_and_cells_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, rng.standard_normal(16).tolist()) for i in range(400)]
     whole = sorted(map(tuple, ann.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0).collect()))
-    monkeypatch.setattr(ann, "BLOCK", 3)
-    monkeypatch.setattr(ann, "CELL", 500)
+    monkeypatch.setattr(ann, "CELL_BYTES", 8 * 16 * 12)  # blocks of 3
     assert sorted(map(tuple, ann.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0).collect())) == whole
 
 
 def test_rotations_keep_lengths():
-    index = ann.CrossPolytope(20)
+    index = ann.CrossPolytope(20, (32, 4))
     x = np.random.default_rng(4).standard_normal((5, 32))
     assert np.allclose(np.linalg.norm(index._rotated(x, index.signs[0, 0]), axis=1), np.linalg.norm(x, axis=1))
 
@@ -115,3 +114,29 @@ def test_adjacent_turns_of_a_role_are_one_block(spark):
     r = chat.format_conversations(spark.createDataFrame(rows, TURNS)).first()
     assert r["formatted"] == "<|im_start|>user\na<|im_next|>b<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
     assert [r["formatted"][s["start"] - 1 : s["start"] - 1 + s["length"]] for s in r["loss_spans"]] == ["c"]
+
+
+def test_probes_are_the_best_combinations_in_order():
+    rng = np.random.default_rng(9)
+    index = ann.CrossPolytope(6, (8, 8, 2), tables=3)
+    x = rng.standard_normal((7, 6))
+    for t, near in enumerate(index.levels(x)):
+        total = (near[0][:, :, None, None] + near[1][:, None, :, None] + near[2][:, None, None, :]).reshape(7, -1)
+        for count in (1, 5, 60, 10_000):
+            got = index.probes(x, count)[:, t] - t * index.width
+            for row, want in zip(got, total):
+                assert np.allclose(want[row], -np.sort(-want)[: len(row)]) and len(set(row.tolist())) == len(row)
+    assert (index.buckets(x) == index.probes(x, 1)[:, :, 0]).all()
+
+
+def test_buckets_follow_the_rows_and_probes_the_target():
+    rng = np.random.default_rng(10)
+    for rows in (2, 100, 5000, 10**6, 10**9):
+        buckets = np.prod([2 * m for m in ann.axes_for(64, rows)])
+        assert rows / 4 <= buckets <= 4 * rows or rows < 8
+    x = rng.standard_normal((4000, 32))
+    index = ann.CrossPolytope(32, ann.axes_for(32, 4000))
+    b, near = index.buckets(x), np.argsort(((x[:50, None] - x[None, :2000]) ** 2).sum(axis=2), axis=1)[:, 1:11]
+    p = ann.probes_needed(index, x[:50], np.repeat(np.arange(50), 10), b[near].reshape(-1, index.tables), 0.9)
+    reached = [np.mean([np.any([b[j, t] in set(row[t]) for t in range(index.tables)]) for i, row in enumerate(index.probes(x[:50], n)) for j in near[i]]) for n in (p - 1, p)]
+    assert reached[0] < 0.9 <= reached[1]
