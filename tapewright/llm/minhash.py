@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, held, work_dir, written
+from .common import Recent, bounded, held, unused, work_dir, written
 
 WORDS = 5
 #: Linked: SHARE_OF * intersection >= SHARE * union.
@@ -21,8 +22,12 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch.
 SKETCH_BITS = 512
-#: Nodes of a bucket that are compared in one block.
-BLOCK = 2000
+#: Sketches of a bucket in one block, at most, and bytes of texts in one block.
+BLOCK, BLOCK_BYTES = 16_000, 8 << 20
+#: Nodes from which a bucket is dealt out to several blocks, and how many blocks that is at most below BLOCK.
+DEAL_FROM, DEAL_TO = 200, 16
+#: Followers that one copy of their leader's text is sent for.
+FOLLOWERS = 500
 #: Rounds in which a node is compared with one leader of its buckets.
 STARS = 2
 #: Candidates of a lower estimate are dropped: 5 standard deviations below 0.75 for these numbers.
@@ -37,7 +42,10 @@ _SPREAD = _RANDOM.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + n
 
 
 class Shingler:
-    """The set of word shingles of a text as sorted distinct 64-bit hashes."""
+    """The set of word shingles of a text as sorted distinct 64-bit hashes, one hash for a shingle wherever it stands.
+
+    Two different shingles of a pair of texts share a hash about once in 2**64 / (sizes multiplied) pairs.
+    """
 
     def __init__(self, words_kept: int = 200_000):
         self.words = Recent(xxhash.xxh3_64_intdigest, words_kept)
@@ -60,6 +68,11 @@ class Shingler:
         return np.unique(got)
 
 
+def set_digest(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a whole set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def shingler() -> Shingler:
     """One for each Python worker."""
     return held("shingles", Shingler)
@@ -104,11 +117,11 @@ MOST_DIFFERING = max(d for d in range(SKETCH_BITS // 2) if estimate(d) >= LEAST_
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_digest (of the whole set), bands (64-bit keys), sketch (eight 64-bit words).
+    """Per row: doc_id, n_shingles, n_bytes, set_digest (128 bits, of the whole set), bands (64-bit keys), sketch (eight words).
 
     Bands and sketch are null for a text without words.
     """
-    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
+    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("n_bytes", pa.int64()), ("set_digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = shingler()
@@ -118,12 +131,25 @@ def signatures(docs: DataFrame) -> DataFrame:
                 found = shingle(text)
                 if len(found):
                     samples = minhashes(found)
-                    out.append((doc, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), band_keys(samples), np.frombuffer(odd_sketch(samples), np.int64)))
+                    out.append((doc, len(found), len(text), set_digest(found), band_keys(samples), np.frombuffer(odd_sketch(samples), np.int64)))
                 else:
-                    out.append((doc, 0, b"", None, None))
-            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*out) if out else [()] * 5, fields)], schema=pa.schema(fields))
+                    out.append((doc, 0, 0, b"", None, None))
+            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*out) if out else [()] * 6, fields)], schema=pa.schema(fields))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, set_digest binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, n_bytes long, set_digest binary, bands array<long>, sketch array<long>")
+
+
+def one_text(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``texts`` (node, text) with one row for each node that ``repeated`` (of, least) has: one of that set digest."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = shingler()
+        for batch in batches:
+            yield batch.append_column("digest", pa.array([set_digest(shingle(t.as_py())) for t in batch["text"]], pa.binary()))
+
+    many = texts.join(repeated, F.col("node") == F.col("of"), "left_semi").mapInArrow(digest, "node long, text string, digest binary")
+    many = many.join(repeated, (F.col("node") == F.col("of")) & (F.col("digest") == F.col("least"))).select("node", "text").dropDuplicates(["node"])
+    return texts.join(repeated, F.col("node") == F.col("of"), "left_anti").unionByName(many)
 
 
 def sifted(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -139,48 +165,82 @@ def differing(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two shingle sets are similar enough."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return SHARE_OF * common >= SHARE * (len(x) + len(y) - common)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose whole shingle sets are linked; ``texts`` (node, text) has both sides."""
+    """The rows (a, b) of ``pairs`` whose whole shingle sets are linked; ``texts`` (node, text) has both sides.
+
+    A leader's text is sent once for so many followers, which come behind it in order, so a leader of very many is
+    dealt out and a task holds one leader's set and one follower at a time.
+    """
     text = texts.select(F.col("node").alias("id"), "text")
-    both = pairs.select("a", "b").join(text.withColumnRenamed("text", "text_b"), F.col("b") == F.col("id")).drop("id")
-    both = both.join(text.withColumnRenamed("text", "text_a"), F.col("a") == F.col("id")).drop("id")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS).cast("int").alias("parts"))
+    behind = pairs.select("a", "b").join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    behind = behind.join(text, F.col("b") == F.col("id")).select("a", "part", "b", "text")
+    ahead = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    ahead = ahead.join(text, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    rows = ahead.unionByName(behind).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = shingler()
-        seen: tuple = (None, None)
+        shingle, leader = shingler(), np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for a, ta, tb in zip(batch["a"].to_pylist(), batch["text_a"], batch["text_b"]):
-                if seen[0] != a:
-                    seen = (a, shingle(ta.as_py()))
-                x, y = seen[1], shingle(tb.as_py())
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(SHARE_OF * common >= SHARE * (len(x) + len(y) - common))
+            for b, t in zip(batch["b"].to_pylist(), batch["text"]):
+                own = shingle(t.as_py())
+                if b is None:
+                    leader = own
+                keep.append(b is not None and linked(leader, own))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def in_blocks(rows: DataFrame, blocks: Column, columns: list[str]) -> DataFrame:
+    """``rows`` of buckets cut into so many blocks each, once for every pair of blocks: bucket, lo, hi, block, columns."""
+    rows = rows.withColumn("blocks", blocks.cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
+    return rows.select("bucket", "lo", "hi", "block", *columns).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
 
-def links_across(left: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+def links_across(left: DataFrame, own: DataFrame, texts: DataFrame, path: str) -> DataFrame:
     """The links (a, b) between nodes of different components of a bucket; ``left`` has bucket, node, root and n, its size.
 
-    A bucket is cut into blocks of about BLOCK nodes, and each pair of blocks is one piece of work, so a bucket of very
-    many nodes is spread over tasks and no pair is ever a row. A pair that shares several buckets is looked at in the
-    first of its bands only.
+    A bucket is cut into blocks, and each pair of blocks is one piece of work, so a bucket of very many nodes is spread
+    over tasks and no pair is ever a row. First sketches alone tell which nodes of a bucket have any candidate left;
+    only those are then compared by text, in blocks of bounded bytes. A pair that shares several buckets is looked at
+    in the first of its bands only.
     """
-    rows = left.join(own.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
+    about = own.withColumnRenamed("node", "of")
+    rows = left.join(about, F.col("node") == F.col("of")).drop("of")
+    dealt = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("n") / DEAL_FROM), F.lit(DEAL_TO)))
+    rows = in_blocks(rows, dealt, ["node", "root", "n_shingles", "sketch", "bands"])
+    kept_schema, link_schema = pa.schema([("bucket", pa.int64()), ("node", pa.int64())]), pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, ["bucket", "lo", "hi"]):
+            found = _with_candidates(group)
+            yield pa.record_batch([pa.array(np.full(len(found), group["bucket"][0].as_py(), np.int64)), pa.array(found)], schema=kept_schema)
+
+    kept = rows.mapInArrow(sift, "bucket long, node long").groupBy("bucket", "node").agg(F.lit(1).alias("one")).drop("one")
+    kept = written(kept, f"{path}/kept")
+    sizes = kept.join(own.select(F.col("node").alias("of"), "n_bytes"), F.col("node") == F.col("of"))
+    sizes = sizes.groupBy(F.col("bucket").alias("in")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("m"))
+    rows = left.join(kept.select(F.col("bucket").alias("in"), F.col("node").alias("of")), (F.col("bucket") == F.col("in")) & (F.col("node") == F.col("of")), "left_semi")
+    rows = rows.join(sizes, F.col("bucket") == F.col("in")).drop("in")
+    rows = rows.join(about, F.col("node") == F.col("of")).drop("of")
     rows = rows.join(texts.select(F.col("node").alias("of"), "text"), F.col("node") == F.col("of")).drop("of")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
-    rows = rows.select("bucket", "lo", "hi", "block", "node", "root", "sketch", "bands", "text")
-    rows = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    dealt = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.least(F.ceil(F.col("m") / DEAL_FROM), F.lit(DEAL_TO)), F.lit(1))
+    rows = in_blocks(rows, dealt, ["node", "root", "n_shingles", "sketch", "bands", "text"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs_of(batches, ["bucket", "lo", "hi"]):
             found = _links_in(group)
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*found) if found else ((), ()))], schema=schema)
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*found) if found else ((), ()))], schema=link_schema)
 
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
@@ -205,11 +265,51 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(parts)
 
 
+class _Pairs:
+    """The candidates of one pair of blocks: sketches near enough, of fitting set sizes, first seen in this bucket."""
+
+    def __init__(self, group: pa.Table):
+        n = group.num_rows
+        self.node, self.root, self.size = (group[c].to_numpy() for c in ("node", "root", "n_shingles"))
+        self.sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)  # signed ones count as absolute
+        self.bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+        self.bucket, self.one = group["bucket"][0].as_py(), group["lo"][0] == group["hi"][0]
+        block = group["block"].to_numpy()
+        self.xs, self.ys = np.flatnonzero(block == group["lo"][0].as_py()), np.flatnonzero(block == group["hi"][0].as_py())
+
+    def __call__(self, done: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Arrays of places (x, y); pairs whose two sides are ``done``, which may change meanwhile, are left out."""
+        ys, step = self.ys, max(1, (1 << 20) // max(1, len(self.ys)))
+        for i in range(0, len(self.xs), step):
+            xs = self.xs[i : i + step]
+            fit = self.root[xs][:, None] != self.root[ys][None, :]
+            small, large = (f(self.size[xs][:, None], self.size[ys][None, :]) for f in (np.minimum, np.maximum))
+            fit &= SHARE_OF * small >= SHARE * large
+            if self.one:
+                fit &= self.node[xs][:, None] < self.node[ys][None, :]
+            if done is not None:
+                fit &= ~(done[xs][:, None] & done[ys][None, :])
+            at, to = np.nonzero(fit)
+            for j in range(0, len(at), 1 << 16):
+                x, y = xs[at[j : j + (1 << 16)]], ys[to[j : j + (1 << 16)]]
+                near = np.bitwise_count(self.sketch[x] ^ self.sketch[y]).sum(axis=1) <= MOST_DIFFERING
+                x, y = x[near], y[near]
+                same = self.bands[x] == self.bands[y]
+                first = self.bands[x, same.argmax(axis=1)] == self.bucket
+                yield x[first], y[first]
+
+
+def _with_candidates(group: pa.Table) -> np.ndarray:
+    """The nodes of one pair of blocks that have a candidate in it."""
+    pairs, done = _Pairs(group), np.zeros(group.num_rows, bool)
+    for x, y in pairs(done):
+        done[x] = done[y] = True
+    return pairs.node[done]
+
+
 def _links_in(group: pa.Table) -> list[tuple[int, int]]:
     """Confirmed links of one pair of blocks; pairs that the links found so far join already are left out."""
-    n = group.num_rows
-    node, block = group["node"].to_numpy(), group["block"].to_numpy()
-    root = {x: r for x, r in zip(node.tolist(), group["root"].to_pylist())}
+    pairs, shingle, sets, out = _Pairs(group), shingler(), {}, []
     above: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -217,44 +317,29 @@ def _links_in(group: pa.Table) -> list[tuple[int, int]]:
             x = above[x]
         return x
 
-    sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)  # signed ones count as absolute
-    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1)
-    here = group["bucket"][0].as_py()
-    one, shingle, sets, out = group["lo"][0] == group["hi"][0], shingler(), {}, []
-    roots = group["root"].to_numpy()
-    for i in range(0, n, 64):
-        apart = np.bitwise_count(sketch[i : i + 64, None, :] ^ sketch[None, :, :]).sum(axis=2)
-        fit = (apart <= MOST_DIFFERING) & (roots[i : i + 64, None] != roots[None, :]) & (node[i : i + 64, None] < node[None, :])
-        if not one:
-            fit &= block[i : i + 64, None] != block[None, :]
-        at, to = np.nonzero(fit)
-        at += i
-        same = bands[at] == bands[to]
-        first = bands[at, same.argmax(axis=1)] == here
-        for x, y in zip(at[first].tolist(), to[first].tolist()):
-            a, b = int(node[x]), int(node[y])
-            p, q = top(root[a]), top(root[b])
+    for xs, ys in pairs():
+        for x, y in zip(xs.tolist(), ys.tolist()):
+            p, q = top(int(pairs.root[x])), top(int(pairs.root[y]))
             if p == q:
                 continue
             for k in (x, y):
                 if k not in sets:
                     sets[k] = shingle(group["text"][k].as_py())
-            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if SHARE_OF * common >= SHARE * (len(sets[x]) + len(sets[y]) - common):
+            if linked(sets[x], sets[y]):
                 above[max(p, q)] = min(p, q)
-                out.append((a, b))
+                out.append((int(pairs.node[x]), int(pairs.node[y])))
     return out
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
     """(node, root): the smallest node that is reachable, for every node of ``edges`` (a, b) that isn't its own root.
 
-    Large-star and small-star steps in turn until no edge changes; each step is a sum by key and a join, so a node
-    with very many neighbours is never gathered in one place. Each round is written to the shared folder.
+    Large-star and small-star steps in turn until every node has one edge, to a root; each step is a sum by key and a
+    join, so a node with very many neighbours is never gathered in one place. Each round is written to the shared
+    folder, and rounds go on until that state is reached.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), f"{path}/edges")
-    count = -1
-    for turn in range(1, 60):
+    for turn in count(1):
         # large star: each larger neighbour of a node goes to the node's smallest neighbour
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -263,13 +348,11 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        now = small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
-        now = written(now, f"{path}/round{turn}")
-        found = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("decimal(20,0)")).alias("s"), F.count_distinct("a").alias("d")).first()
-        if (found["n"], found["s"]) == count:
-            break
-        edges, count = now, (found["n"], found["s"])
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges = written(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), f"{path}/round{turn}")
+        sides = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+        sides = sides.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if sides.where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -277,28 +360,33 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Two documents are linked if their sets of five-word shingles have 100 * intersection >= 75 * union; component_id is
     the smallest doc_id that links lead to, and that document is kept. A text of fewer words is one shingle; null,
-    empty and blank texts have none and are linked with nothing. doc_id is a key: rows that repeat it are one document.
-    A null doc_id links with nothing: its component_id is null and it is kept. Other columns are ignored.
+    empty and blank texts have none and are linked with nothing. doc_id is a key: rows that repeat it are one document,
+    of whose texts the set of least digest counts. An empty table gives no rows. A null doc_id links with nothing: its component_id is null and it is kept. Other columns are ignored.
 
     Equal sets are one node. Nodes that share a band's bucket are candidates. In each of STARS rounds a node that is in
     another component than the leading node of one of its buckets is compared with one such leader, so a large group
     grows together along few comparisons. Then all nodes of a bucket that are still in different components are
     compared with each other, so no link is lost. Candidates of a low odd-sketch estimate are dropped, the others
-    confirmed on their whole sets.
+    confirmed on their whole sets (of 64-bit hashes).
     """
     path = work_dir(docs.sparkSession)
     signed = written(signatures(docs), f"{path}/signed")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    repeated = known.groupBy(F.col("doc_id").alias("of")).agg(F.min("set_digest").alias("least"), F.count(F.lit(1)).alias("n"))
+    repeated = written(repeated.where("n > 1").drop("n"), f"{path}/repeated")
+    known = known.join(repeated, F.col("doc_id") == F.col("of"), "left").where("of IS NULL OR set_digest = least").drop("of", "least")
     nodes = known.groupBy(F.col("set_digest").alias("digest")).agg(F.min("doc_id").alias("node"))
     nodes = written(nodes, f"{path}/nodes")
-    own = known.select("doc_id", "set_digest", "bands", "sketch").join(nodes, (F.col("set_digest") == F.col("digest")) & (F.col("doc_id") == F.col("node")))
-    own = written(own.dropDuplicates(["node"]).select("node", "sketch", "bands"), f"{path}/own")
+    own = known.join(nodes, (F.col("set_digest") == F.col("digest")) & (F.col("doc_id") == F.col("node")))
+    own = written(own.dropDuplicates(["node"]).select("node", "n_shingles", "n_bytes", "sketch", "bands"), f"{path}/own")
     shares = own.select("node", F.explode("bands").alias("bucket"))
     shared = shares.groupBy(F.col("bucket").alias("in")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("in")
     shares = written(shares.join(shared, F.col("bucket") == F.col("in"), "left_semi"), f"{path}/held")
-    need = shares.select(F.col("node").alias("need")).distinct().hint("shuffle_hash")
+    need = bounded(shares.select(F.col("node").alias("need")).distinct(), f"{path}/need")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    texts = written(texts.join(need, F.col("node") == F.col("need"), "left_semi"), f"{path}/texts").dropDuplicates(["node"])
+    texts = written(texts.join(need, F.col("node") == F.col("need"), "left_semi"), f"{path}/texts")
+    if not repeated.isEmpty():
+        texts = written(one_text(texts, repeated), f"{path}/one_text")
     roots = shares.select("node", F.col("node").alias("root")).limit(0)
     links = shares.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for turn in range(STARS + 1):
@@ -313,12 +401,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
             found = confirmed(written(sifted(pairs, own), f"{path}/sifted{turn}"), texts)
         else:
             sized = placed.join(mixed.select("in", "n"), F.col("bucket") == F.col("in")).select("bucket", "node", "root", "n")
-            found = links_across(written(sized, f"{path}/left"), own, texts)
+            found = links_across(written(sized, f"{path}/left"), own, texts, path)
         found = written(found, f"{path}/links{turn}")
         if not found.isEmpty():
             links = links.union(found)
             roots = components(links, f"{path}/turn{turn}")
-    joined = signed.join(nodes, F.col("set_digest") == F.col("digest"), "left")
+    signed = signed.select("doc_id", "n_shingles", "set_digest").join(repeated, F.col("doc_id") == F.col("of"), "left").drop("of")
+    joined = signed.join(nodes, F.coalesce("least", "set_digest") == F.col("digest"), "left")
     joined = joined.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
@@ -326,6 +415,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all columns; rows with a null id stay. See ``near_groups``."""
-    gone = near_groups(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone.distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """One document of each group, with all columns, whatever their names; see ``near_groups``.
+
+    Rows with a null id or without words stay, rows that repeat an id share their fate, and an empty table stays empty.
+    The ids that go are written, and broadcast only if they are few enough.
+    """
+    name = unused(docs, "gone_id")
+    gone = near_groups(docs).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    gone = bounded(gone, f"{work_dir(docs.sparkSession)}/gone")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -89,9 +89,15 @@ def near_rows(seed):
     return rows
 
 
+def boundary_rows():
+    """Words that repeat, in texts of about as many words as a shingle has."""
+    rng = random.Random(8)
+    texts = [" ".join(["a"] * n) for n in range(1, 9)] + [" ".join(rng.choice("ab") for _ in range(rng.randrange(3, 8))) for _ in range(30)]
+    return list(enumerate([*texts, "a b a b a b a b", "a b a b a b", "b a b a b a"]))
+
+
 def test_near_groups_equal_brute_force(spark):
-    for seed in (5, 6):
-        rows = near_rows(seed)
+    for rows in (near_rows(5), near_rows(6), boundary_rows()):
         got = minhash.near_groups(documents(spark, rows)).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == near_by_hand(rows)
 
@@ -110,13 +116,69 @@ def test_near_groups_of_odd_rows(spark):
 
 def test_blocks_find_all_links_of_one_bucket(spark, monkeypatch):
     """Tiny blocks and no star rounds: every link comes from comparing pairs of blocks."""
-    monkeypatch.setattr(minhash, "BLOCK", 2)
-    monkeypatch.setattr(minhash, "STARS", 0)
+    for name, value in (("BLOCK", 2), ("BLOCK_BYTES", 1500), ("DEAL_FROM", 3), ("STARS", 0)):
+        monkeypatch.setattr(minhash, name, value)
     rows = near_rows(7)
     got = minhash.near_groups(documents(spark, rows)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == near_by_hand(rows)
 
 
+def test_leaders_of_many_followers_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FOLLOWERS", 2)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(60)]
+    rows = [(i, " ".join(base[:-1] + [word()])) for i in range(40)]
+    got = minhash.near_groups(documents(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == near_by_hand(rows)
+
+
+def test_ids_of_several_texts_are_one_document(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(50)) for c in "xy")
+    rows = [(1, one), (2, two), (7, one), (7, two), (7, None), (8, one + " z")]
+    a, b = documents(spark, rows), documents(spark, rows[::-1]).repartition(3)
+    for docs in (a, b):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_groups(docs).collect())
+        of_seven = {x[2] for x in got if x[0] == 7 and x[1]}
+        assert of_seven in ({1}, {2}) and (7, 0, 7, True) in got and (8, 47, 1, False) in got and len(got) == 6
+    assert sorted(map(tuple, minhash.near_groups(a).collect())) == sorted(map(tuple, minhash.near_groups(b).collect()))
+
+
+ODD = "doc_id long, text string, gone_id long, GONE_ID_ int, gone_texts string"
+
+
+def test_drop_stages_of_odd_rows_and_clashing_names(spark):
+    rows = [*odd_rows(), (9, "same words here"), (10, "a b c d e f"), (11, "A b c d e f")]
+    docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], ODD)
+    exact = [(i, k, h) for i, k, _, _, h in exact_by_hand(rows)]
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    want = sorted((str(i) for i, k, _ in exact if i == k or i is None))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
+    near = minhash.drop_near_copies(docs)
+    assert near.columns == docs.columns
+    by_hand = near_by_hand([(i, t) for i, t in rows if i is not None])
+    assert sorted(str(r["doc_id"]) for r in near.collect()) == sorted(str(i) for i, _ in rows if i is None or by_hand[i][2])
+    assert exact_dedup.drop_exact_copies(docs.limit(0)).collect() == minhash.drop_near_copies(docs.limit(0)).collect() == []
+
+
+def test_another_text_under_a_dropped_id_stays(spark):
+    docs = spark.createDataFrame([(3, "a", 1, 2, "x"), (5, "a ", 1, 2, "x"), (5, "b", 1, 2, "x"), (6, "a  ", 1, 2, "x"), (3, "a ", 1, 2, "x")], ODD)
+    got = sorted((r["doc_id"], r["text"]) for r in exact_dedup.drop_exact_copies(docs).collect())
+    assert (5, "b") in got and (3, "a") in got and (5, "a ") not in got and (6, "a  ") not in got
+
+
+def test_lists_too_long_to_broadcast_are_shuffled(spark, monkeypatch):
+    from tapewright.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = near_rows(11) + random_rows(12)
+    rows = list(enumerate(t for _, t in rows))
+    docs = documents(spark, rows)
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_copies(docs).collect()) == sorted(i for i, k, *_ in exact_by_hand(rows) if i == k)
+    assert sorted(r["doc_id"] for r in minhash.drop_near_copies(docs).collect()) == sorted(i for i, (_, _, k) in near_by_hand(rows).items() if k)
+
+
 def test_odd_sketch_estimates_high_similarity():
     rng = random.Random(3)
     for share in (0.75, 0.85, 0.95):
@@ -133,8 +195,8 @@ def test_odd_sketch_estimates_high_similarity():
 
 
 def test_components_of_a_chain_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(100, 130)] + [(1, i) for i in range(2, 40)] + [(500, 400), (400, 450)]
+    edges = [(i, i + 1) for i in range(100, 130)] + [(600 + (7 * i) % 61, 600 + (7 * (i + 1)) % 61) for i in range(60)] + [(1, i) for i in range(2, 40)] + [(500, 400), (400, 450)]
     from tapewright.llm.common import work_dir
 
     got = {r["node"]: r["root"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long"), work_dir(spark)).collect()}
-    assert got == {i: 100 for i in range(101, 131)} | {i: 1 for i in range(2, 40)} | {500: 400, 450: 400}
+    assert got == {i: 100 for i in range(101, 131)} | {i: 1 for i in range(2, 40)} | {500: 400, 450: 400} | {i: 600 for i in range(601, 661)}
