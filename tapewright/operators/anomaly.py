@@ -12,26 +12,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import FEATURES
+from ..sources.work import kept
+from .quantile import exact_percentiles
+
+
+def _values(df: DataFrame, columns: list[str], share: float) -> dict[str, float | None]:
+    """One exact percentile of each column; null without values."""
+    return dict.fromkeys(columns) | {r["column"]: r["value"] for r in exact_percentiles(df, columns, [share]).collect()}
 
 
 def robust_z(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds <column>_z for each: the distance from the median in median absolute deviations. Two passes of one row each."""
-    m = df.agg(*[F.median(c).alias(c) for c in columns]).first()
-    d = df.agg(*[F.median(F.abs(F.col(c) - F.lit(m[c]))).alias(c) for c in columns]).first()
+    """Adds <column>_z for each: the distance from the median in median absolute deviations.
+
+    ``df`` should be cheap to read again: medians and deviations take two passes each and one row for each column.
+    """
+    m = _values(df, columns, 0.5)
+    d = _values(df.select(*[F.abs(F.col(c) - F.lit(m[c])).alias(c) for c in columns]), columns, 0.5)
     return df.withColumns({f"{c}_z": (F.col(c) - F.lit(m[c])) / (F.lit(d[c]) + 1e-12) for c in columns})
 
 
 def top_share_flags(df: DataFrame, columns: list[str], share: float) -> DataFrame:
-    """Adds <column>_flag for each: whether the value is at or above the (1 - share) percentile."""
-    cut = df.agg(*[F.percentile(c, F.lit(1 - share)).alias(c) for c in columns]).first()
+    """Adds <column>_flag for each: whether the value is at or above the (1 - share) percentile. Reads ``df`` twice more."""
+    cut = _values(df, columns, 1 - share)
     return df.withColumns({f"{c}_flag": F.col(c) >= F.lit(cut[c]) for c in columns})
 
 
 def robust_z_flags(labelled: DataFrame) -> DataFrame:
-    """Adds is_shock and four flags, each set for as large a share of rows as there are shocks."""
+    """Adds is_shock and four flags, each set for as large a share of rows as there are shocks.
+
+    The rows are written once with their three scores, so the passes for medians and cuts don't compute them again.
+    """
     rows = labelled.withColumns(
         {"is_shock": F.col("y") != 0, "abs_return": F.abs("r_t"), "return_over_sigma": F.abs("r_t") / F.col("sigma_hat"), "volspike": F.col("VolSpike_t")}
     )
+    rows = kept(rows)
     share = rows.agg(F.avg(F.col("is_shock").cast("double")).alias("s")).first()["s"] or 0.0
     names = ["abs_return", "return_over_sigma", "volspike"]
     flagged = top_share_flags(robust_z(rows, names), [f"{n}_z" for n in names], share)

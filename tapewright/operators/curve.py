@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import f_beta
+from ..sources.work import kept
 from .scale import bucketed_running_sums
 
 #: Fewer scored rows than this are too few to choose a threshold.
@@ -15,12 +16,13 @@ LEAST_ROWS = 5
 def pr_curve(scored: DataFrame, score: str = "p", target: str = "y", keys: list[str] = ()) -> DataFrame:
     """One row per key and distinct score: thr, tp, fp, positives, precision, recall for predicting p >= thr.
 
-    Scores are counted before they are shuffled; running sums go over buckets of scores, not over all rows of a key.
-    Without positives recall is 1.
+    Scores are counted before they are shuffled, and the counts, one row per key and score, are written once; running
+    sums go over buckets of scores, not over all rows of a key. Without positives recall is 1.
     """
     keys = list(keys)
     hit = F.col(target).cast("long")
     counts = scored.groupBy(*keys, F.col(score).alias("thr")).agg(F.sum(hit).alias("tp"), F.sum(1 - hit).alias("fp"))
+    counts = kept(counts)
     points = bucketed_running_sums(counts, "thr", ["tp", "fp"], keys)
     total = counts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("tp").alias("positives"), F.sum(F.col("tp") + F.col("fp")).alias("n"))
     on = F.lit(True)
@@ -31,8 +33,8 @@ def pr_curve(scored: DataFrame, score: str = "p", target: str = "y", keys: list[
     return joined.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": rec})
 
 
-def _neighbour(column: str, keys: list[str], value: Column, default: float, out: str, curve: DataFrame) -> DataFrame:
-    """Adds ``value`` at the next higher threshold of the curve, ``default`` at the highest; inside buckets of scores."""
+def _neighbour(keys: list[str], value: Column, out: str, curve: DataFrame) -> DataFrame:
+    """Adds ``value`` at the next higher threshold of the curve, null at the highest; inside buckets of scores."""
     rows = curve.withColumn("_b", F.least(F.floor(F.col("thr") * 4096), F.lit(4095)))
     inside = Window.partitionBy(*keys, "_b").orderBy("thr")
     rows = rows.withColumn("_in", F.lead(value).over(inside))
@@ -42,14 +44,14 @@ def _neighbour(column: str, keys: list[str], value: Column, default: float, out:
     on = F.col("_b") == F.col("_bucket")
     for k in keys:
         on &= F.col(k) == F.col(f"_{k}")
-    return rows.join(first, on).withColumn(out, F.coalesce("_in", "_next", F.lit(default))).drop("_b", "_in", "_bucket", "_next", *[f"_{k}" for k in keys])
+    return rows.join(first, on).withColumn(out, F.coalesce("_in", "_next")).drop("_b", "_in", "_bucket", "_next", *[f"_{k}" for k in keys])
 
 
 def average_precision(curve: DataFrame, keys: list[str] = ()) -> DataFrame:
     """(keys, ap): the sum of recall steps times precision over distinct scores; 0 without positives."""
     keys = list(keys)
-    stepped = _neighbour("recall", keys, F.col("recall"), 0.0, "_above", curve)
-    part = F.when(F.col("positives") > 0, (F.col("recall") - F.col("_above")) * F.col("precision")).otherwise(F.lit(0.0))
+    stepped = _neighbour(keys, F.col("recall"), "_above", curve)
+    part = F.when(F.col("positives") > 0, (F.col("recall") - F.coalesce("_above", F.lit(0.0))) * F.col("precision")).otherwise(F.lit(0.0))
     return stepped.groupBy(*keys).agg(F.sum(part).alias("ap"))
 
 
@@ -73,15 +75,13 @@ def choose_threshold(
     keys = list(keys)
     if policy not in ("f1", "fbeta", "recall_at_precision", "precision_at_recall"):
         raise ValueError(f"unknown policy {policy}")
-    ap = average_precision(curve, keys)
-    if pairing == "reference":
-        point = F.struct("precision", "recall")
-        rows = _neighbour("", keys, point, None, "_p", curve)
-        rows = rows.withColumns({"precision": F.coalesce("_p.precision", F.lit(1.0)), "recall": F.coalesce("_p.recall", F.lit(0.0))}).drop("_p")
-    elif pairing == "aligned":
-        rows = curve
-    else:
+    if pairing not in ("reference", "aligned"):
         raise ValueError(f"unknown pairing {pairing}")
+    rows = _neighbour(keys, F.struct("precision", "recall"), "_p", curve)
+    above = F.coalesce("_p.recall", F.lit(0.0))
+    rows = rows.withColumn("_step", F.when(F.col("positives") > 0, (F.col("recall") - above) * F.col("precision")).otherwise(F.lit(0.0)))
+    if pairing == "reference":
+        rows = rows.withColumns({"precision": F.coalesce("_p.precision", F.lit(1.0)), "recall": above})
     rows = rows.withColumns({"f1": f_beta(F.col("precision"), F.col("recall")), "fbeta": f_beta(F.col("precision"), F.col("recall"), beta)})
     allowed = F.lit(True)
     if min_precision is not None:
@@ -89,10 +89,10 @@ def choose_threshold(
     if min_recall is not None:
         allowed &= F.col("recall") >= float(min_recall)
     value = F.col({"f1": "f1", "fbeta": "fbeta", "recall_at_precision": "recall", "precision_at_recall": "precision"}[policy])
-    rows = rows.withColumns({"_ok": allowed, "_value": value})
+    rows = kept(rows.withColumns({"_ok": allowed, "_value": value}).drop("_p"))
     enough = F.assert_true(F.min("n") >= LEAST_ROWS, F.lit("too few samples to choose a threshold"))
     best = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        F.max(F.when(F.col("_ok"), F.col("_value"))).alias("_best_ok"), F.max("_value").alias("_best_all"), enough.alias("_enough")
+        F.max(F.when(F.col("_ok"), F.col("_value"))).alias("_best_ok"), F.max("_value").alias("_best_all"), F.sum("_step").alias("_ap"), enough.alias("_enough")
     )
     on = F.col("_enough").isNull()
     for k in keys:
@@ -100,6 +100,5 @@ def choose_threshold(
     rows = rows.join(best, on) if keys else rows.crossJoin(F.broadcast(best)).where(on)  # one row
     top = F.coalesce("_best_ok", "_best_all")
     rows = rows.where((F.col("_best_ok").isNull() | F.col("_ok")) & (F.abs(F.col("_value") - top) <= 1e-12 + 1e-5 * F.abs(top)))
-    pick = F.max(F.struct("precision", "recall", "thr", "f1", "fbeta")).alias("_pick")
-    out = rows.groupBy(*keys).agg(pick).select(*keys, "_pick.thr", "_pick.precision", "_pick.recall", "_pick.f1", "_pick.fbeta")
-    return out.join(ap, keys) if keys else out.crossJoin(F.broadcast(ap))
+    pick = F.max(F.struct("precision", "recall", "thr", "f1", "fbeta", F.col("_ap").alias("ap"))).alias("_pick")
+    return rows.groupBy(*keys).agg(pick).select(*keys, "_pick.thr", "_pick.precision", "_pick.recall", "_pick.f1", "_pick.fbeta", "_pick.ap")

@@ -13,10 +13,14 @@ TIMES = ["sec", "timestamp", "ts", "time", "t"]
 
 
 def infer_label_col(df: DataFrame) -> str:
-    """The first known name whose values are all 0, 1 or 2; one pass over the candidates."""
+    """The first known name whose values, apart from nulls, are all 0, 1 or 2; one pass over the candidates.
+
+    A column of nulls alone is no label.
+    """
     named = [c for c in LABELS if c in df.columns]
     if named:
-        fits = df.agg(*[F.bool_and(F.coalesce(F.col(c).cast("double").isin(0.0, 1.0, 2.0), F.lit(False))).alias(c) for c in named]).first()
+        known = {c: F.coalesce(F.col(c).try_cast("double").isin(0.0, 1.0, 2.0), F.lit(False)) for c in named}
+        fits = df.agg(*[F.bool_and(F.when(F.col(c).isNotNull(), ok)).alias(c) for c, ok in known.items()]).first()
         for c in named:
             if fits[c]:
                 return c

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import shock_label, shock_threshold
 from ..schema import ALPHA, HORIZON
+from ..sources.work import kept
+from .quantile import percentile_columns
 from .scale import halo_window
 
 
@@ -42,9 +44,9 @@ def require_shocks(labelled: DataFrame) -> DataFrame:
 def alpha_sweep(feats: DataFrame, alphas: list[float], horizon: int = HORIZON) -> DataFrame:
     """Per alpha: labelled rows, shocks by side with rates, and percentiles of the shocks' absolute future return.
 
-    ``alphas`` are a handful of numbers, unrolled in each row.
+    ``alphas`` are a handful of numbers, unrolled in each row; the two columns that they apply to are written once.
     """
-    rows = forward_return(feats, horizon).where(F.col("future_r").isNotNull()).select("future_r", "sigma_hat")
+    rows = kept(forward_return(feats, horizon).where(F.col("future_r").isNotNull()).select("future_r", "sigma_hat"))
     rows = rows.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     y = shock_label(F.col("future_r"), shock_threshold(F.col("sigma_hat"), F.col("alpha"), horizon))
     rows = rows.withColumn("y", y).withColumn("size", F.when(y != 0, F.abs("future_r")))
@@ -53,7 +55,6 @@ def alpha_sweep(feats: DataFrame, alphas: list[float], horizon: int = HORIZON) -
         F.count_if(F.col("y") != 0).alias("shocks"),
         F.count_if(F.col("y") == 1).alias("neg"),
         F.count_if(F.col("y") == 2).alias("pos"),
-        *[F.percentile("size", F.lit(q)).alias(f"p{int(100 * q)}") for q in (0.5, 0.9, 0.99)],
-    )
+    ).join(percentile_columns(rows, "size", [0.5, 0.9, 0.99], ["alpha"]), "alpha", "left")
     share = lambda c: F.col(c) / F.col("n")
     return out.withColumns({"shock_rate": share("shocks"), "neg_rate": share("neg"), "pos_rate": share("pos"), "pos_neg_ratio": F.try_divide("pos", "neg")})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import f1, precision, recall, tail_ratio
+from .quantile import percentile_columns
 
 
 def binary_prf(df: DataFrame, truth: Column, predicted: Column, keys: list[str] = ()) -> DataFrame:
@@ -18,13 +19,13 @@ def binary_prf(df: DataFrame, truth: Column, predicted: Column, keys: list[str]
     return out.withColumns({"precision": p, "recall": r, "f1": f1(p, r)})
 
 
-def two_stage_prf(scored: DataFrame, tau: float, tau2: float, population: str = "predicted") -> DataFrame:
-    """Both stages' precision, recall and F1. Stage 2 is measured over ``predicted`` shocks or over ``true`` ones."""
+def two_stage_prf(scored: DataFrame, tau: float | Column, tau2: float | Column, population: str = "predicted", keys: list[str] = ()) -> DataFrame:
+    """Per key both stages' precision, recall and F1. Stage 2 is measured over ``predicted`` shocks or over ``true`` ones."""
     if population not in ("predicted", "true"):
         raise ValueError(f"unknown population {population}")
-    first = binary_prf(scored, F.col("y") != 0, F.col("p1") >= tau).withColumn("stage", F.lit(1))
+    first = binary_prf(scored, F.col("y") != 0, F.col("p1") >= tau, keys).withColumn("stage", F.lit(1))
     rows = scored.where(F.col("p1") >= tau) if population == "predicted" else scored.where(F.col("y") != 0)
-    second = binary_prf(rows, F.col("y") == 2, F.col("p2") >= tau2).withColumn("stage", F.lit(2))
+    second = binary_prf(rows, F.col("y") == 2, F.col("p2") >= tau2, keys).withColumn("stage", F.lit(2))
     return first.unionByName(second)
 
 
@@ -61,9 +62,10 @@ def normalised_latency(df: DataFrame) -> DataFrame:
 
 def latency_summary(df: DataFrame, keys: list[str], ms: str = "total_ms", deadline: float = 10.0, exact: bool = True) -> DataFrame:
     """n, mean, p50, p90, p95, p99 and the share beyond the deadline; ``exact=False`` sketches the percentiles."""
-    shares = (0.5, 0.9, 0.95, 0.99)
-    q = [(F.percentile(ms, F.lit(s)) if exact else F.percentile_approx(ms, s)).alias(f"p{int(100 * s)}") for s in shares]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(ms).alias("mean"), *q, F.avg((F.col(ms) > deadline).cast("double")).alias("miss_rate"))
+    shares = [0.5, 0.9, 0.95, 0.99]
+    sketched = [] if exact else [F.percentile_approx(ms, s).alias(f"p{int(100 * s)}") for s in shares]
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(ms).alias("mean"), *sketched, F.avg((F.col(ms) > deadline).cast("double")).alias("miss_rate"))
+    return out.join(percentile_columns(df, ms, shares, keys), keys, "left") if exact else out
 
 
 def tail_comparison(summary: DataFrame, keys: list[str], side: str, fast: str, slow: str) -> DataFrame:

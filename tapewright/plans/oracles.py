@@ -206,9 +206,30 @@ ORACLES: dict[str, str] = {
     + """), c AS (SELECT method, count(*) FILTER (t AND f) AS tp, count(*) FILTER (NOT t AND f) AS fp, count(*) FILTER (t AND NOT f) AS fn, count(*) FILTER (NOT t AND NOT f) AS tn, count(*) AS n FROM m GROUP BY 1)
         SELECT method, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) AS jaccard,
             round((tp + tn) / n, 6) AS agreement, round((tp + fp) / n, 6) AS anomaly_rate, round((tp + fn) / n, 6) AS proxy_rate FROM c""",
-    "replay_k": f"""{W}{FEATS} SELECT t, t % 4 AS sym, symbol AS base, idx, {rounded('r_t')} FROM range(2000) AS r(t) JOIN feats ON symbol = (SELECT min(symbol) FROM feats) AND idx = 20 * (t % 4) + t // 4""",
-    "artifact_tag": """SELECT h, 'H' || h || '_a' || (CASE WHEN h % 4 = 0 THEN (h // 4)::VARCHAR ELSE (h / 4)::DOUBLE::VARCHAR END) || '_L' || lpad(round_even(h * 100 / 64, 0)::BIGINT::VARCHAR, 2, '0') AS tag, n
-        FROM (SELECT event_id % 60 + 1 AS h, count(*) AS n FROM events GROUP BY 1)""",
+    "replay_k": f"""{W}{FEATS}, bases AS (SELECT symbol AS base, row_number() OVER (ORDER BY symbol) - 1 AS place, count(*) OVER () AS turns FROM (SELECT DISTINCT symbol FROM feats))
+        SELECT t, t % 8 AS sym, base, idx, {rounded('r_t')} FROM (SELECT unnest(range(8 * (SELECT max(key_rows) FROM feats))) AS t) JOIN bases ON place = (t % 8) % turns
+        JOIN feats ON symbol = base AND idx = 50 * (t % 8) + 20 + t // 8""",
+    "artifact_tag": """SELECT 'H' || (event_id % 60 + 1) || '_a' || (CASE WHEN user_id % 4 = 0 THEN (user_id % 40 // 4)::VARCHAR ELSE (user_id % 40 / 4)::DOUBLE::VARCHAR END)
+            || '_L' || lpad(round_even(event_id % 64 * 100 / 64, 0)::BIGINT::VARCHAR, 2, '0') AS tag, count(*) AS n
+        FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL GROUP BY 1""",
+    "gated_second_model": f"{W}{SCORED} SELECT symbol, {HOUR}, {PREDICTED.format(p2='CASE WHEN p1 >= 0.5 THEN round(p2, 6) END')} FROM scored",
+    "threshold_join": f"""{W}{SCORED}, tuned AS (SELECT symbol, coalesce(CASE WHEN count(*) FILTER (y <> 0) % 2 = 0 THEN floor(avg(p1) * 1e3 + 0.5) / 1e3 END, 0.5) AS tau FROM scored GROUP BY 1)
+        SELECT symbol, round(tau, 6) AS tau, CAST(CASE WHEN p1 < tau THEN 0 WHEN p2 >= 0.5 THEN 2 ELSE 1 END AS BIGINT) AS yhat, count(*) AS n FROM scored JOIN tuned USING (symbol) GROUP BY 1, 2, 3""",
+    "feature_vector": f"{W}{FEATS} SELECT symbol, {HOUR}, 6::BIGINT AS size, round(r_t + sigma_hat + OFI_t + Imbalance_t + VolSpike_t + msg_count, 6) AS total FROM feats",
+    "message_parse": f"""WITH {TRADES.replace("FROM events WHERE ts IS NOT NULL", "FROM events WHERE event_id % 10 <> 0")},
+        good AS (SELECT * FROM trades WHERE ts IS NOT NULL AND price IS NOT NULL AND qty IS NOT NULL)
+        SELECT lower(symbol) AS symbol, count(*) AS n, round(sum(price), 6) AS price, round(sum(qty), 6) AS qty, count(*) FILTER (maker) AS makers FROM good GROUP BY 1
+        UNION ALL SELECT 'rejected', (SELECT count(*) FROM events) - (SELECT count(*) FROM good), 0, 0, 0""",
+    "chunk_scan": """SELECT event_type AS symbol, count(*) AS n, round(sum(CAST(nullif(regexp_extract(props, '([0-9]+)', 1), '') AS DOUBLE)), 6) AS qty,
+            CAST(floor(epoch(min(ts))) AS BIGINT) AS first_sec, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_sec
+        FROM events WHERE ts IS NOT NULL AND event_id % 10 <> 0 GROUP BY 1""",
+    "flush_tail": f"{W}{FEATS} SELECT {HOUR}, {rounded('vwap', 'r_t')} FROM feats WHERE symbol = (SELECT min(symbol) FROM feats) ORDER BY feats.sec DESC LIMIT 100",
+    "results_union": f"""WITH {LATENCY} SELECT engine, NULL::BIGINT AS k, count(*) AS n, round(max(total_ms), 6) AS most FROM latency GROUP BY 1
+        UNION ALL SELECT NULL, k, count(*), round(max(total_ms), 6) FROM latency GROUP BY k""",
+    "labelled_files": f"""{W}{LABELLED} SELECT kind, symbol, count(*) AS n, count(*) FILTER (y <> 0) AS shocks, round(sum(future_r), 6) AS future_r, CAST(epoch(max(sec)) AS BIGINT) AS last_sec
+        FROM labelled, (VALUES ('parquet'), ('csv')) AS k(kind) GROUP BY 1, 2""",
+    "stream_hot_rows": f"""{W}{FEATS} SELECT symbol, {HOUR}, {rounded('vwap', *F6)}, msg_count FROM (
+        SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY feats.sec DESC) AS nth FROM feats WHERE {CLOSED}) WHERE nth <= 30""",
     # a stream puts out the bars that ended an hour, its watermark's delay, before the newest trade
     "stream_bars": f"WITH {BARS} SELECT symbol, {HOUR}, {rounded('sum_pq', 'sum_q', 'total_vol', 'buy_vol', 'sell_vol')}, msg_count FROM bars WHERE {CLOSED}",
     "stream_features": f"{W}{FEATS} SELECT symbol, {HOUR}, {rounded('total_vol', 'vwap', 'buy_vol', 'sell_vol', *F6)}, msg_count, least(idx + 1, 30)::BIGINT AS window_rows FROM feats WHERE {CLOSED}",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,9 @@ from ..functions import artifact_tag, logit_adjusted, side
 from ..operators import anomaly, curve, features, labels, metrics, score, split
 from ..operators.bars import bars
 from ..schema import FEATURES, LAMBDA
-from ..sources.trades import replay, trades_of_events, trades_of_lineitem
+from ..sources import files
+from ..sources.trades import parse_messages, read_trades, replay, trades_of_events, trades_of_lineitem
+from ..sources.work import kept, work_dir
 from ..streaming import live
 from . import training
 
@@ -345,18 +345,20 @@ def proxy_overlap(spark, sf):
 
 @query
 def replay_k(spark, sf):
-    return out(replay(feats(spark, sf), 4, 2000, stride=20), "t", "sym", "base", "idx", "r_t")
+    return out(replay(feats(spark, sf), 8, stride=50, warmup=20), "t", "sym", "base", "idx", "r_t")
 
 
 @query
 def artifact_tag_rows(spark, sf):
-    rows = spark.range(1, 61).select(F.col("id").alias("h"), (F.col("id") / 4).alias("alpha"), (F.col("id") / 64).alias("lam"))
-    n = table(spark, sf, "events").select((F.pmod("event_id", F.lit(60)) + 1).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(n, "h").select("h", artifact_tag(F.col("h"), F.col("alpha"), F.col("lam")).alias("tag"), "n")
+    e = table(spark, sf, "events").where("event_id IS NOT NULL AND user_id IS NOT NULL")
+    alpha, lam = F.pmod("user_id", F.lit(40)) / 4, F.pmod("event_id", F.lit(64)) / 64
+    tag = artifact_tag(F.pmod("event_id", F.lit(60)) + 1, alpha, lam)
+    return e.groupBy(tag.alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _two_stage(spark, sf, kind):
-    rows = split.two_way(_split(spark, sf), 0.2, HORIZON).select("symbol", "sec", "part", "y", *FEATURES).cache()
+    rows = split.two_way(_split(spark, sf), 0.2, HORIZON).select("symbol", "sec", "part", "y", *FEATURES)
+    rows = kept(rows)
     val = rows.where("part = 'val'")
     both = training.two_stage(rows.where("part = 'train'"), val, kind, validation=val)
     return score.gate(both, TAU, TAU2).select("symbol", "sec", "y", "p1", "p2", "yhat")
@@ -383,9 +385,94 @@ def isolation_forest_flags(spark, sf):
     return anomaly.top_share_flags(rows, ["score"], 0.2).select("symbol", "sec", "y", "score", "score_flag")
 
 
+@query
+def holdout_metrics(spark, sf):
+    _, _, metrics_rows = training.hold_out(labelled(spark, sf), HORIZON)
+    return metrics_rows.select("model", "population", "stage", "tp", "fp", "fn", "precision", "recall", "f1")
+
+
+@query
+def gated_second_model(spark, sf):
+    rows = scored(spark, sf)
+    second = lambda part: part.withColumn("p2", F.round(1 / (1 + F.exp(-F.col("Imbalance_t"))), 4))
+    return out(score.gated_transform(rows.drop("p2"), second, TAU, TAU2), "symbol", "sec", "p1", "p2", "yhat")
+
+
+@query
+def threshold_join(spark, sf):
+    """A gate tuned for each symbol of many shocks, the default for others, joined to the scores."""
+    rows = scored(spark, sf)
+    tuned = rows.groupBy(F.col("symbol").alias("of")).agg(F.when(F.count_if(F.col("y") != 0) % 2 == 0, F.avg("p1")).alias("thr"))
+    both = rows.join(tuned, F.col("symbol") == F.col("of"))
+    both = both.withColumn("tau", score.threshold(None, F.round("thr", 3), TAU))
+    return out(score.gate(both, F.col("tau"), TAU2).groupBy("symbol", "tau", "yhat").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def feature_vector(spark, sf):
+    values = F.array(*[F.col(c).cast("double") for c in FEATURES], F.col("vwap"))
+    rows = feats(spark, sf).withColumn("x", score.feature_vector(values))
+    return out(rows.select("symbol", "sec", F.size("x").alias("size"), F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total")))
+
+
+@query
+def message_parse(spark, sf):
+    """The events as JSON messages, every tenth of them broken, parsed again."""
+    t = trades_of_events(table(spark, sf, "events").where("event_id % 10 != 0"))
+    message = F.struct(F.upper("symbol").alias("s"), F.unix_millis("ts").alias("T"), F.col("price").cast("string").alias("p"), F.col("qty").cast("string").alias("q"), F.col("is_buyer_maker").alias("m"))
+    broken = table(spark, sf, "events").where("event_id % 10 = 0").select(F.concat(F.lit('{"s":"'), "event_id").alias("value"))
+    good, rest = parse_messages(t.select(F.to_json(message).alias("value")).unionByName(broken))
+    sums = good.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"), F.sum("qty").alias("qty"), F.count_if("is_buyer_maker").alias("makers"))
+    zero = F.lit(0.0)
+    return out(sums.unionByName(rest.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("symbol"), "n", zero.alias("price"), zero.alias("qty"), F.lit(0).cast("long").alias("makers"))))
+
+
+@query
+def chunk_scan(spark, sf):
+    """Trades written as files with times as strings, some of which are none, and scanned."""
+    e = table(spark, sf, "events").withColumn("at", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))
+    t = trades_of_events(e.withColumn("ts", F.col("ts").cast("timestamp")))
+    lines = e.select("event_id", "at", "event_type", "value", "props", "user_id").withColumn("ts", F.when(F.col("event_id") % 10 == 0, "not a time").otherwise(F.col("at")))
+    lines = lines.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.expr("try_cast(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE)").alias("qty"), (F.col("user_id") % 2 == 1).alias("is_buyer_maker"))
+    path = work_dir(spark)
+    lines.write.parquet(path)
+    rows = read_trades(spark, path, pattern="part-*.parquet")
+    assert rows.columns == t.columns
+    return out(rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"), F.min("ts").alias("first_sec"), F.max("ts").alias("last_sec")))
+
+
+@query
+def flush_tail(spark, sf):
+    """Features flushed to numbered files, and the newest rows of the first symbol read back."""
+    rows, path = kept(feats(spark, sf)), work_dir(spark)
+    files.write_flush(rows, path, 50)
+    symbol = rows.agg(F.min("symbol")).first()[0]
+    return out(files.read_tail(spark, path, symbol, 100, ["sec", "vwap", "r_t"], time_sort=True))
+
+
+@query
+def results_union(spark, sf):
+    """Two result tables as CSV, read back from the one that has all."""
+    rows, path = metrics.normalised_latency(_latencies(spark, sf)), work_dir(spark)
+    sums = [F.count(F.lit(1)).alias("n"), F.max("total_ms").alias("most")]
+    files.write_results({"by_engine": rows.groupBy("engine").agg(*sums), "by_k": rows.groupBy("k").agg(*sums)}, path)
+    full = spark.read.option("header", True).csv(f"{path}/FULL")
+    return out(full.select("engine", F.col("k").cast("long").alias("k"), F.col("n").cast("long").alias("n"), F.col("most").cast("double").alias("most")))
+
+
+@query
+def labelled_files(spark, sf):
+    """Labelled rows written as Parquet and as CSV and read back."""
+    rows, path = kept(labelled(spark, sf).select("symbol", "sec", *[F.col(c).cast("double") for c in FEATURES], "future_r", "y")), work_dir(spark)
+    files.write_labeled(rows, f"{path}/rows")
+    rows.write.option("header", True).csv(f"{path}/rows.csv")
+    parts = [files.read_labeled(spark, f"{path}/rows{end}").withColumn("kind", F.lit(kind)) for end, kind in (("", "parquet"), (".csv", "csv"))]
+    both = parts[0].unionByName(parts[1])
+    return out(both.groupBy("kind", "symbol").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") != 0).alias("shocks"), F.sum("future_r").alias("future_r"), F.max("sec").alias("last_sec")))
+
+
 def _stream_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tapewright-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return work_dir(spark, "stream")
 
 
 def _live_bars(spark, sf):
@@ -415,5 +502,15 @@ def stream_scores(spark, sf):
     return out(live.run_to_table(scores, _stream_dir(spark)), "symbol", "sec", "p1", "p2", "yhat")
 
 
+@query
+def stream_hot_rows(spark, sf):
+    """The newest rows of each symbol that the stream with two sinks keeps at hand."""
+    live.use_rocksdb(spark)
+    path = _stream_dir(spark)
+    run = live.write_hot_and_cold(live.stream_features(_live_bars(spark, sf)), f"{path}/sinks", f"{path}/checkpoint")
+    run.awaitTermination()
+    return out(live.hot_rows(spark, f"{path}/sinks"), "symbol", "sec", "vwap", *FEATURES)
+
+
 for _plain, _name in (("bars_hourly", "bars"), ("artifact_tag_rows", "artifact_tag")):
     Q[_name] = Q.pop(_plain)

@@ -13,7 +13,10 @@ from ..operators.curve import choose_threshold, pr_curve
 from ..operators.labels import require_shocks, stage_targets
 from ..operators.metrics import classification_report, two_stage_prf
 from ..operators.score import class_weights, fit_scaler, gate, scale
+from ..operators.split import indexed, require_split, three_way
 from ..schema import FEATURES
+from ..sources.files import gates_by_model
+from ..sources.work import kept
 
 KINDS = ("lr", "rf", "gbt")
 #: Boosting rounds without a better validation loss after which later ones no longer count.
@@ -81,7 +84,7 @@ def two_stage(train: DataFrame, rows: DataFrame, kind: str, rounds: int = 50, va
     ``validation`` is for the early stop of ``fit_stage``.
     """
     scaler = fit_scaler(train)
-    fitted = scale(stage_targets(train), scaler).cache()
+    fitted = kept(scale(stage_targets(train), scaler))
     scored = scale(stage_targets(rows), scaler)
     held = None if validation is None else scale(stage_targets(validation), scaler)
     for stage in (1, 2):
@@ -101,3 +104,41 @@ def evaluate(scored: DataFrame, tau: float, tau2: float, population: str = "pred
     """(precision, recall and F1 of both stages; the three-class report)."""
     report = classification_report(gate(scored, tau, tau2, force=True), [0, 1, 2])
     return two_stage_prf(scored, tau, tau2, population), report
+
+
+def held_out_scores(labelled: DataFrame, gap: int, kinds: tuple[str, ...] = KINDS, rounds: int = 50) -> DataFrame:
+    """(model, part, symbol, sec, y, p1, p2) of validation and test rows, from models fitted on the training rows.
+
+    70, 15 and 15 percent of the rows in the order of time, with ``gap`` rows left out between parts; scaled by the
+    training rows; boosting stops early by the validation rows. ``labelled`` has symbol, sec, y and the features.
+    """
+    placed = indexed(labelled.select("symbol", "sec", "y", *FEATURES), "sec", ["symbol"])
+    rows = kept(three_way(placed, gap).select("symbol", "sec", "part", "y", *FEATURES))
+    require_split(rows.where("part != 'test'"))
+    train, val = rows.where("part = 'train'"), rows.where("part = 'val'")
+    out = None
+    for kind in kinds:
+        scored = two_stage(train, rows.where("part != 'train'"), kind, rounds, val)
+        scored = scored.select(F.lit(kind).alias("model"), "part", "symbol", "sec", "y", "p1", "p2")
+        out = scored if out is None else out.unionByName(scored)
+    return kept(out)
+
+
+def hold_out(labelled: DataFrame, gap: int, kinds: tuple[str, ...] = KINDS, rounds: int = 50, tau: float | None = None, tau2: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores, thresholds, metrics) of the whole evaluation.
+
+    thresholds has model, stage, thr, ... tuned on the validation rows. metrics has, per model, population (predicted
+    or true shocks for stage 2) and stage, the counts, precision, recall and F1 on the test rows, with the gates that
+    are given, or tuned, or the defaults.
+    """
+    scores = held_out_scores(labelled, gap, kinds, rounds)
+    thresholds = kept(tune(scores.where("part = 'val'")))
+    return scores, thresholds, held_out_metrics(scores, thresholds, tau, tau2)
+
+
+def held_out_metrics(scores: DataFrame, thresholds: DataFrame, tau: float | None = None, tau2: float | None = None) -> DataFrame:
+    """The metrics of ``hold_out`` from its scores and thresholds."""
+    gates = gates_by_model(thresholds, tau, tau2)
+    rows = scores.where("part = 'test'").join(gates, "model")
+    parts = [two_stage_prf(rows, F.col("tau"), F.col("tau2"), p, ["model"]).withColumn("population", F.lit(p)) for p in ("predicted", "true")]
+    return parts[0].unionByName(parts[1])

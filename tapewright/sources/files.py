@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import artifact_tag
 from ..operators.features import flush_index
+from ..operators.score import threshold
 from ..schema import FEATURES, FLUSH_ROWS, GATE, SECOND_GATE, THRESHOLDS
 
 
@@ -71,12 +72,26 @@ def write_results(parts: dict[str, DataFrame], path: str) -> None:
         full.write.mode("overwrite").option("header", True).csv(f"{path}/FULL")
 
 
-def write_thresholds(rows: DataFrame, path: str, tag: str, policy: str = "f1", beta: float = 1.0) -> None:
-    """One JSON document from rows (model, stage, thr, precision, recall, f1, fbeta, ap); a handful of rows."""
-    value = F.struct("thr", "precision", "recall", "f1", "fbeta", "ap", F.lit(policy).alias("policy"), F.lit(beta).alias("beta"))
+def write_thresholds(
+    rows: DataFrame,
+    path: str,
+    tag: str,
+    policy: str = "f1",
+    beta: float = 1.0,
+    min_precision: float | None = None,
+    min_recall: float | None = None,
+    use_logit_adjust: bool = False,
+    la_tau: float = 1.0,
+) -> None:
+    """One JSON document from rows (model, stage, thr, precision, recall, f1, fbeta, ap); a handful of rows.
+
+    The policy and its limits stand once for the document and with each threshold; absent limits are left out.
+    """
+    limits = [F.lit(min_precision).cast("double").alias("min_precision"), F.lit(min_recall).cast("double").alias("min_recall")]
+    value = F.struct("thr", "precision", "recall", "f1", "fbeta", "ap", F.lit(policy).alias("policy"), F.lit(beta).alias("beta"), *limits)
     stages = rows.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("stage", value))).alias("stages"))
     models = stages.agg(F.map_from_entries(F.collect_list(F.struct("model", "stages"))).alias("models"))
-    doc = models.select(F.to_json(F.struct(F.lit(tag).alias("tag"), F.lit(policy).alias("thr_policy"), F.lit(beta).alias("beta"), "models")).alias("value"))
+    doc = models.select(F.to_json(F.struct(F.lit(tag).alias("tag"), F.lit(policy).alias("thr_policy"), F.lit(beta).alias("beta"), *limits, F.lit(use_logit_adjust).alias("use_logit_adjust"), F.lit(la_tau).alias("la_tau"), "models")).alias("value"))
     doc.coalesce(1).write.mode("overwrite").text(path)
 
 
@@ -87,6 +102,12 @@ def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     return per.select("tag", "model", "stage", "t.*")
 
 
+def gates_by_model(thresholds: DataFrame, tau: float | None = None, tau2: float | None = None) -> DataFrame:
+    """(model, tau, tau2) from rows (model, stage, thr): an argument before a tuned threshold before the default."""
+    tuned = thresholds.groupBy("model").agg(F.max(F.when(F.col("stage") == "s1", F.col("thr"))).alias("a"), F.max(F.when(F.col("stage") == "s2", F.col("thr"))).alias("b"))
+    return tuned.select("model", threshold(tau, F.col("a"), GATE).alias("tau"), threshold(tau2, F.col("b"), SECOND_GATE).alias("tau2"))
+
+
 def tuned_gates(spark: SparkSession, path: str, model: str) -> tuple[float, float]:
     """(tau, tau2) of a model; the defaults where the document is absent, broken or lacks them."""
     try:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import epoch_ms, parse_ts
@@ -11,9 +11,9 @@ from ..schema import MESSAGE
 CHUNK_COLUMNS = ["ts", "price", "qty", "is_buyer_maker"]
 
 
-def read_trades(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """The chunk_*.parquet files of a folder; an error if there are none or a column is missing. Rows without a time go."""
-    df = spark.read.option("pathGlobFilter", "chunk_*.parquet").parquet(path)
+def read_trades(spark: SparkSession, path: str, symbol: str | None = None, pattern: str = "chunk_*.parquet") -> DataFrame:
+    """The files of a folder with names like ``pattern``; an error if there are none or a column is missing. Rows without a time go."""
+    df = spark.read.option("pathGlobFilter", pattern).parquet(path)
     missing = [c for c in CHUNK_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}")
@@ -33,9 +33,14 @@ def parse_messages(lines: DataFrame, column: str = "value") -> tuple[DataFrame,
     return rows, m.where(~F.coalesce(good, F.lit(False))).select(column)
 
 
+def read_messages_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Two streams from files of JSON lines: trades, and the lines that are none, for a table of their own."""
+    return parse_messages(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path))
+
+
 def read_trades_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """A stream of trades from files of JSON lines."""
-    return parse_messages(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path))[0]
+    """The trades of ``read_messages_stream``."""
+    return read_messages_stream(spark, path, files_per_batch)[0]
 
 
 def trades_of_events(events: DataFrame) -> DataFrame:
@@ -60,16 +65,24 @@ def trades_of_lineitem(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def replay(features: DataFrame, symbols: int, ticks: int, stride: int = 50, warmup: int = 0, bases: list[str] | None = None) -> DataFrame:
-    """A round-robin replay of ``symbols`` shifted copies of one series: (t, sym, base, idx) with the features at idx.
+def replay(features: DataFrame, copies: int, ticks: int | None = None, stride: int = 50, warmup: int = 0, bases: list[str] | None = None) -> DataFrame:
+    """A round-robin replay of ``copies`` shifted copies of series: (t, sym, base, idx) with the features at idx.
 
-    Tick t belongs to copy t % symbols, which reads row stride * copy + warmup + t div symbols of its base symbol's
-    series; several bases take turns. Only ticks whose row exists are returned. ``features`` has symbol and idx.
+    Tick t belongs to copy t % copies, which reads row stride * copy + warmup + t div copies of its base symbol's
+    series; the base symbols take turns, all of them in order if ``bases`` doesn't name some. So each row of a series
+    says by itself which ticks read it, and the whole table is replayed unless ``ticks`` ends it. ``features`` has
+    symbol and idx.
     """
     spark = features.sparkSession
-    bases = bases or [features.agg(F.min("symbol")).first()[0]]
-    names = F.array(*[F.lit(b) for b in bases])
-    t = spark.range(ticks).select(F.col("id").alias("t"), (F.col("id") % symbols).cast("int").alias("sym"))
-    base = F.element_at(names, F.col("sym") % len(bases) + 1)
-    plan = t.select("t", "sym", base.alias("base"), (F.col("sym") * stride + warmup + F.expr(f"t div {symbols}")).alias("at"))
-    return plan.join(features, (F.col("base") == F.col("symbol")) & (F.col("at") == F.col("idx"))).drop("at", "symbol")
+    if bases:
+        places = spark.createDataFrame([(b, i, len(bases)) for i, b in enumerate(bases)], "base string, place int, turns int")
+    else:
+        names = features.select(F.col("symbol").alias("base")).distinct()  # a row for each symbol
+        places = names.withColumns({"place": F.row_number().over(Window.orderBy("base")) - 1, "turns": F.count(F.lit(1)).over(Window.partitionBy())})
+    rows = features.join(places, F.col("symbol") == F.col("base")).where(F.col("place") < copies)
+    of = F.when(F.col("place") < copies, F.sequence("place", F.lit(copies - 1), "turns"))
+    rows = rows.withColumn("sym", F.explode(of)).withColumn("_row", F.col("idx") - F.col("sym") * stride - warmup)
+    rows = rows.where("_row >= 0").withColumn("t", F.col("_row") * copies + F.col("sym"))
+    if ticks is not None:
+        rows = rows.where(F.col("t") < ticks)
+    return rows.select("t", "sym", "base", *[c for c in features.columns if c != "symbol"])

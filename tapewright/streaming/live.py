@@ -95,12 +95,25 @@ def write_hot_and_cold(features: DataFrame, path: str, checkpoint: str, rows: in
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").partitionBy("batch").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/cold")
         new = batch.drop("window_rows")
         if number:
-            new = new.unionByName(spark.read.parquet(f"{path}/hot/{(number - 1) % 2}"))
-        last_w(new, ["symbol"], "sec", rows).drop("nth").write.mode("overwrite").parquet(f"{path}/hot/{number % 2}")
+            new = new.unionByName(spark.read.parquet(f"{path}/hot/{(number - 1) % 2}").drop("batch"))
+        last_w(new, ["symbol"], "sec", rows).drop("nth").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/hot/{number % 2}")
 
     return features.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def hot_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The hot table that ``write_hot_and_cold`` wrote last."""
+    both = spark.read.parquet(f"{path}/hot/*")
+    newest = both.agg(F.max("batch").alias("newest"))  # one row
+    return both.crossJoin(F.broadcast(newest)).where("batch = newest").drop("batch", "newest")
+
+
+def write_rejects(rest: DataFrame, path: str, checkpoint: str):
+    """Starts a query that keeps the lines that are no trades, with the time they were seen, in a table of files."""
+    seen = rest.withColumn("seen", F.current_timestamp())
+    return seen.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_to_table(stream: DataFrame, path: str) -> DataFrame:
     """Runs a stream over all that is there now into a table of files and reads it; ``path`` must be new."""
     spark = stream.sparkSession

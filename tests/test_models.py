@@ -86,6 +86,25 @@ def test_report_keeps_empty_classes(spark):
     assert got["2"]["support"] == 0 and got["2"]["f1"] == 0 and abs(got["accuracy"]["f1"] - 2 / 3) < 1e-9
 
 
+def test_hold_out_evaluation_end_to_end(spark):
+    """Metrics on the test rows by SQL over the saved scores and thresholds; a given gate before the tuned one."""
+    import duckdb
+
+    df = rows(spark, 900, 8).coalesce(1).withColumns({"symbol": F.lit("a"), "sec": F.timestamp_seconds(F.monotonically_increasing_id())})
+    scores, thresholds, got = training.hold_out(df, 5, rounds=3)
+    s, t = scores.toPandas(), thresholds.toPandas()  # noqa: F841, read by the SQL below
+    sql = """WITH g AS (SELECT model, {tau} AS tau, max(thr) FILTER (stage = 's2') AS tau2 FROM t GROUP BY 1), r AS (SELECT * FROM s JOIN g USING (model) WHERE part = 'test'),
+        o AS (SELECT *, unnest(['predicted', 'true']) AS population FROM r)
+        SELECT model, population, 1 AS stage, count(*) FILTER (y <> 0 AND p1 >= tau) AS tp, count(*) FILTER (y = 0 AND p1 >= tau) AS fp, count(*) FILTER (y <> 0 AND p1 < tau) AS fn FROM o GROUP BY 1, 2
+        UNION ALL SELECT model, population, 2, count(*) FILTER (y = 2 AND p2 >= tau2), count(*) FILTER (y <> 2 AND p2 >= tau2), count(*) FILTER (y = 2 AND p2 < tau2)
+        FROM o WHERE CASE WHEN population = 'true' THEN y <> 0 ELSE p1 >= tau END GROUP BY 1, 2"""
+    names = ["model", "population", "stage", "tp", "fp", "fn"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(duckdb.sql(sql.format(tau="max(thr) FILTER (stage = 's1')")).fetchall())
+    again = training.held_out_metrics(scores, thresholds, tau=0.4)
+    assert sorted(map(tuple, again.select(names).collect())) == sorted(duckdb.sql(sql.format(tau="0.4")).fetchall())
+    assert set(s["part"]) == {"val", "test"} and set(s["model"]) == set(training.KINDS) and len(s) == 3 * (135 + 125)
+
+
 def test_class_weights_need_positives(spark):
     with pytest.raises(Exception, match="no positive"):
         score.class_weights(spark.createDataFrame([(0,)], "t int"), "t").collect()
@@ -113,6 +132,10 @@ def test_isolation_forest_draws_copies_of_a_hot_vector_one_by_one(spark):
 def test_columns_are_inferred(spark):
     df = spark.createDataFrame([(0.5, 1, 2.0, "t")], "y double, label int, r_t double, ts string")
     assert infer_label_col(df) == "label" and infer_time_col(df) == "ts" and infer_feature_cols(df, ["r_t"]) == ["r_t"]
+    some = spark.createDataFrame([(None, None, "1"), (2, None, "x"), (0, None, "2")], "target int, y int, label string")
+    assert infer_label_col(some) == "target"  # nulls don't count, a column of nulls is none, nor is one with other values
+    with pytest.raises(ValueError):
+        infer_label_col(some.drop("target"))
     with pytest.raises(ValueError):
         infer_feature_cols(df)
     with pytest.raises(ValueError):

@@ -58,6 +58,13 @@ def test_thresholds_round_trip_and_fall_back(spark, folder):
     got = {(r["model"], r["stage"]): r["thr"] for r in files.read_thresholds(spark, f"{folder}/t").collect()}
     assert got == {("xgb", "s1"): 0.4, ("xgb", "s2"): 0.6}
     assert files.tuned_gates(spark, f"{folder}/t", "xgb") == (0.4, 0.6)
+    files.write_thresholds(rows, f"{folder}/u", "H30_a2_L94", "recall_at_precision", 2.0, min_precision=0.3, use_logit_adjust=True, la_tau=0.5)
+    doc = json.loads(spark.read.text(f"{folder}/u").first()[0])
+    assert {k: doc.get(k) for k in ("tag", "thr_policy", "beta", "min_precision", "min_recall", "use_logit_adjust", "la_tau")} == {
+        "tag": "H30_a2_L94", "thr_policy": "recall_at_precision", "beta": 2.0, "min_precision": 0.3, "min_recall": None, "use_logit_adjust": True, "la_tau": 0.5}
+    assert {r["min_precision"] for r in files.read_thresholds(spark, f"{folder}/u").collect()} == {0.3}
+    gates = files.gates_by_model(rows.where("stage = 's1'"), tau2=0.9).first()
+    assert (gates["tau"], gates["tau2"]) == (0.4, 0.9) and files.gates_by_model(rows.where("stage = 's1'")).first()["tau2"] == SECOND_GATE
     assert files.tuned_gates(spark, f"{folder}/t", "rf") == files.tuned_gates(spark, f"{folder}/none", "rf") == (GATE, SECOND_GATE)
 
 

@@ -7,7 +7,7 @@ import pytest
 from tapewright.operators.bars import bars
 from tapewright.operators.features import features
 from tapewright.schema import MESSAGE
-from tapewright.sources.trades import parse_messages, read_trades_stream
+from tapewright.sources.trades import parse_messages, read_messages_stream, read_trades_stream
 from tapewright.streaming import live
 
 
@@ -61,5 +61,25 @@ def test_hot_and_cold_tables(spark, folder):
     cold = spark.read.parquet(f"{folder}/sink/cold")
     assert cold.count() == cold.select("symbol", "sec").distinct().count() > 30
     newest = [r["sec"] for r in cold.select("sec").orderBy("sec").collect()][-5:]
+    assert sorted(r["sec"] for r in live.hot_rows(spark, f"{folder}/sink").collect()) == newest
     hots = [sorted(r["sec"] for r in spark.read.parquet(f"{folder}/sink/hot/{i}").collect()) for i in (0, 1)]
     assert newest in hots
+
+
+def test_rejected_lines_have_their_own_table_and_batches_are_measured(spark, folder):
+    """What is no trade is kept; progress tells rows, state and missed deadlines, and the state doesn't grow with the stream."""
+    live.use_rocksdb(spark)
+    for k in range(4):
+        put(f"{folder}/in", f"{k}.json", [*lines("a", 60 * k, 60), "nonsense", '{"s":"a","T":1,"p":"x","q":"1"}'])
+    trades, rest = read_messages_stream(spark, f"{folder}/in", 1)
+    live.write_rejects(rest, f"{folder}/bad", f"{folder}/c0").awaitTermination()
+    bad = spark.read.parquet(f"{folder}/bad")
+    assert bad.count() == 8 and bad.where("seen IS NULL").count() == 0 and {r["value"] for r in bad.collect()} == {"nonsense", '{"s":"a","T":1,"p":"x","q":"1"}'}
+    run = live.write_hot_and_cold(live.stream_features(live.stream_bars(trades, late="1 second")), f"{folder}/sink", f"{folder}/c", 5)
+    run.awaitTermination()
+    seen = live.batch_latencies(run, deadline_ms=1e9)
+    assert sum(b["rows"] for b in seen) == 4 * 62 and not any(b["missed"] for b in seen) and all(b["total_ms"] > 0 for b in seen)
+    assert all(b["missed"] for b in live.batch_latencies(run, deadline_ms=0))
+    grown = [b["state_rows"] for b in seen if b["rows"]]
+    assert grown[-1] <= max(grown[:2]) + 5
+    assert live.hot_rows(spark, f"{folder}/sink").count() == 5
