@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm.common import table, work_dir, written
+from tapewright.llm.common import clear_work, table, work_count, work_dir, written
 from tapewright.llm.exact_dedup import drop_exact_copies
 from tapewright.llm.minhash import drop_near_copies
 from tapewright.llm.packing import packed_documents
@@ -54,14 +54,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
-    docs, path = table(spark, sf_dir, "documents"), work_dir(spark)
+    """All stages over ``documents``, each written and read again before the next.
+
+    What a stage wrote for itself and what it read are deleted once its output is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), work_count()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"{path}/{k}_{name}")
+            used = work_count()
+            docs = written(docs, f"{work_dir(spark)}/{k}_{name}")
+            clear_work(spark, before, used)
     return docs
 
 
-#: Learnt scores, MinHash and tokenising have no SQL form; tests hold each stage against a plain version.
+#: Learnt scores, MinHash and tokenising have no SQL form; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None
