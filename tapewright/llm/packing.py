@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -19,6 +20,10 @@ WINDOW, END_ID = 4096, 2
 PIECES_PER_SHARD = 50_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
+# Fixed values of the tokenizer's format: what a file must ask for, so that the short cuts below hold.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 #: The tokenizer's own split pattern, written out for lower-case Latin-1.
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
@@ -26,6 +31,24 @@ _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LET
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
 
 
+def check_format(spec: dict) -> None:
+    """An error unless a tokenizers file normalises, splits and marks words as ``ChunkEncoder`` takes for granted."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split, letters = (steps[0], steps[1]) if len(steps) == 2 else ({}, {})
+    fits = (
+        (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and split.get("pattern") == {"Regex": SPLIT}
+        and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        and letters.get("type") == "ByteLevel"
+        and not letters.get("add_prefix_space")
+        and not letters.get("use_regex")
+        and spec["model"].get("end_of_word_suffix") == "</w>"
+        and not any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word", "normalized"))
+    )
+    if not fits:
+        raise ValueError("this tokenizer normalises or splits in another way than the packing operator knows")
+
+
 class ChunkEncoder:
     """Ids of the library's tokenizer for one that drops white space and marks word ends (``</w>``).
 
@@ -38,6 +61,8 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as f:
+            check_format(json.load(f))
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -54,7 +79,8 @@ class ChunkEncoder:
             part = words[i : i + 400]
             ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            assert len(stops) == len(part), "the tokenizer doesn't mark the end of each word"
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer doesn't mark the end of each word")
             raw, stops = ids.tobytes(), (stops * 4).tolist()
             for word, a, b in zip(part, [0, *stops], stops):
                 self.words[word] = raw[a:b]
