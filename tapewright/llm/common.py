@@ -45,12 +45,12 @@ def work_dir(spark: SparkSession) -> str:
 _WORK: list[str] = []
 
 
-def clear_work(spark: SparkSession, before: int | None = None) -> None:
-    """Deletes this session's work folders, or the first ``before`` of them. Results read from them must be used up."""
-    for path in _WORK[:before]:
+def clear_work(spark: SparkSession, first: int = 0, end: int | None = None) -> None:
+    """Deletes this session's work folders, or those from ``first`` to ``end``. Results read from them must be used up."""
+    for path in _WORK[first:end]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _WORK[:before]
+    del _WORK[first:end]
 
 
 def work_count() -> int:
@@ -106,7 +106,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def keep_by_text(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
-    """The rows of ``docs``, with all columns, for which ``keep(texts)`` is true; no shuffle."""
+    """The rows of ``docs``, with all columns, for which ``keep(texts)`` is true; no shuffle.
+
+    ``keep`` gets null texts as None. Repeated rows are asked for one by one; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,14 +138,17 @@ def held(name: str, make: Callable[[], object]):
 class Recent(dict):
     """A bounded memo: two generations, the older one dropped when the younger one is full.
 
-    ``make(key)`` fills what is missing; ``self[key]`` is a plain C-level lookup for what is there.
+    ``make(key)`` fills what is missing; ``self[key]`` is a plain C-level lookup for what is there. Values of keys
+    longer than ``longest``, if given, are made each time.
     """
 
-    def __init__(self, make, at_most: int):
+    def __init__(self, make, at_most: int, longest: int | None = None):
         super().__init__()
-        self.make, self.at_most, self.old = make, at_most, {}
+        self.make, self.at_most, self.longest, self.old = make, at_most, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.at_most:
             self.old = dict(self)
             self.clear()

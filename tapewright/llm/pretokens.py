@@ -34,9 +34,9 @@ class UnitMemo:
     so units can be looked up on their own. Results are kept in bounded memos.
     """
 
-    def __init__(self, make: Callable[[str], object], at_most: int = 200_000):
-        self.plain = Recent(make, at_most)
-        self.spaced = Recent(lambda word: make(" " + word), at_most)
+    def __init__(self, make: Callable[[str], object], at_most: int = 200_000, longest: int | None = None):
+        self.plain = Recent(make, at_most, longest)
+        self.spaced = Recent(lambda word: make(" " + word), at_most, longest)
 
     def units(self, text: str) -> list[str]:
         return _UNIT.findall(text)

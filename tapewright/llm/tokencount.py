@@ -1,9 +1,9 @@
-"""Token counts of every prefix by dynamic programming over last tokens."""
+"""Token counts of every prefix by dynamic programming over last tokens, kept for each stretch of text."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -15,6 +15,9 @@ from .common import Recent, held
 from .pretokens import PATTERN, UnitMemo, compiled
 
 NEVER = 1 << 60
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Matches of the pattern that, cut after their first letter, are two matches.
+CUT_SHORT = ("'re", "'ve", "'ll")
 
 
 def byte_letters() -> dict[str, int]:
@@ -24,9 +27,30 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Characters of the longest stretch whose array is kept; longer ones are rare and counted anew.
+LONGEST_KEPT = 200
+
+
+def packed(counts: list[int] | bytes | tuple) -> bytes | tuple:
+    """Counts in as few bytes as they need; both forms are read by index."""
+    return tuple(counts) if counts[-1] > 255 or max(counts) > 255 else bytes(counts)
+
+
+def joined(arrays: Iterable[bytes | tuple | list[int]]) -> list[int]:
+    """The counts of all prefixes of stretches that follow each other."""
+    out, base = [0], 0
+    for kept in arrays:
+        out += [base + c for c in kept[1:]]
+        base += kept[-1]
+    return out
+
+
 class TokenCounter:
     """Exact counts for a tokenizers file of byte-level BPE, of whole texts and of all their prefixes.
 
+    What is kept for a stretch of text is the array of the counts of all its prefixes. A text's count, its cut at a
+    budget and the counts of its prefixes are read from these arrays; nothing is encoded a second time for them.
+
     The encoding of a prefix ends in one token, and what stands before that token is the encoding of a shorter prefix.
     So from left to right each position needs only the token that ends there: the one whose pair with the last token of
     the prefix before it would be left as it is by the merges. Counts follow by adding one.
@@ -47,14 +71,17 @@ class TokenCounter:
             self.parts.setdefault(number[a + b], (*key, r))
         self.tokens = {t: i for t, i in vocab.items() if len(t) == 1 or i in self.parts}
         self.longest = max(map(len, self.tokens))
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        added = spec.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that look at their neighbours aren't supported")
+        self.special = [t["content"] for t in added]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.findall = compiled(PATTERN).findall
         self.right = Recent(lambda t: self._edge(t, 1), 200_000)
         self.left = Recent(lambda t: self._edge(t, 0), 200_000)
         self.fits = Recent(self._fits, 400_000)
-        self.pretokens = Recent(lambda p: self.prefixes(p.encode("utf-8", "replace"))[-1], 400_000)
-        self.totals = UnitMemo(lambda unit: sum([self.pretokens[p] for p in self.findall(unit)]))
+        self.pretokens = Recent(lambda p: packed(self._by_characters(p)), 300_000, LONGEST_KEPT)
+        self.arrays = UnitMemo(lambda unit: packed(self._of_stretch(unit)), 200_000, LONGEST_KEPT)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """From the outermost byte of a token to the whole: (part, rank of the merge that uses it up)."""
@@ -101,64 +128,74 @@ class TokenCounter:
             at = found.end()
         yield text[at:], ""
 
-    def count(self, text: str | None) -> int:
-        """Tokens of a whole text; special strings in it are one token each, as in the library."""
-        if not text:
-            return 0
-        if not any(s in text for s in self.special):
-            return sum(self.totals(text))
-        return sum(sum(self.totals(plain)) + bool(special) for plain, special in self.segments(text))
+    def _by_characters(self, pretoken: str) -> list[int]:
+        counts = self.prefixes(pretoken.encode("utf-8", "replace"))
+        if len(counts) == len(pretoken) + 1:
+            return counts
+        return [counts[i] for i in accumulate((len(c.encode("utf-8", "replace")) for c in pretoken), initial=0)]
+
+    def _of_stretch(self, stretch: str) -> list[int] | bytes | tuple:
+        """Counts of the prefixes of what stands between two spaces, which can be several units."""
+        units = self.arrays.units(stretch)
+        return self._of_unit(stretch) if len(units) == 1 else joined(map(self.arrays.plain.__getitem__, units))
 
-    def unit_prefixes(self, unit: str) -> list[int]:
+    def _of_unit(self, unit: str) -> list[int] | bytes | tuple:
         """Counts of a unit's prefixes, by characters; the first entry is 0."""
-        spaces = len(unit) - len(unit.lstrip("\t\n\x0b\x0c\r \x85\xa0                　"))
+        found = self.findall(unit)
+        if len(found) == 1 and found[0] not in CUT_SHORT:
+            return self.pretokens[unit]
+        spaces = len(unit) - len(unit.lstrip(SPACES))
         out = self._by_characters(unit[:spaces])  # white space at the end of a prefix is one pretoken
         base = at = 0
-        for pretoken in self.findall(unit):
-            end = at + len(pretoken)
+        for pretoken in found:
+            end, kept = at + len(pretoken), self.pretokens[pretoken]
             if end > spaces:
-                if pretoken in ("'re", "'ve", "'ll"):  # cut after one letter, it isn't a match of its own
-                    part = [0, 1, 2, self.pretokens[pretoken]]
-                else:
-                    part = self._by_characters(pretoken)
+                part = [0, 1, 2, kept[-1]] if pretoken in CUT_SHORT else kept
                 out += [base + c for c in part[len(out) - at :]]
-            base += self.pretokens[pretoken]
+            base += kept[-1]
             at = end
         return out
 
-    def _by_characters(self, pretoken: str) -> list[int]:
-        counts = self.prefixes(pretoken.encode("utf-8", "replace"))
-        if len(counts) == len(pretoken) + 1:
-            return counts
-        return [counts[i] for i in accumulate((len(c.encode("utf-8", "replace")) for c in pretoken), initial=0)]
+    def _plain(self, text: str) -> list[int]:
+        """Counts of the prefixes of a text whose special strings count as any other text."""
+        return joined(self.arrays(text))
+
+    def stretches(self, text: str) -> Iterator[bytes | tuple | list[int]]:
+        """Of each stretch of a text how many tokens each of its prefixes adds to what is before the stretch.
+
+        A special string is one token, but a cut inside it leaves plain text, together with the unit before it.
+        """
+        for plain, special in self.segments(text):
+            yield from self.arrays(plain)
+            if special:
+                units = self.arrays.units(plain)
+                tail, own = (units[-1], self.arrays.plain[units[-1]][-1]) if units else ("", 0)
+                inside = self._plain(tail + special[:-1])
+                yield [0, *[c - own for c in inside[len(tail) + 1 :]], 1]
+
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def count(self, text: str | None) -> int:
+        """Tokens of a whole text; special strings in it are one token each, as in the library."""
+        if not text:
+            return 0
+        return sum([kept[-1] for kept in (self.stretches(text) if self.has_special(text) else self.arrays(text))])
 
     def prefix_counts(self, text: str | None) -> list[int]:
         """Tokens of text[:k] for every k from 0 to its length, each as encoding that prefix alone would give."""
-        out, base = [0], 0
-        for plain, special in self.segments(text or ""):
-            units = self.totals.units(plain)
-            for unit in units:
-                out += [base + c for c in self.unit_prefixes(unit)[1:]]
-                base += self.totals.plain[unit]
-            if special:
-                tail = units[-1] if units else ""  # a cut within the special string is plain text again
-                before = base - (self.totals.plain[tail] if tail else 0)
-                out += [before + self.count(tail + special[:k]) for k in range(1, len(special))]
-                base += 1
-                out.append(base)
-        return out
+        return joined(self.stretches(text or ""))
 
     def longest_prefix(self, text: str | None, budget: int) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens, by looking only into the unit that exceeds it."""
+        """Characters of the longest prefix of at most ``budget`` tokens, read from the arrays up to where it ends."""
         text = text or ""
-        if any(s in text for s in self.special):
+        if self.has_special(text):  # a cut inside a special string can have fewer tokens than one before it
             return max(k for k, c in enumerate(self.prefix_counts(text)) if c <= budget)
-        units, used, at = self.totals.units(text), 0, 0
-        for unit in units:
-            n = self.totals.plain[unit]
-            if used + n > budget:
-                return at + max(k for k, c in enumerate(self.unit_prefixes(unit)) if used + c <= budget)
-            used, at = used + n, at + len(unit)
+        used = at = 0
+        for kept in self.arrays(text):
+            if used + kept[-1] > budget:
+                return at + max(k for k, c in enumerate(kept) if used + c <= budget)
+            used, at = used + kept[-1], at + len(kept) - 1
         return at
 
 

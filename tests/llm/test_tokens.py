@@ -81,6 +81,18 @@ def test_counts_of_all_prefixes_equal_the_library(library):
             assert counter.longest_prefix(t, budget) == max(k for k, c in enumerate(want) if c <= budget), repr(t)
 
 
+def test_counts_are_read_from_kept_arrays(library, monkeypatch):
+    """Once a text was counted, its cuts and prefixes need no further dynamic programming."""
+    counter = TokenCounter(public.path("byte_bpe_50k.json"))
+    rows = [t for t in texts(60, 7) if "'" not in t] + ["some words<|endoftext|>and <|endoftext|>", "x" * 1500 + " y"]
+    for t in rows:
+        counter.prefix_counts(t)
+    want = [(counter.count(t), counter.longest_prefix(t, 3), counter.prefix_counts(t)) for t in rows[:-1]]
+    monkeypatch.setattr(counter, "prefixes", None)
+    assert [(counter.count(t), counter.longest_prefix(t, 3), counter.prefix_counts(t)) for t in rows[:-1]] == want
+    assert len(counter.arrays.plain) < 2000 and not any(len(u) > 200 for u in counter.arrays.plain)
+
+
 def test_token_counts_of_odd_rows(spark, library):
     rows = odd_rows()
     got = token_counts(documents(spark, rows), public.path("byte_bpe_50k.json"), prefixes=True).collect()
@@ -152,6 +164,22 @@ def test_packing_holds_every_id_once(spark):
     assert packed_documents(documents(spark, []), public.path("word_bpe_49k.json")).collect() == []
 
 
+def test_another_format_is_an_error():
+    import json
+
+    from tapewright.llm.packing import check_format
+
+    with open(public.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    check_format(spec)
+    changed = spec | {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFKC"}]}}
+    for other in (changed, spec | {"pre_tokenizer": None}, spec | {"model": spec["model"] | {"end_of_word_suffix": None}}):
+        with pytest.raises(ValueError):
+            check_format(other)
+    with pytest.raises(ValueError):
+        check_format({"model": {}})
+
+
 def test_emptied_memo_still_knows_the_batch():
     from tapewright.llm.packing import ChunkEncoder
 
