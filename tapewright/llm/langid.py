@@ -22,6 +22,8 @@ ROUNDS, SETTLED = 25, 1e-4
 #: repeat each other's evidence.
 PENALTY = 3.0
 UNKNOWN = "und"
+#: Languages that can be told apart, at most: what is sent to the executors has 256 kB for each.
+MOST_LANGUAGES = 1000
 
 
 @cache
@@ -76,6 +78,13 @@ class Mixture:
         self.p = smooth / smooth.sum(axis=1, keepdims=True)
         self.log_p = np.log(self.p)
 
+    def __getstate__(self) -> tuple[list[str], np.ndarray]:
+        return self.langs, self.p  # the logarithms are taken again where it arrives
+
+    def __setstate__(self, state: tuple[list[str], np.ndarray]) -> None:
+        self.langs, self.p = state
+        self.log_p = np.log(self.p)
+
     @staticmethod
     def _fit(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
         """Proportions of the rows of ``p`` for n-gram counts ``n``, and the log-likelihood."""
@@ -120,8 +129,14 @@ class Mixture:
 
 
 def fit_mixture(docs: DataFrame) -> Mixture:
-    """Collects one number for each language and bucket, whatever the number of documents."""
-    rows = ngram_counts(docs).toArrow()
+    """Collects one number for each language and bucket, whatever the number of documents.
+
+    More than MOST_LANGUAGES values of lang are an error: then they aren't languages.
+    """
+    counts = ngram_counts(docs)
+    if (n := docs.select("lang").distinct().limit(MOST_LANGUAGES + 2).count()) > MOST_LANGUAGES + 1:
+        raise ValueError(f"{n} values of lang or more, where at most {MOST_LANGUAGES} are expected")
+    rows = counts.toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
     counts = np.zeros((len(langs), BUCKETS))
     at = {lang: i for i, lang in enumerate(langs)}

@@ -1,4 +1,4 @@
-"""Toxicity by a weighted finite-state grammar over clauses, with a lexicon and weights learnt from labels."""
+"""Toxicity by a weighted finite-state grammar over clauses, with a lexicon and arc weights learnt from labels."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, fold, held, keep_by_text, labelled_sample, work_dir, written
+from .transducers import AIMED, INSULT, MARKS, NEGATED, NEGATION, REACH, REPORT, REPORTED, STOP, TARGET, THREAT, grammar
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents that the lexicon and the weights are learnt from, at most.
@@ -28,15 +30,30 @@ TARGETS = "you your yours he she they them him her his their du dich dein ihr eu
 NEGATIONS = "not never no nor without isn aren don doesn didn won nicht nie kein keine jamais aucun nunca jamás".split()
 REPORTS = "said says told wrote called claimed reported quoted sagte schrieb behauptete dit écrit déclaré dijo escribió".split()
 
-#: What a match weighs: beside a target, under negation, in reported speech; a threat at a target.
-AT_TARGET, NEGATED, REPORTED, THREAT = 1.3, 0.3, 0.6, 2.0
-#: Words over which a negation and a target reach.
-REACH = 3
+#: What a match of each kind weighs before anything is learnt, relative to a plain insult, and what its marks make of it.
+PLAIN_THREAT, AIMED_THREAT, AIMED_INSULT, IF_NEGATED, IF_REPORTED = 0.2, 2.0, 1.3, 0.1, 0.4
+#: The strength of a threat; an insult's is its log odds ratio.
+THREAT_STRENGTH = 3.0
+#: How strongly the weight of a kind of match is held to its relative weight.
+HOLD = 2.0
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
-INSULT, THREATENS, TARGET, NEGATION, REPORT, STOP = range(1, 7)
-_FIXED = {w: (k, 0.0) for k, ws in ((THREATENS, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws} | {c: (STOP, 0.0) for c in ".!?;:\n"}
-FEATURES = 8
+_FIXED = {w: (k, THREAT_STRENGTH) for k, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws} | {c: (STOP, 0.0) for c in ".!?;:\n"}
+#: Kinds of marked matches: insults, then threats, each by its marks.
+MATCHES = 2 * MARKS
+#: Facts on the whole text behind them.
+FACTS = 4
+FEATURES = MATCHES + FACTS
+
+
+def relative_weights() -> np.ndarray:
+    """The weights of the kinds of matches before learning."""
+    out = np.empty(MATCHES)
+    for marks in range(MARKS):
+        by = (IF_NEGATED if marks & NEGATED else 1.0) * (IF_REPORTED if marks & REPORTED else 1.0)
+        out[marks] = by * (AIMED_INSULT if marks & AIMED else 1.0)
+        out[MARKS + marks] = by * (AIMED_THREAT if marks & AIMED else PLAIN_THREAT)
+    return out
 
 
 def forms(word: str) -> list[str]:
@@ -47,74 +64,79 @@ def forms(word: str) -> list[str]:
 class Grammar:
     """Reads words as symbols and runs the composed transducers over them, clause by clause.
 
-    Symbols are insults (of the learnt lexicon), threats, targets, negations, reports of speech and clause ends. The
-    state is how far negation and target still reach and whether speech is reported; an insult or threat puts out its
-    weight, changed by the state it is met in. A clause's score is what it put out.
+    Symbols are insults (of the learnt lexicon), threats, targets, negations, reports of speech, clause ends and other
+    words. The machine puts out each insult and threat with its marks; a clause's score is the sum over kinds of marked
+    matches of the kind's weight times the logarithm of one more than the strength of its matches in the clause.
     """
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.symbols = Recent(self._symbol, 200_000)
+        self.machine = grammar()
+        self.plan = relative_weights().tolist()
 
     def _symbol(self, word: str) -> tuple[int, float] | None:
-        if word in _FIXED and word not in self.lexicon:
+        if word in _FIXED:
             return _FIXED[word]
         weights = [self.lexicon[f] for f in forms(word) if f in self.lexicon]
         return (INSULT, max(weights)) if weights else None
 
-    def features(self, text: str | None) -> list[float]:
-        """Of a whole text: largest clause, sum, roots and shares of matched clauses and words."""
+    def clauses(self, text: str | None) -> tuple[list[dict[int, float]], int]:
+        """Per clause with matches, the strength of each kind of marked match; and how many tokens the text has."""
         tokens = _TOKEN.findall((text or "").lower())
-        total = top = plain = 0.0
-        hits = clauses = 0
-        negated = aimed = -REACH - 1  # where the last negation and target were
-        reported, clause = False, 0.0
-        pending: tuple[int, float] | None = None  # a match whose target may still follow
+        step, skip = self.machine.step, self.machine.skip
+        out, clause = [], {}
+        waiting: list[float] = []  # strengths of the matches that the machine hasn't put out yet
+        state, last = 0, -1
+
+        def take(found) -> None:
+            for kind, marks in found:
+                at = marks if kind == INSULT else MARKS + marks
+                clause[at] = clause.get(at, 0.0) + waiting.pop(0)
+
         for at, symbol in enumerate(map(self.symbols.__getitem__, tokens)):
             if symbol is None:
                 continue
-            kind, weight = symbol
-            if kind == INSULT or kind == THREATENS:
-                by = (NEGATED if at - negated <= REACH else 1.0) * (REPORTED if reported else 1.0)
-                near = at - aimed <= REACH
-                if kind == INSULT:
-                    hits += 1
-                    plain += weight
-                    clause += weight * by * (AT_TARGET if near else 1.0)
-                    pending = None if near else (at, weight * by * (AT_TARGET - 1))
-                elif near:
-                    clause += THREAT * by
-                else:
-                    pending = (at, THREAT * by)
-            elif kind == TARGET:
-                aimed = at
-                if pending and at - pending[0] <= REACH:
-                    clause += pending[1]
-                    pending = None
-            elif kind == NEGATION:
-                negated = at
-            elif kind == REPORT:
-                reported = True
-            else:
-                if clause:
-                    clauses += 1
-                    total += clause
-                    top = max(top, clause)
-                negated = aimed = -REACH - 1
-                reported, clause, pending = False, 0.0, None
-        if clause:
-            clauses += 1
-            total += clause
-            top = max(top, clause)
-        n = len(tokens) + 20
-        return [top, np.log1p(total), np.log1p(plain), np.log1p(hits), 100 * total / n, 100 * hits / n, float(clauses > 0), np.log(n)]
+            kind, strength = symbol
+            gap, last = at - last - 1, at
+            if state and gap:
+                state, found = skip[min(gap, REACH + 1)][state]
+                if found:
+                    take(found)
+            if kind == INSULT or kind == THREAT:
+                waiting.append(strength)
+            state, found = step[state][kind]
+            if found:
+                take(found)
+            if kind == STOP and clause:
+                out.append(clause)
+                clause = {}
+        take(step[state][STOP][1])
+        return [*out, clause] if clause else out, len(tokens)
+
+    def features(self, text: str | None) -> list[float]:
+        """Of a whole text: what its clauses have of each kind of match, then facts on the whole.
+
+        The facts count a match by its relative weight, so one that is negated or reported counts little there too.
+        """
+        found, n = self.clauses(text)
+        out = [0.0] * FEATURES
+        total = clauses = 0.0
+        for clause in found:
+            for at, strength in clause.items():
+                out[at] += log1p(strength)
+                total += strength * self.plan[at]
+            clauses += max(map(self.plan.__getitem__, clause))
+        n += 20
+        out[MATCHES:] = [log1p(total), 100 * total / n, log1p(clauses), log(n)]
+        return out
 
 
 class ToxicityModel:
-    """A grammar and the logistic weights of its features."""
+    """A lexicon and the logistic weights: the constant, those of marked matches, those of the facts."""
 
-    def __init__(self, lexicon: dict[str, float], weights: np.ndarray, centre: np.ndarray, scale: np.ndarray):
-        self.lexicon, self.weights, self.centre, self.scale = lexicon, weights, centre, scale
+    def __init__(self, lexicon: dict[str, float], weights: np.ndarray):
+        self.lexicon, self.weights = lexicon, weights
         self.name = f"grammar {uuid.uuid4().hex}"
 
     def grammar(self) -> Grammar:
@@ -122,32 +144,52 @@ class ToxicityModel:
         return held(self.name, lambda: Grammar(self.lexicon))
 
     def scores(self, features: np.ndarray) -> np.ndarray:
-        x = np.clip((features - self.centre) / self.scale, -20, 20)
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + features @ self.weights[1:], -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights, the constant first, of ridge logistic regression by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, hold: np.ndarray, at: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Weights, the constant first, of logistic regression by Newton steps, each held to ``at`` by ``hold``.
+
+    Steps are halved until they lose nothing, so it also settles where a straight line separates the labels.
+    """
     x = np.concatenate((np.ones((len(x), 1)), x), axis=1)
-    w = np.zeros(x.shape[1])
-    keep = np.full(len(w), ridge)
-    keep[0] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + (hold * (w - at) ** 2).sum() / 2)
+
+    w = at.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
-        w += step
-        if np.abs(step).max() < 1e-7:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (y - p) - hold * (w - at))
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and not loss(w + size * step) <= now:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-7:
             break
     return w
 
 
+def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """First how much the grammar's relative weights count as a whole, then each kind of match near its share of that.
+
+    A kind that the labels say nothing on keeps its share, so what was never seen is still judged by the grammar.
+    """
+    plan = relative_weights()
+    both = np.stack((x[:, :MATCHES] @ plan, x[:, -1]), axis=1)
+    constant, scale, length = logistic(both, y, np.full(3, 0.1), np.zeros(3))
+    at = np.concatenate(([constant], max(scale, 0.0) * plan, np.zeros(FACTS - 1), [length]))
+    return logistic(x, y, np.concatenate(([0.1], np.full(MATCHES, HOLD), np.full(FACTS, 0.1))), at)
+
+
 def _document_counts(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """(form, n): in how many documents a form is; ``only`` limits what is counted."""
+    """(form, n): in how many documents a form is, words of the fixed lists apart; ``only`` limits what is counted."""
     schema = pa.schema([("form", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
-        known = Recent(lambda w: [f for f in forms(w) if only is None or f in only], 200_000)
+        known = Recent(lambda w: [] if w in _FIXED else [f for f in forms(w) if only is None or f in only], 200_000)
         for batch in batches:
             for text in batch["text"]:
                 total.update({f for w in set(_TOKEN.findall(text.as_py().lower())) for f in known[w]})
@@ -199,9 +241,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, at_most: int = LABELLED) ->
         share = float(y.mean()) if len(y) else 0.0
         weights = np.zeros(FEATURES + 1)
         weights[0] = np.log((share + 1e-3) / (1 - share + 1e-3))
-        return ToxicityModel(lexicon, weights, np.zeros(FEATURES), np.ones(FEATURES))
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return ToxicityModel(lexicon, logistic((x - centre) / scale, y), centre, scale)
+        return ToxicityModel(lexicon, weights)
+    return ToxicityModel(lexicon, fit_weights(x, y))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
@@ -226,7 +267,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | No
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, that aren't predicted toxic; each row is judged by its own text."""
+    """The rows of ``docs``, with all columns, that aren't predicted toxic; each row is judged by its own text.
+
+    Null and empty texts are judged as texts without words, repeated rows alike, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
 
     def keep(texts: list[str | None]) -> np.ndarray:

@@ -1,9 +1,12 @@
+import itertools
 import random
+import re
 import zlib
 
 import numpy as np
+import pytest
 
-from tapewright.llm import langid, quality, toxicity
+from tapewright.llm import langid, quality, toxicity, transducers
 from tapewright.llm.common import keep_by_text
 
 from .helpers import documents, odd_rows
@@ -43,19 +46,130 @@ def test_toxicity_finds_held_out_texts(spark):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in got if r["held_out"]]) > 0.95
 
 
-def test_grammar_weighs_clauses():
-    g = toxicity.Grammar({"blarg": 2.0})
-    top = lambda text: g.features(text)[0]
-    assert top("a b c") == 0
-    assert top("a blarg b") == 2.0
-    assert top("you blarg") > 2.0 and top("blarg you") > 2.0
-    assert top("not a blarg") < 2.0
-    assert top("he said the man was a blarg") < 2.0
-    assert top("not this. blarg") == 2.0  # a clause's end takes the negation back
-    assert top("i kill you") > 0 and top("i kill time") == 0
+def by_position(kinds):
+    """Marked matches of a clause by their definition: what stands where."""
+    out = []
+    for i, k in enumerate(kinds):
+        if k in (transducers.INSULT, transducers.THREAT):
+            near = range(max(0, i - transducers.REACH), min(len(kinds), i + transducers.REACH + 1))
+            negated = any(kinds[j] == transducers.NEGATION for j in near if j < i)
+            reported = transducers.REPORT in kinds[:i]
+            aimed = any(kinds[j] == transducers.TARGET for j in near)
+            out.append((k, transducers.NEGATED * negated | transducers.REPORTED * reported | transducers.AIMED * aimed))
+    return out
+
+
+def cascade(kinds, machines):
+    """The three transducers one behind the other, each over the whole tape."""
+    tape = [(k, 0) for k in [*kinds, transducers.STOP]]
+    for machine in machines:
+        state, written = machine.start, []
+        for symbol in tape:
+            state, out = machine.arcs[state, symbol]
+            written += out
+        tape = written
+    return tape
+
+
+def test_composed_machine_equals_cascade_and_definition():
+    rng, machine = random.Random(11), transducers.grammar()
+    parts = [transducers.negation(), transducers.reported_speech(), transducers.target()]
+    common = [transducers.WORD] * 3 + list(range(transducers.STOP))
+    for _ in range(2000):
+        kinds = [rng.choice(common) for _ in range(rng.randrange(12))]
+        assert list(machine.matches(kinds)) == cascade(kinds, parts) == by_position(kinds), kinds
+    for kinds in itertools.product(range(transducers.STOP), repeat=4):
+        assert list(machine.matches(kinds)) == by_position(kinds), kinds
+
+
+LEXICON = {"blarg": 2.0, "snerf": 1.5, "grub-": 1.0}
+CLAUSE_WORDS = ["blarg", "snerfs", "grubnak", "kill", "you", "him", "not", "never", "said", "the", "a", "house", "12", "."]
+
+
+def plain_features(text, lexicon):
+    """The features by positions of words, clause by clause."""
+    words = re.findall(r"[^\W\d_]+|[.!?;:\n]", (text or "").lower())
+    clauses, out, total, matched, plan = [[]], np.zeros(toxicity.FEATURES), 0.0, 0, toxicity.relative_weights()
+    for w in words:
+        if w in ".!?;:\n":
+            clauses.append([])
+        else:
+            clauses[-1].append(w)
+    fixed = {w: k for k, ws in ((transducers.THREAT, toxicity.THREATS), (transducers.TARGET, toxicity.TARGETS), (transducers.NEGATION, toxicity.NEGATIONS), (transducers.REPORT, toxicity.REPORTS)) for w in ws}
+    for clause in clauses:
+        strength = [max((lexicon[f] for f in toxicity.forms(w) if f in lexicon), default=0.0) for w in clause]
+        kinds = [fixed[w] if w in fixed else transducers.INSULT if s else transducers.WORD for w, s in zip(clause, strength)]
+        strength = [s if k == transducers.INSULT else toxicity.THREAT_STRENGTH for k, s in zip(kinds, strength) if k in (transducers.INSULT, transducers.THREAT)]
+        sums = {}
+        for (k, marks), s in zip(by_position(kinds), strength):
+            at = marks + transducers.MARKS * (k == transducers.THREAT)
+            sums[at] = sums.get(at, 0) + s
+        for at, s in sums.items():
+            out[at] += np.log1p(s)
+            total += s * plan[at]
+        matched += max((plan[at] for at in sums), default=0)
+    n = len(words) + 20
+    out[toxicity.MATCHES :] = np.log1p(total), 100 * total / n, np.log1p(matched), np.log(n)
+    return out
+
+
+def test_features_equal_a_plain_reading():
+    rng, g = random.Random(12), toxicity.Grammar(LEXICON)
+    for _ in range(500):
+        text = " ".join(rng.choice(CLAUSE_WORDS) for _ in range(rng.randrange(25)))
+        assert np.allclose(g.features(text), plain_features(text, LEXICON)), text
     assert g.features(None) == g.features("")
 
 
+def clause_corpus(n=1500, seed=13):
+    """Insults and threats count only as they stand in their clause: not negated, not reported, threats only if aimed."""
+    rng = random.Random(seed)
+    toxic = ["you are a blarg", "such a blarg is he", "a snerf and a blarg", "i will kill you", "we hurt them now"]
+    clean = ["you are not a blarg", "he said you are a blarg", "the man told them such a blarg is he", "i kill time", "we never hurt you", "beat the eggs"]
+    filler = "tree lake stone road such are is the man a and will i we now that bad time eggs".split()
+    rows, labels = [], []
+    for i in range(n):
+        y = rng.random() < 0.5
+        parts = [" ".join(rng.choice(filler) for _ in range(rng.randrange(3, 12))) for _ in range(3)]
+        parts += [rng.choice(toxic if y else clean) for _ in range(rng.randrange(1, 4) if y or rng.random() < 0.5 else 0)]
+        rng.shuffle(parts)
+        rows.append((i, ". ".join(parts)))
+        labels.append((i, 1, int(y), "x"))
+    return rows, labels
+
+
+def test_negation_report_target_and_threat_each_matter(spark, monkeypatch):
+    """Held-out accuracy falls when any part of the grammar is taken away, and the query equals a plain reading."""
+    rows, labels = clause_corpus()
+    truth = {i: t for i, _, t, _ in labels}
+    docs, labels = documents(spark, rows), spark.createDataFrame(labels, LABELS)
+    model = toxicity.fit_toxicity(docs, labels)
+
+    def accuracy(m):
+        got = {i: m.scores(np.array([toxicity.Grammar(m.lexicon).features(t)]))[0] >= 0.5 for i, t in rows if held(i, 5, 0)}
+        return np.mean([v == truth[i] for i, v in got.items()])
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels, model).collect()}
+    want = model.scores(np.array([plain_features(t, model.lexicon) for _, t in rows]))
+    assert np.allclose([got[i] for i, _ in rows], want)
+    whole = accuracy(model)
+    assert whole > 0.97
+    fixed = dict(toxicity._FIXED)
+    for kind in (transducers.NEGATION, transducers.REPORT, transducers.TARGET, transducers.THREAT):
+        monkeypatch.setattr(toxicity, "_FIXED", {w: x for w, x in fixed.items() if x[0] != kind})
+        assert accuracy(model) < whole - 0.03, (kind, whole, accuracy(model))
+
+
+def test_kinds_without_labels_keep_their_share():
+    rng = np.random.default_rng(14)
+    x = np.zeros((400, toxicity.FEATURES))
+    x[:, 0], y = rng.poisson(1, 400), rng.integers(0, 2, 400)
+    x[:, 0] += 2 * y
+    w, plan = toxicity.fit_weights(x, y.astype(float))[1:], toxicity.relative_weights()
+    unseen = w[1 : toxicity.MATCHES] / plan[1:]
+    assert np.allclose(unseen, unseen[0]) and unseen[0] > 0
+
+
 def test_quality_finds_held_out_texts(spark):
     rows, labels = corpus(seed=2)
     got = quality.score_quality(documents(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
@@ -140,3 +254,53 @@ def test_mixture_climbs_to_the_best_shares():
     share, log = langid.Mixture._fit(p, n)
     grid = [float(n @ np.log(s * p[0] + (1 - s) * p[1])) for s in np.linspace(0, 1, 1001)]
     assert max(grid) - log < 0.05 and abs(share.sum() - 1) < 1e-9
+
+
+def best_set(mixture, text):
+    """The languages by trying every set, each fitted by many rounds."""
+    found = langid.grams(text)
+    n = np.bincount(found, minlength=langid.BUCKETS)
+    some = np.flatnonzero(n)
+    n, p = n[some].astype(float), mixture.p[:, some]
+    cost = langid.PENALTY * np.log(max(len(found) / langid.GRAM, 2.0)) / 2
+    values = {}
+    for size in range(1, len(p) + 1):
+        for chosen in itertools.combinations(range(len(p)), size):
+            q, share = p[list(chosen)], np.full(size, 1 / size)
+            for _ in range(400):
+                share = share * (q @ (n / (share @ q))) / n.sum()
+            values[chosen] = (float(n @ np.log(share @ q)) - cost * (size - 1), share)
+    chosen = max(values, key=lambda c: values[c][0])
+    return {mixture.langs[c]: s for c, s in zip(chosen, values[chosen][1])}
+
+
+def test_language_sets_equal_trying_all_sets():
+    rng = random.Random(15)
+    more = WORDS | {"dd": "xelor xamin xotru xibel xunda"}
+    counts = np.stack([np.bincount(langid.grams(" ".join([w] * 30)), minlength=langid.BUCKETS) for w in more.values()]).astype(float)
+    mixture = langid.Mixture(list(more), counts)
+    for _ in range(60):
+        parts = rng.sample(list(more), rng.randrange(1, 4))
+        text = " ".join(rng.choice(more[lang].split()) for lang in parts for _ in range(rng.choice([1, 4, 20, 60])))
+        want, got = best_set(mixture, text), dict(mixture(text))
+        assert got.keys() == want.keys(), text
+        assert all(abs(got[k] - want[k]) < 0.02 for k in want)
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    import pickle
+
+    docs = spark.createDataFrame([(i, "some text", f"l{i % 5}") for i in range(20)], "doc_id long, text string, lang string")
+    model = langid.fit_mixture(docs)
+    again = pickle.loads(pickle.dumps(model))
+    assert again.langs == model.langs and (again.log_p == model.log_p).all()
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        langid.fit_mixture(docs)
+
+
+def test_letters_beyond_the_first_planes(spark):
+    docs = spark.createDataFrame([(0, "\U00032000" * 5, None), (1, "\U00020000\u4e00", "zh"), (2, "abc", "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.detect_languages(docs).collect()}
+    assert "und" not in got.values()
+    assert all(bool(langid.letters()[c]) == chr(c).isalpha() for c in (0x31FFF, 0x32000, 0x323AF, 0x10FFFF, 65))
