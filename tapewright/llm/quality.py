@@ -158,6 +158,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, model: NeighbourModel | No
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose quality is predicted as 1; each row is judged by its own text."""
+    """The rows of ``docs``, with all columns, whose quality is predicted as 1; each row is judged by its own text.
+
+    Null and empty texts are judged by their length alone, repeated rows alike, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
     return keep_by_text(docs, lambda texts: shared.value.scores(texts) >= 0.5)
