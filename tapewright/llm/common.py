@@ -64,8 +64,8 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of one id (or of an id and a hash) that a broadcast may hold: some tens of MB.
-BROADCAST_ROWS = 500_000
+#: Rows of an id and one or two small values that a broadcast may hold: some MB.
+BROADCAST_ROWS = 200_000
 
 
 def bounded(df: DataFrame, path: str) -> DataFrame:

@@ -47,7 +47,7 @@ class Shingler:
     Two different shingles of a pair of texts share a hash about once in 2**64 / (sizes multiplied) pairs.
     """
 
-    def __init__(self, words_kept: int = 200_000):
+    def __init__(self, words_kept: int = 100_000):
         self.words = Recent(xxhash.xxh3_64_intdigest, words_kept)
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -229,7 +229,7 @@ def links_across(left: DataFrame, own: DataFrame, texts: DataFrame, path: str) -
     kept = rows.mapInArrow(sift, "bucket long, node long").groupBy("bucket", "node").agg(F.lit(1).alias("one")).drop("one")
     kept = written(kept, f"{path}/kept")
     sizes = kept.join(own.select(F.col("node").alias("of"), "n_bytes"), F.col("node") == F.col("of"))
-    sizes = sizes.groupBy(F.col("bucket").alias("in")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("m"))
+    sizes = bounded(sizes.groupBy(F.col("bucket").alias("in")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("m")), f"{path}/sizes")
     rows = left.join(kept.select(F.col("bucket").alias("in"), F.col("node").alias("of")), (F.col("bucket") == F.col("in")) & (F.col("node") == F.col("of")), "left_semi")
     rows = rows.join(sizes, F.col("bucket") == F.col("in")).drop("in")
     rows = rows.join(about, F.col("node") == F.col("of")).drop("of")
@@ -395,6 +395,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
             placed = written(placed, f"{path}/placed{turn}")
         lead = (F.min if turn % 2 == 0 else F.max)(F.struct("node", "root")).alias("lead")
         mixed = placed.groupBy(F.col("bucket").alias("in")).agg(lead, F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y")
+        mixed = bounded(mixed, f"{path}/mixed{turn}")
         if turn < STARS:
             star = placed.join(mixed, F.col("bucket") == F.col("in")).where(F.col("root") != F.col("lead.root"))
             pairs = star.groupBy(F.col("node").alias("b")).agg(F.min("lead.node").alias("a"))

@@ -45,7 +45,7 @@ class Featuriser:
     """Counts of hashed words and shapes and a few facts on the whole text, damped by the logarithm."""
 
     def __init__(self) -> None:
-        self.words = Recent(_word, 200_000)
+        self.words = Recent(_word, 100_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """A dense vector of SIZE."""

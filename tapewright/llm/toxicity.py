@@ -71,7 +71,7 @@ class Grammar:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.symbols = Recent(self._symbol, 200_000)
+        self.symbols = Recent(self._symbol, 100_000)
         self.machine = grammar()
         self.plan = relative_weights().tolist()
 
