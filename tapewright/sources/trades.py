@@ -79,7 +79,8 @@ def replay(features: DataFrame, copies: int, ticks: int | None = None, stride: i
     else:
         names = features.select(F.col("symbol").alias("base")).distinct()  # a row for each symbol
         places = names.withColumns({"place": F.row_number().over(Window.orderBy("base")) - 1, "turns": F.count(F.lit(1)).over(Window.partitionBy())})
-    rows = features.join(places, F.col("symbol") == F.col("base")).where(F.col("place") < copies)
+    places = F.broadcast(places.where(F.col("place") < copies))  # a row for each copy, at most
+    rows = features.join(places, F.col("symbol") == F.col("base"))
     of = F.when(F.col("place") < copies, F.sequence("place", F.lit(copies - 1), "turns"))
     rows = rows.withColumn("sym", F.explode(of)).withColumn("_row", F.col("idx") - F.col("sym") * stride - warmup)
     rows = rows.where("_row >= 0").withColumn("t", F.col("_row") * copies + F.col("sym"))
