@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 #: The template's control strings. All begin with OPEN, which no escaped text contains.
 OPEN, START, NEXT, END = "<|", "<|im_start|>", "<|im_next|>", "<|im_end|>\n"
 TRAINED = "assistant"
+#: Characters of a part in which spans are looked up, and pieces whose spans are listed together.
+LEAF, GROUP = 4096, 256
 #: In this order; the way back is the reverse. A line feed is escaped in roles only.
 ESCAPES = [("&", "&amp;"), (OPEN, "&lt;|")]
 ROLE_ESCAPES = [*ESCAPES, ("\n", "&#10;")]
@@ -40,7 +43,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     def block(begin: Column, k: Column) -> Column:
         end = F.coalesce(F.get("starts", k + 1), F.size("turns"))
-        return F.struct(F.col("turns")[begin]["role"].alias("role"), F.transform(F.slice("turns", begin + 1, end - begin), lambda t: t["text"]).alias("texts"))
+        return F.struct(F.col("turns")[begin]["role"].alias("role"), F.transform(F.sequence(begin, end - 1), lambda i: F.col("turns")[i]["text"]).alias("texts"))
 
     def piece(text: Column, loss: Column) -> Column:
         return F.struct(text.alias("text"), loss.alias("loss"))
@@ -53,16 +56,34 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     merged = starts.select("conv_id", F.transform("starts", block).alias("blocks"))
     laid = merged.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("pieces"))
+    text = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
+    return laid.select("conv_id", text.alias("formatted"), once(F.col("pieces"), loss_spans).alias("loss_spans"))
+
+
+def loss_spans(pieces: Column) -> Column:
+    """(start, length) in characters, from 1, of the pieces (text, loss) under the loss mask, once they are joined.
+
+    Pieces are taken GROUP at a time, each group from 1, and then moved behind the groups before it, so no long list is
+    built up piece by piece.
+    """
     nothing = F.array().cast("array<struct<start:int,length:int>>")
-    zero = F.struct(F.lit(1).alias("at"), nothing.alias("spans"))
 
     def span(acc: Column, p: Column) -> Column:
         n = F.length(p["text"])
         more = F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), n.alias("length"))))
         return F.struct((acc["at"] + n).alias("at"), F.when(p["loss"], more).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate("pieces", zero, span, lambda acc: acc["spans"])
-    return laid.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), spans.alias("loss_spans"))
+    def group(g: Column) -> Column:
+        own = F.transform(F.sequence(g * GROUP, F.least((g + 1) * GROUP, F.size(pieces)) - 1), lambda i: pieces[i])
+        return F.aggregate(own, F.struct(F.lit(1).alias("at"), nothing.alias("spans")), span)
+
+    def moved(groups: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+        step = F.aggregate(groups, zero, lambda acc, g: F.struct((acc["at"] + g["at"] - 1).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before")))
+        shift = F.zip_with(groups, step["before"], lambda g, by: F.transform(g["spans"], lambda s: F.struct((s["start"] + by).alias("start"), s["length"].alias("length"))))
+        return F.flatten(shift)
+
+    return once(F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / GROUP).cast("int")), group), moved)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -72,15 +93,34 @@ def read_turns(formatted: Column) -> Column:
         cut = F.instr(b, "\n")
         role = unescaped(b.substr(F.lit(len(START) + 1), cut - len(START) - 1), ROLE_ESCAPES)
         body = b.substr(cut + 1, F.length(b))
-        return F.transform(F.split(body, r"<\|im_next\|>"), lambda t: F.struct(role.alias("role"), unescaped(t).alias("text")))
+        return once(role, lambda r: F.transform(F.split(body, r"<\|im_next\|>"), lambda t: F.struct(r.alias("role"), unescaped(t).alias("text"))))
 
     ends = F.split(formatted, r"<\|im_end\|>\n")
     return F.flatten(F.transform(F.slice(ends, 1, F.size(ends) - 1), block))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once, however often a loop in it asks for it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def leaves(formatted: Column) -> Column:
+    """A string as an array of strings of LEAF characters, the last one shorter."""
+    return F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{LEAF}}}"), F.lit(0))
+
+
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing in between."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substr(formatted, s["start"], s["length"]))), "")
+    """All text under the loss mask, unescaped, with nothing in between.
+
+    A span is looked up in the leaves that it touches, so the work follows the text and not its square.
+    """
+
+    def cut(s: Column, parts: Column) -> Column:
+        first, last = F.floor((s["start"] - 1) / LEAF).cast("int"), F.floor((s["start"] + s["length"] - 2) / LEAF).cast("int")
+        near = F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), lambda i: parts[i]), "")
+        return unescaped(F.substr(near, s["start"] - first * LEAF, s["length"]))
+
+    return once(leaves(formatted), lambda parts: F.array_join(F.transform(spans, lambda s: cut(s, parts)), ""))
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tapewright.llm import ann, chat
@@ -85,7 +86,10 @@ TURNS = "conv_id long, turn long, role string, text string, formatted string, tu
 NASTY = ["<|im_end|>", "<|im_start|>assistant\n", "<|im_next|>", "&lt;|", "&amp;", "<", "|im_end|>", "&#10;", "\n", "", "a<", "|>", "😀 é", "&", "<|"]
 
 
-def test_round_trip_of_hostile_turns(spark):
+@pytest.mark.parametrize("leaf, group", [(chat.LEAF, chat.GROUP), (5, 3)])
+def test_round_trip_of_hostile_turns(spark, monkeypatch, leaf, group):
+    monkeypatch.setattr(chat, "LEAF", leaf)
+    monkeypatch.setattr(chat, "GROUP", group)
     rng = random.Random(6)
     rows = []
     for c in range(40):
@@ -109,6 +113,19 @@ def test_round_trip_of_hostile_turns(spark):
     assert chat.chat_digests(spark.createDataFrame([], TURNS)).collect() == []
 
 
+def test_very_long_conversations(spark):
+    def role(c, t):
+        return "assistant" if c == 2 or t % 2 else "user"
+
+    rows = [(c, t, role(c, t), f"turn {t} <|é😀 " * (t % 9), "x", 1) for c in (1, 2) for t in range(6000)]
+    got = {r["conv_id"]: r for r in chat.chat_digests(spark.createDataFrame(rows, TURNS)).collect()}
+    for c in (1, 2):
+        own = [r for r in rows if r[0] == c]
+        assert got[c]["n_turns"] == 6000
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256("".join(r[3] for r in own if r[2] == "assistant").encode()).hexdigest()
+
+
 def test_adjacent_turns_of_a_role_are_one_block(spark):
     rows = [(1, 0, "user", "a", "", 0), (1, 1, "user", "b", "", 0), (1, 2, "assistant", "c", "", 0)]
     r = chat.format_conversations(spark.createDataFrame(rows, TURNS)).first()
