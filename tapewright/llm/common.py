@@ -105,16 +105,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
+def in_parts(texts: pa.Array, rows: int = 256) -> Iterator[list[str | None]]:
+    """The texts of a batch as lists of so many, so that no more of them are held as Python strings at once."""
+    for i in range(0, len(texts), rows):
+        yield texts.slice(i, rows).to_pylist()
+
+
 def keep_by_text(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
     """The rows of ``docs``, with all columns, for which ``keep(texts)`` is true; no shuffle.
 
-    ``keep`` gets null texts as None. Repeated rows are asked for one by one; an empty table stays empty.
+    ``keep`` gets null texts as None, some at a time. Repeated rows are asked for one by one; an empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(keep(batch["text"].to_pylist()), pa.bool_()))
+                yield batch.filter(pa.array(np.concatenate([keep(part) for part in in_parts(batch["text"])]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, bounded, held, unused, work_dir, written
+from .common import Recent, bounded, held, in_parts, unused, work_dir, written
 
 WORDS = 5
 #: Linked: SHARE_OF * intersection >= SHARE * union.
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         shingle = shingler()
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            for doc, text in zip(batch["doc_id"].to_pylist(), chain.from_iterable(in_parts(batch["text"]))):
                 found = shingle(text)
                 if len(found):
                     samples = minhashes(found)

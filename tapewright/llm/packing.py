@@ -7,13 +7,14 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, work_dir, written
+from .common import held, in_parts, work_dir, written
 
 WINDOW, END_ID = 4096, 2
 #: Pieces that one task packs together; a window is left part empty about once for so many pieces.
@@ -131,7 +132,7 @@ def tokenised_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: i
         schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
         for batch in batches:
             out = []
-            for doc, raw in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist())):
+            for doc, raw in zip(batch["doc_id"].to_pylist(), chain.from_iterable(map(encode, in_parts(batch["text"])))):
                 raw += end
                 n = len(raw) // 4
                 for at in range(0, n, window):

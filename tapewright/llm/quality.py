@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, fold, held, keep_by_text, labelled_sample
+from .common import Recent, fold, held, in_parts, keep_by_text, labelled_sample
 
 FOLDS, HELD_OUT = 3, 1
 #: Labelled documents that are the neighbours, at most; the space is fitted on them too.
@@ -150,7 +150,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, model: NeighbourModel | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch["doc_id"], pa.array(shared.value.scores(batch["text"].to_pylist()), pa.float64())], schema=schema)
+            if batch.num_rows:
+                found = np.concatenate([shared.value.scores(part) for part in in_parts(batch["text"])])
+                yield pa.record_batch([batch["doc_id"], pa.array(found, pa.float64())], schema=schema)
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
