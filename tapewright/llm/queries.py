@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align_tokens
 from .ann import nearest
 from .bpe import bpe_digests
 from .chat import ESCAPES, END, NEXT, START, chat_digests
@@ -72,6 +73,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_pack": op2_pack,
@@ -83,10 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_align": op12_align,
 }
 
 
-
 def _sql_escaped(column: str, rules: list[tuple[str, str]] = ESCAPES) -> str:
     for a, b in rules:
         column = f"replace({column}, '{a}', '{b}')"
