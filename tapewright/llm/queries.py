@@ -12,6 +12,7 @@ from .ann import nearest
 from .bpe import bpe_digests
 from .chat import ESCAPES, END, NEXT, START, chat_digests
 from .common import table
+from .dualtree import rank_documents
 from .exact_dedup import exact_groups
 from .langid import detect_languages
 from .minhash import near_groups
@@ -77,6 +78,10 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_pack": op2_pack,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
     "op12_align": op12_align,
+    "op13_lexical": op13_lexical,
 }
 
 
@@ -98,7 +104,24 @@ def _sql_escaped(column: str, rules: list[tuple[str, str]] = ESCAPES) -> str:
     return column
 
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 ORACLES: dict[str, str] = {
+    "op13_lexical": f"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS terms FROM documents),
+        d AS (SELECT r, doc_id, len(terms) AS n, terms FROM t WHERE len(terms) > 0),
+        s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM d),
+        tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        p AS (SELECT item_id, r, doc_id, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+                * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // tokens))) AS part
+              FROM i JOIN tf USING (term) JOIN df USING (term), s),
+        g AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM p GROUP BY item_id, r, doc_id)
+        SELECT item_id, CAST(nth AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS nth FROM g WHERE score > 0)
+        WHERE nth <= 50""",
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
