@@ -17,6 +17,7 @@ from .exact_dedup import exact_groups
 from .langid import detect_languages
 from .minhash import near_groups
 from .packing import packed_documents
+from .pivots import top_products
 from .quality import score_quality
 from .tokencount import token_counts
 from .toxicity import score_toxicity
@@ -74,6 +75,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_topk": op11_topk,
     "op12_align": op12_align,
     "op13_lexical": op13_lexical,
 }
@@ -108,6 +114,15 @@ _TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 
 ORACLES: dict[str, str] = {
+    "op11_topk": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+        p AS (
+            SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_inner_product(q.v, c.v) AS BIGINT)) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL)
+        SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM p) WHERE nth <= 20""",
     "op13_lexical": f"""
         WITH t AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS terms FROM documents),
         d AS (SELECT r, doc_id, len(terms) AS n, terms FROM t WHERE len(terms) > 0),
