@@ -16,9 +16,9 @@ from .common import work_dir, written
 
 TABLES, SEED = 16, 7
 #: Share of the sampled queries' true neighbours that the probes must reach.
-TARGET = 0.93
+TARGET = 0.95
 #: Vectors that the centre is taken from, and queries that the number of probes is fitted on.
-CENTRE_ROWS, FITTED_QUERIES = 1000, 100
+CENTRE_ROWS, FITTED_QUERIES = 1000, 300
 #: Probes of a table that are looked at first; doubled until TARGET is reached.
 FIRST_PROBES = 512
 #: Bytes of vectors that one task holds together.
@@ -142,35 +142,40 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _closest(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest, measured exactly, ties to the smaller id; repeated ids count once."""
+def _closest(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, several: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest ids, measured exactly, ties to the smaller id.
+
+    An id that occurs again counts once; with ``several``, where its vectors may differ, with its least distance.
+    """
     d = np.sqrt(((vectors - query) ** 2).sum(axis=1))
-    near = np.arange(len(d))
-    if len(d) > k:
-        _, once = np.unique(ids, return_index=True)
-        near = once[d[once] <= np.partition(d[once], k - 1)[k - 1]] if len(once) > k else once
-    elif len(d):
+    if several:
+        order = np.lexsort((d, ids))
+        near = order[np.unique(ids[order], return_index=True)[1]]
+    else:
         near = np.unique(ids, return_index=True)[1]
+    if len(near) > k:
+        near = near[d[near] <= np.partition(d[near], k - 1)[k - 1]]
     near = near[np.lexsort((ids[near], d[near]))][:k]
     return near, d[near]
 
 
-def _true_neighbours(hashed: DataFrame, queries: np.ndarray, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each sampled query's k nearest entries the query's place and their buckets, found by comparing with all."""
-    shared = hashed.sparkSession.sparkContext.broadcast(queries)
-    fields = [("q", pa.int32()), ("d", pa.float64()), ("entry", pa.int64()), ("buckets", pa.list_(pa.int64()))]
+def _true_neighbours(hashed: DataFrame, own: np.ndarray, queries: np.ndarray, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sampled query's k nearest other rows the query's place and their buckets, found by comparing with all."""
+    shared = hashed.sparkSession.sparkContext.broadcast((own, queries))
+    fields = [("q", pa.int32()), ("d", pa.float64()), ("vec_id", pa.int64()), ("buckets", pa.list_(pa.int64()))]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
+        own, asked = shared.value
         kept = None
         for batch in batches:
             x = _matrix(batch["embedding"], dim)
             if not len(x):
                 continue
+            ids, names = batch["vec_id"].to_numpy(), batch["buckets"].flatten().to_numpy().reshape(len(x), -1)
             far = np.sqrt(np.maximum((asked**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * asked @ x.T, 0))
+            far[own[:, None] == ids[None]] = np.inf
             place = np.argpartition(far, k - 1, axis=1)[:, :k] if far.shape[1] > k else np.broadcast_to(np.arange(len(x)), far.shape)
-            entry, names = batch["entry"].to_numpy(), batch["buckets"].flatten().to_numpy().reshape(len(x), -1)
-            now = (np.take_along_axis(far, place, axis=1), entry[place], names[place])
+            now = (np.take_along_axis(far, place, axis=1), ids[place], names[place])
             if kept is not None:
                 now = tuple(np.concatenate(pair, axis=1) for pair in zip(kept, now))
                 order = np.argsort(now[0], axis=1)[:, :k]
@@ -181,8 +186,8 @@ def _true_neighbours(hashed: DataFrame, queries: np.ndarray, dim: int, k: int) -
             lists = pa.FixedSizeListArray.from_arrays(kept[2].ravel(), kept[2].shape[2]).cast(pa.list_(pa.int64()))
             yield pa.record_batch([pa.array(np.repeat(np.arange(len(asked), dtype=np.int32), each)), pa.array(kept[0].ravel()), pa.array(kept[1].ravel()), lists], schema=pa.schema(fields))
 
-    found = hashed.select("embedding", "entry", "buckets").mapInArrow(best, "q int, d double, entry long, buckets array<long>")
-    nth = F.row_number().over(Window.partitionBy("q").orderBy("d", "entry"))
+    found = hashed.select("embedding", "vec_id", "buckets").mapInArrow(best, "q int, d double, vec_id long, buckets array<long>").where(F.col("d") < float("inf"))
+    nth = F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))
     rows = found.withColumn("nth", nth).where(F.col("nth") <= k).select("q", "buckets").collect()  # sampled queries * k
     return np.array([r["q"] for r in rows], np.int64), np.array([r["buckets"] for r in rows], np.int64).reshape(len(rows), -1)
 
@@ -193,17 +198,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id. score is the Euclidean distance in
     double precision; ties go to the smaller vec_id. Vectors that are null, zero or have null or non-finite components
     take no part, nor do rows without vec_id and vectors of another length than most have. With fewer candidates than
-    k all are returned. Other columns are ignored; an empty table gives no rows.
+    k all are returned. A row that repeats an id and a vector counts once. Where an id has several vectors, a pair of
+    ids has the least distance of theirs, and there is one row for a pair; an id is never its own candidate. Other
+    columns are ignored; an empty table gives no rows.
 
     The number of buckets follows the number of rows. How many of a table's buckets are probed is fitted: a bounded
-    sample of the queries is compared with all entries once, and the least number that reaches ``target`` of their
-    true neighbours is taken, so recall holds for other data and sizes.
-
-    Equal vectors are one entry that keeps its k + 1 smallest ids, enough for any answer. Each table sends an entry to
-    one cell of work and a query once to each cell that has buckets it probes. Buckets that share their leading axes
-    share a cell, up to CELL_BYTES of vectors; beyond that a cell is divided by bucket, and a bucket that is larger
-    still by entry. Each task returns its k best for a query. Queries that found fewer than k that way are compared
-    with all entries, block by block.
+    sample of the queries is compared with all rows once, and the least number that reaches ``target`` of their
+    true neighbours (their own row isn't one) is taken, so recall holds for other data and sizes.
+
+    Of equal vectors the k + 1 smallest ids are indexed, enough for any answer; vectors are told apart by 128-bit hashes.
+    Each table sends a row to one cell of work and a query vector once to each cell that has buckets it probes. Buckets
+    that share their leading axes share a cell, up to CELL_BYTES of vectors; beyond that a cell is divided by bucket,
+    and a bucket that is larger still by row. Each task returns its k + 1 best for a query vector. Queries that found
+    fewer than k that way are compared with all rows, block by block.
     """
     spark = vectors.sparkSession
     path = work_dir(spark)
@@ -216,17 +223,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
     dim, kind = common["n"], "float" if single else "double"
     per_cell = max(1, CELL_BYTES // (8 * dim))
     block_rows = max(1, per_cell // 4)
-    rows = rows.where(F.size("embedding") == dim)
+    rows = rows.where(F.size("embedding") == dim).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
+    rows = written(rows.dropDuplicates(["vec_id", "h1", "h2"]), f"{path}/rows")
 
-    def some(df: DataFrame, n: int) -> np.ndarray:
-        found = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("embedding").collect()
-        return np.array([r["embedding"] for r in found], float).reshape(len(found), dim)
+    def some(df: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+        found = df.orderBy(F.xxhash64("vec_id"), "vec_id", "h1", "h2").limit(n).select("vec_id", "embedding").collect()
+        return np.array([r["vec_id"] for r in found], np.int64), np.array([r["embedding"] for r in found], float).reshape(len(found), dim)
 
     axes = axes_for(dim, common["count"])
-    index = CrossPolytope(dim, axes, some(rows, CENTRE_ROWS).mean(axis=0), tables)
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    entries = first.groupBy("embedding").agg(F.min("vec_id").alias("entry"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding")
+    index = CrossPolytope(dim, axes, some(rows, CENTRE_ROWS)[1].mean(axis=0), tables)
+    nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
+    first = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("vec_id", "h1", "embedding")
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,11 +242,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
                 found = index.buckets(_matrix(part["embedding"], dim))
                 yield part.append_column("buckets", pa.FixedSizeListArray.from_arrays(found.ravel(), tables).cast(pa.list_(pa.int64())))
 
-    hashed = entries.mapInArrow(hash_all, f"embedding array<{kind}>, entry long, ids array<long>, buckets array<long>")
+    hashed = first.mapInArrow(hash_all, f"vec_id long, h1 long, embedding array<{kind}>, buckets array<long>")
     hashed = written(hashed, f"{path}/entries")
-    queries = written(asked.join(hashed.select("embedding", "entry"), "embedding").select("query_id", "entry", "embedding"), f"{path}/queries")
-    sample = some(asked.withColumnRenamed("query_id", "vec_id"), FITTED_QUERIES)
-    probes = probes_needed(index, sample, *_true_neighbours(hashed, sample, dim, k + 1), target) if len(sample) else 1
+    asked = rows.where(is_query)
+    # equal query vectors are asked for once
+    alone = written(asked.dropDuplicates(["h1", "h2"]).select("h1", "h2", "embedding", F.monotonically_increasing_id().alias("asker")), f"{path}/alone")
+    queries = written(asked.join(alone.select("h1", "h2", "asker"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "asker"), f"{path}/queries")
+    own, sample = some(asked, FITTED_QUERIES)
+    probes = probes_needed(index, sample, *_true_neighbours(hashed, own, sample, dim, k), target) if len(sample) else 1
 
     total = hashed.count()
     cells = max(spark.sparkContext.defaultParallelism, -(-total * tables // per_cell))
@@ -263,7 +273,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
         both = both.withColumn("block", blocks)
         return both.withColumn("cell", F.pmod(F.xxhash64(prefix, F.pmod(F.xxhash64("bucket"), F.col("parts")), "block"), F.lit(cells)))
 
-    there = placed(hashed.select("entry", "embedding", F.explode("buckets").alias("bucket")), F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
+    there = placed(hashed.select("vec_id", "h1", "embedding", F.explode("buckets").alias("bucket")), F.pmod(F.xxhash64("vec_id", "h1"), F.col("blocks")).cast("int"))
 
     def probe_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 21) // (probes * 8))
@@ -272,45 +282,44 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
                 part = batch.slice(i, step)
                 found = index.probes(_matrix(part["embedding"], dim), probes).reshape(part.num_rows, -1)
                 lists = pa.FixedSizeListArray.from_arrays(found.ravel(), found.shape[1]).cast(pa.list_(pa.int64()))
-                yield pa.record_batch([part["entry"], lists], names=["entry", "buckets"])
+                yield pa.record_batch([part["asker"], lists], names=["asker", "buckets"])
 
-    alone = queries.groupBy("entry").agg(F.first("embedding").alias("embedding"))
-    asking = alone.mapInArrow(probe_all, "entry long, buckets array<long>").select("entry", F.explode("buckets").alias("bucket"))
-    asking = placed(asking, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy("cell", "entry").agg(F.collect_list("bucket").alias("buckets"))
-    asking = asking.join(alone, "entry")
+    asking = alone.mapInArrow(probe_all, "asker long, buckets array<long>").select("asker", F.explode("buckets").alias("bucket"))
+    asking = placed(asking, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy("cell", "asker").agg(F.collect_list("bucket").alias("buckets"))
+    asking = asking.join(alone.select("asker", "embedding"), "asker")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         if left.num_rows and right.num_rows:
-            ids, bucket = left["entry"].to_numpy(), left["bucket"].to_numpy()
+            ids, bucket, h1 = (left[c].to_numpy() for c in ("vec_id", "bucket", "h1"))
             vecs = _matrix(left["embedding"].combine_chunks(), dim)
+            several = len(np.unique(ids)) < len(np.unique(ids * 0x9E3779B1 ^ h1))
             order = np.argsort(bucket, kind="stable")
             ids, vecs = ids[order], vecs[order]
             names, begins = np.unique(bucket[order], return_index=True)
             ends = np.append(begins[1:], len(ids))
             lists, wanted = right["buckets"].combine_chunks(), _matrix(right["embedding"].combine_chunks(), dim)
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for query, v, (lo, hi) in zip(right["entry"].to_pylist(), wanted, pairwise(offsets.tolist())):
+            for query, v, (lo, hi) in zip(right["asker"].to_pylist(), wanted, pairwise(offsets.tolist())):
                 at = np.searchsorted(names, flat[lo:hi])
                 at = at[at < len(names)] if len(names) else at
                 at = np.unique(at[np.isin(names[at], flat[lo:hi])])
                 long = ends[at] - begins[at]
                 pick = np.arange(long.sum()) + np.repeat(begins[at] - np.cumsum(long) + long, long)
-                near, far = _closest(v, ids[pick], vecs[pick], k + 1)
+                near, far = _closest(v, ids[pick], vecs[pick], k + 1, several)
                 out += [(query, n, d) for n, d in zip(ids[pick[near]].tolist(), far.tolist())]
         types = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, types)], names=["entry", "near", "score"])
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, types)], names=["asker", "vec_id", "score"])
 
     def ranked(there: DataFrame, asking: DataFrame, queries: DataFrame) -> DataFrame:
-        there = there.select("cell", "bucket", "entry", "embedding").groupBy("cell")
-        asking = asking.select("cell", "entry", "embedding", "buckets").groupBy("cell")
-        found = there.cogroup(asking).applyInArrow(search, "entry long, near long, score double")
-        best = Window.partitionBy("entry").orderBy("score", "near")
-        found = found.distinct().withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
-        spread = found.join(hashed.select(F.col("entry").alias("near"), "ids"), "near").select("entry", "score", F.explode("ids").alias("vec_id"))
-        best = Window.partitionBy("entry").orderBy("score", "vec_id")
-        spread = spread.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
-        answers = queries.select("query_id", "entry").join(spread, "entry").where(F.col("vec_id") != F.col("query_id"))
+        there = there.select("cell", "bucket", "vec_id", "h1", "embedding").groupBy("cell")
+        asking = asking.select("cell", "asker", "embedding", "buckets").groupBy("cell")
+        found = there.cogroup(asking).applyInArrow(search, "asker long, vec_id long, score double")
+        found = found.groupBy("asker", "vec_id").agg(F.min("score").alias("score"))
+        best = Window.partitionBy("asker").orderBy("score", "vec_id")
+        found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
+        answers = queries.join(found, "asker").where(F.col("vec_id") != F.col("query_id"))
+        answers = answers.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         best = Window.partitionBy("query_id").orderBy("score", "vec_id")
         answers = answers.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score")
         return answers.where(F.col("rank") <= k)
@@ -323,15 +332,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TAB
         return probed
     blocks, parts = max(spark.sparkContext.defaultParallelism, -(-total // block_rows)), -(-missing // block_rows)
 
-    def dealt(n: int) -> Column:
-        return F.pmod(F.xxhash64("entry"), F.lit(n))
+    def dealt(n: int, *by: str) -> Column:
+        return F.pmod(F.xxhash64(*by), F.lit(n))
 
     def each(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    there = hashed.select("entry", "embedding", dealt(blocks).alias("block"), each(parts).alias("part"))
-    there = there.select((F.col("block") * parts + F.col("part")).alias("cell"), F.lit(0).cast("long").alias("bucket"), "entry", "embedding")
-    asking = short.groupBy("entry").agg(F.first("embedding").alias("embedding")).select("entry", "embedding", dealt(parts).alias("part"), each(blocks).alias("block"))
-    asking = asking.select((F.col("block") * parts + F.col("part")).alias("cell"), "entry", "embedding", F.array(F.lit(0).cast("long")).alias("buckets"))
+    there = hashed.select("vec_id", "h1", "embedding", dealt(blocks, "vec_id", "h1").alias("block"), each(parts).alias("part"))
+    there = there.select((F.col("block") * parts + F.col("part")).alias("cell"), F.lit(0).cast("long").alias("bucket"), "vec_id", "h1", "embedding")
+    asking = alone.join(short.select("asker").distinct(), "asker").select("asker", "embedding", dealt(parts, "asker").alias("part"), each(blocks).alias("block"))
+    asking = asking.select((F.col("block") * parts + F.col("part")).alias("cell"), "asker", "embedding", F.array(F.lit(0).cast("long")).alias("buckets"))
     rest = probed.join(short.select("query_id").distinct(), "query_id", "left_anti")
     return rest.unionByName(ranked(there, asking, short))
