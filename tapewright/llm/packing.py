@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, in_parts, work_dir, written
+from .common import held, in_parts, unused, work_dir, written
 
 WINDOW, END_ID = 4096, 2
 #: Pieces that one task packs together; a window is left part empty about once for so many pieces.
@@ -194,12 +194,13 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> list[tuple[
 def pack(pieces: DataFrame, window: int = WINDOW, per_shard: int = PIECES_PER_SHARD) -> DataFrame:
     """Adds sequence_id and offset to ``pieces`` (doc_id, start, length, ...), which must be cheap to read twice.
 
-    Full windows are sequences of their own. The rest is dealt out by hash to shards of about ``per_shard`` pieces, as
+    Full windows are sequences of their own. The rest is dealt out by the hash of a row's place to shards of about ``per_shard`` pieces, as
     many as the count asks for; each is packed by best-fit decreasing, longest first, ties by doc_id and start. A shard
     holds a few numbers for each piece, so it fits a task whatever the documents' lengths. sequence_id is the shard
     times 2**32 plus the window's number there; full windows have negative ones, by their place in the input.
     """
-    part = pieces.where(F.col("length") < window)
+    place = unused(pieces, "place")
+    part = pieces.withColumn(place, F.monotonically_increasing_id()).where(F.col("length") < window)
     shards = max(1, -(-part.count() // per_shard))
     names = pieces.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
@@ -209,7 +210,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, per_shard: int = PIECES_PER_SH
         at = np.array(best_fit_decreasing(rows["length"].to_pylist(), window), dtype=np.int64).reshape(-1, 2)
         return rows.append_column("sequence_id", pa.array(at[:, 0] + (key[0].as_py() << 32))).append_column("offset", pa.array(at[:, 1]))
 
-    shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards))
+    shard = F.pmod(F.xxhash64(place), F.lit(shards))
     packed = part.groupBy(shard.alias("shard")).applyInArrow(fill, schema)
     full = pieces.where(F.col("length") >= window)
     number = -F.monotonically_increasing_id() - F.lit(1)
