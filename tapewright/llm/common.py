@@ -91,7 +91,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """(doc_id, text, y) of at most ``at_most`` labelled documents outside the held-out fold.
 
     The sample is the rows of least hashed id, the same whatever the partitioning. Null ids, null
-    labels and labels other than 0 and 1 take no part; of several labels of one id the largest holds.
+    labels and labels other than 0 and 1 take no part; of several labels of one id the largest holds. Of several texts
+    of one id the one of least hash is taken, so that repeated ids don't grow the sample.
     """
     rows = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
@@ -101,8 +102,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .limit(at_most)
     )
     # at_most rows of two numbers: a bound that doesn't depend on the data
-    found = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("s_id"))
-    return found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), F.col("doc_id") == F.col("s_id"))
+    # keeps one text for each id and task, so a repeated id isn't gathered before it is reduced
+    one = found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("y").alias("y"))
+    return one.select("doc_id", "text", "y")
 
 
 def in_parts(texts: pa.Array, rows: int = 256) -> Iterator[list[str | None]]:
