@@ -18,9 +18,10 @@ def fit_scaler(train: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
 
 
 def scale(df: DataFrame, scaler: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    """``df`` with each column standardised by the scaler's row for it; the scaler is as long as the vector."""
-    by = {r["feature"]: r for r in scaler.collect()}
-    return df.withColumns({c: (F.col(c) - F.lit(by[c]["mu"])) / F.lit(by[c]["sd"]) for c in columns})
+    """``df``, which may be a stream, with each column standardised by the scaler's row for it; no job runs for that."""
+    one = scaler.agg(*[F.max(F.when(F.col("feature") == c, F.struct("mu", "sd"))).alias(f"_of_{c}") for c in columns])
+    both = df.crossJoin(F.broadcast(one))  # one row
+    return both.withColumns({c: (F.col(c) - F.col(f"_of_{c}.mu")) / F.col(f"_of_{c}.sd") for c in columns}).drop(*one.columns)
 
 
 def feature_vector(values: Column, size: int = len(FEATURES)) -> Column:

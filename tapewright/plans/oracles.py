@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+from . import saved
+
 TRADES = """trades AS (
     SELECT event_type AS symbol, ts, value AS price, CAST(nullif(regexp_extract(props, '([0-9]+)', 1), '') AS DOUBLE) AS qty, user_id % 2 = 1 AS maker
     FROM events WHERE ts IS NOT NULL)"""
@@ -237,4 +241,38 @@ ORACLES: dict[str, str] = {
         SELECT symbol, {HOUR}, {PREDICTED.format(p2='CASE WHEN p1 >= 0.5 THEN round(p2, 6) END')} FROM scored""",
 }
 
+
+
+def _model_sql(doc: dict, scaler: dict) -> str:
+    """A saved stage's probability of class 1 as SQL, from its coefficients or its trees."""
+    scaled = {c: f"(({c} - ({mu!r})) / {sd!r})" for c, (mu, sd) in scaler.items()}
+    if doc["kind"] == "Linear":
+        z = " + ".join([f"({doc['intercept']!r})", *(f"{scaled[c]} * ({b!r})" for c, b in zip(doc["columns"], doc["coefficients"]))])
+        return f"1 / (1 + exp(-({z})))"
+
+    def node(tree: dict, at: int) -> str:
+        if at >= len(tree["f"]):
+            return repr(tree["v"][at - len(tree["f"])])
+        left = node(tree, 2 * at + 1)
+        if tree["f"][at] < 0:
+            return left
+        return f"CASE WHEN {scaled[doc['columns'][tree['f'][at]]]} <= {tree['t'][at]!r} THEN {left} ELSE {node(tree, 2 * at + 2)} END"
+
+    return f"1 / (1 + exp(-({' + '.join(f'({node(t, 0)})' for t in doc['trees'])})))"
+
+
+def _saved_sql(text: str, of: str, columns: str, force: bool = False) -> str:
+    doc = json.loads(text)
+    p1, p2 = (_model_sql(doc[stage], doc["scaler"]) for stage in ("first", "second"))
+    shown = "p2" if force else "CASE WHEN p1 >= 0.5 THEN p2 END"
+    return f"""SELECT {columns}, round(p1, 6) AS p1, round({shown}, 6) AS p2, CASE WHEN p1 < 0.5 THEN 0 WHEN p2 >= 0.5 THEN 2 ELSE 1 END::BIGINT AS yhat
+        FROM (SELECT *, {p1} AS p1, {p2} AS p2 FROM {of})"""
+
+
+ORACLES |= {
+    "stream_linear_scores": f"{W}{FEATS} {_saved_sql(saved.LINEAR, f'(SELECT * FROM feats WHERE {CLOSED})', f'symbol, {HOUR}')}",
+    "stream_tree_scores": f"{W}{FEATS} {_saved_sql(saved.BOOSTED, f'(SELECT * FROM feats WHERE {CLOSED})', f'symbol, {HOUR}')}",
+    "linear_scores": f"{W}{LABELLED} {_saved_sql(saved.LINEAR, 'labelled', f'symbol, {HOUR}, y::BIGINT AS y', force=True)}",
+    "stream_progress": f"WITH {BARS} SELECT (SELECT count(*) FROM events) AS rows, count(*) AS bars, sum(msg_count)::BIGINT AS trades, 0::BIGINT AS odd FROM bars WHERE {CLOSED}",
+}
 ORACLES = {name: _settled(sql) for name, sql in ORACLES.items()}

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import artifact_tag, logit_adjusted, side
+from ..functions.models import TwoStage
 from ..operators import anomaly, curve, features, labels, metrics, score, split
 from ..operators.bars import bars
-from ..schema import FEATURES, LAMBDA
+from ..schema import FEATURES
 from ..sources import files
 from ..sources.trades import parse_messages, read_trades, replay, trades_of_events, trades_of_lineitem
 from ..sources.work import kept, work_dir
-from ..streaming import live
-from . import training
+from ..streaming import live, progress, ring
+from . import saved, training
 
 #: Hourly bars of the events table; horizon and alpha that give enough shocks on them.
 UNIT, BUCKET, HORIZON, ALPHA, W = "hour", 30 * 86_400, 5, 0.5, 30
@@ -167,7 +168,7 @@ def scaler_fit(spark, sf):
 
 @query
 def scaled_features(spark, sf):
-    rows = split.two_way(_split(spark, sf), 0.2, HORIZON)
+    rows = kept(split.two_way(_split(spark, sf), 0.2, HORIZON).select("symbol", "sec", "part", *FEATURES))
     scaler = score.fit_scaler(rows.where("part = 'train'"))
     return out(score.scale(rows.where("part = 'val'"), scaler), "symbol", "sec", *FEATURES)
 
@@ -475,10 +476,14 @@ def _stream_dir(spark: SparkSession) -> str:
     return work_dir(spark, "stream")
 
 
-def _live_bars(spark, sf):
+def _live_trades(spark, sf):
     # a stream takes a folder or a pattern, and the table may be one file
     schema = table(spark, sf, "events").schema
-    return live.stream_bars(trades_of_events(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")), "1 hour", "1 hour")
+    return trades_of_events(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]"))
+
+
+def _live_bars(spark, sf):
+    return live.stream_bars(_live_trades(spark, sf), "1 hour", "1 hour")
 
 
 @query
@@ -487,27 +492,58 @@ def stream_bars(spark, sf):
     return out(rows, "symbol", "sec", "sum_pq", "sum_q", "total_vol", "buy_vol", "sell_vol", "msg_count")
 
 
+def _live_features(spark, sf):
+    live.use_rocksdb(spark)
+    return ring.live_features(_live_trades(spark, sf), 3600, "1 hour", idle=40 * 86_400)
+
+
 @query
 def stream_features(spark, sf):
-    live.use_rocksdb(spark)
-    rows = live.run_to_table(live.stream_features(_live_bars(spark, sf), LAMBDA), _stream_dir(spark))
+    rows = live.run_to_table(_live_features(spark, sf), _stream_dir(spark))
     return out(rows, "symbol", "sec", "total_vol", "vwap", "buy_vol", "sell_vol", *FEATURES, "window_rows")
 
 
 @query
 def stream_scores(spark, sf):
-    live.use_rocksdb(spark)
+    scores = live.stream_scores(_live_features(spark, sf), with_formulas, TAU, TAU2)
+    return out(live.run_to_table(scores, _stream_dir(spark)), "symbol", "sec", "p1", "p2", "yhat")
+
+
+@query
+def stream_linear_scores(spark, sf):
+    """A saved two-stage logistic regression inside the stream."""
+    scores = TwoStage.from_json(saved.LINEAR).gated(_live_features(spark, sf), TAU, TAU2)
+    return out(live.run_to_table(scores, _stream_dir(spark)), "symbol", "sec", "p1", "p2", "yhat")
+
 
-    scores = live.stream_scores(live.stream_features(_live_bars(spark, sf)), with_formulas, TAU, TAU2)
+@query
+def stream_tree_scores(spark, sf):
+    """Saved boosted trees inside the stream."""
+    scores = TwoStage.from_json(saved.BOOSTED).gated(_live_features(spark, sf), TAU, TAU2)
     return out(live.run_to_table(scores, _stream_dir(spark)), "symbol", "sec", "p1", "p2", "yhat")
 
 
+@query
+def linear_scores(spark, sf):
+    """The same saved regression over the whole table of labelled rows, the second stage for all of them."""
+    return out(TwoStage.from_json(saved.LINEAR).gated(labelled(spark, sf), TAU, TAU2, force=True), "symbol", "sec", "y", "p1", "p2", "yhat")
+
+
+@query
+def stream_progress(spark, sf):
+    """What the table of progress holds of a stream: rows read, bars put out, state rows in the end."""
+    live.use_rocksdb(spark)
+    stream = progress.measured(_live_features(spark, sf), bars=F.count(F.lit(1)), trades=F.sum("msg_count"))
+    _, table = progress.run_with_progress(stream, _stream_dir(spark))
+    own = lambda n: F.sum(F.coalesce(F.col("measures")[n], F.lit(0.0))).cast("long").alias(n)
+    return out(table.agg(F.sum("rows").alias("rows"), own("bars"), own("trades"), F.count_if((F.col("total_ms") <= 0) | (F.col("state_rows") < 0)).alias("odd")))
+
+
 @query
 def stream_hot_rows(spark, sf):
     """The newest rows of each symbol that the stream with two sinks keeps at hand."""
-    live.use_rocksdb(spark)
     path = _stream_dir(spark)
-    run = live.write_hot_and_cold(live.stream_features(_live_bars(spark, sf)), f"{path}/sinks", f"{path}/checkpoint")
+    run = live.write_hot_and_cold(_live_features(spark, sf), f"{path}/sinks", f"{path}/checkpoint")
     run.awaitTermination()
     return out(live.hot_rows(spark, f"{path}/sinks"), "symbol", "sec", "vwap", *FEATURES)
 

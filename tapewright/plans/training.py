@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.models import Linear, Trees, TwoStage, forest_of, linear_of
+from ..operators.boost import Boosting, fit_boosted
 from ..operators.curve import choose_threshold, pr_curve
 from ..operators.labels import require_shocks, stage_targets
 from ..operators.metrics import classification_report, two_stage_prf
@@ -19,77 +22,63 @@ from ..sources.files import gates_by_model
 from ..sources.work import kept
 
 KINDS = ("lr", "rf", "gbt")
-#: Boosting rounds without a better validation loss after which later ones no longer count.
-PATIENCE = 80
-
+#: Rounds of boosting and its shrinkage; a round is up to three jobs, so fewer and larger steps than a single process takes.
+ROUNDS, STEP = 100, 0.1
+#: Fixed values of the two stages' boosting: regularisation, least hessian of a child, early stop of stage 2.
+BOOSTING = {
+    1: Boosting(step=STEP, depth=3, child=8.0, gamma=0.5, rows=0.8, columns=0.8, l1=0.5, l2=2.0, most=1.0, seed=100),
+    2: Boosting(step=STEP, depth=3, child=10.0, gamma=1.0, rows=0.8, columns=0.8, l1=0.5, l2=3.0, most=1.0, patience=80, seed=42),
+}
 
-def estimator(kind: str, stage: int, weight_sum: float, rounds: int = 50):
-    """The classifier of a kind: lr (L2, C = 1), rf (10 trees of depth 4), gbt (boosted trees of depth 3).
 
-    Boosting has no L1, gamma or histogram options here; ``rounds`` trees of step 0.1 stand for thousands of 0.03.
-    """
+def estimator(kind: str, stage: int, weight_sum: float):
+    """Spark's classifier of a kind: lr (L2, C = 1) or rf (10 trees of depth 4)."""
     cols = {"featuresCol": "features", "labelCol": f"y{stage}", "weightCol": "weight"}
     if kind == "lr":
         return LogisticRegression(**cols, regParam=1.0 / weight_sum, elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-9)
     if kind == "rf":
         return RandomForestClassifier(**cols, numTrees=10, maxDepth=4, minInstancesPerNode=20, seed=51 + stage)
-    if kind == "gbt":
-        return GBTClassifier(**cols, maxIter=rounds, stepSize=0.1, maxDepth=3, minInstancesPerNode=8 if stage == 1 else 10, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=51 + stage)
     raise ValueError(f"unknown model {kind}")
 
 
-def best_round(losses: list[float], patience: int = PATIENCE) -> int:
-    """How many rounds early stopping keeps: up to the least loss that was reached before patience ran out."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def fit_stage(train: DataFrame, kind: str, stage: int, rounds: int = 50, validation: DataFrame | None = None) -> PipelineModel:
-    """Fits one stage on scaled rows with y1 and y2; classes are weighted to count alike. Stage 2 sees shocks only.
+def fit_stage(train: DataFrame, kind: str, stage: int, rounds: int = ROUNDS, validation: DataFrame | None = None) -> PipelineModel | Trees:
+    """Fits one stage on scaled rows with y1 and y2. Stage 2 sees shocks only.
 
-    With ``validation``, rows like ``train``, boosting of stage 2 stops early by the log loss on their shocks. Spark's
-    validationIndicatorCol gives up at the first round that gains little, so all rounds are fitted and then, with the
-    same seed, the best number of them.
+    lr and rf weight the classes to count alike; gbt (boosted trees of depth 3, see ``operators.boost``) weights
+    positives by their lack. With ``validation``, rows like ``train``, boosting of stage 2 stops early by the log loss
+    on their shocks and keeps the best round, from the one fit.
     """
-    rows = require_shocks(train) if stage == 2 else train
-    w = class_weights(rows, f"y{stage}").first()
-    balanced = F.when(F.col(f"y{stage}") == 1, w["weight_pos"]).otherwise(w["weight_neg"] or 1.0)
-    assembler, weighted = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip"), rows.withColumn("weight", balanced)
-
-    def fit(n: int) -> PipelineModel:
-        return Pipeline(stages=[assembler, estimator(kind, stage, float(w["n"]), n)]).fit(weighted)
-
-    model = fit(rounds)
-    if kind == "gbt" and stage == 2 and validation is not None:
-        shocks = assembler.transform(validation.where("y != 0").withColumn("weight", F.lit(1.0)))
-        if not shocks.isEmpty() and (best := best_round(model.stages[-1].evaluateEachIteration(shocks))) < rounds:
-            model = fit(best)
-    return model
+    target, rows = f"y{stage}", require_shocks(train) if stage == 2 else train
+    w = class_weights(rows, target).first()
+    if kind == "gbt":
+        weighted = lambda df: df.withColumn("weight", F.when(F.col(target) == 1, w["scale_pos_weight"]).otherwise(1.0))
+        held = weighted(validation.where("y != 0")) if stage == 2 and validation is not None else None
+        return fit_boosted(weighted(rows), FEATURES, target, "weight", replace(BOOSTING[stage], rounds=rounds), held)
+    balanced = F.when(F.col(target) == 1, w["weight_pos"]).otherwise(w["weight_neg"] or 1.0)
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip")
+    return Pipeline(stages=[assembler, estimator(kind, stage, float(w["n"]))]).fit(rows.withColumn("weight", balanced))
 
 
-def probability(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
-    """Adds the model's probability of class 1."""
-    out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
-    return out.drop("features", "rawPrediction", "probability", "prediction")
+def as_expression(model: PipelineModel | Trees, kind: str) -> Linear | Trees:
+    """A fitted stage as column expressions."""
+    return {"lr": lambda m: linear_of(m, FEATURES), "rf": lambda m: forest_of(m, FEATURES), "gbt": lambda m: m}[kind](model)
 
 
-def two_stage(train: DataFrame, rows: DataFrame, kind: str, rounds: int = 50, validation: DataFrame | None = None) -> DataFrame:
-    """``rows`` with p1 and p2 of models fitted on ``train``; both are split, labelled rows with features. Scaled by train.
+def fit_two_stage(train: DataFrame, kind: str, rounds: int = ROUNDS, validation: DataFrame | None = None) -> TwoStage:
+    """Both stages and the scaler, fitted on split, labelled rows with features; for batches and streams alike.
 
     ``validation`` is for the early stop of ``fit_stage``.
     """
-    scaler = fit_scaler(train)
+    scaler = kept(fit_scaler(train))
     fitted = kept(scale(stage_targets(train), scaler))
-    scored = scale(stage_targets(rows), scaler)
     held = None if validation is None else scale(stage_targets(validation), scaler)
-    for stage in (1, 2):
-        scored = probability(fit_stage(fitted, kind, stage, rounds, held), scored, f"p{stage}")
-    return scored
+    stages = [as_expression(fit_stage(fitted, kind, stage, rounds, held), kind) for stage in (1, 2)]
+    return TwoStage(*stages, {r["feature"]: (r["mu"], r["sd"]) for r in scaler.collect()})  # a row for each feature
+
+
+def two_stage(train: DataFrame, rows: DataFrame, kind: str, rounds: int = ROUNDS, validation: DataFrame | None = None) -> DataFrame:
+    """``rows`` with p1 and p2 of models fitted on ``train``; both are split, labelled rows with features. Scaled by train."""
+    return fit_two_stage(train, kind, rounds, validation).gated(rows, 0.0, 0.0, force=True).drop("yhat")
 
 
 def tune(scored: DataFrame, policy: str = "f1", **options) -> DataFrame:
@@ -106,7 +95,7 @@ def evaluate(scored: DataFrame, tau: float, tau2: float, population: str = "pred
     return two_stage_prf(scored, tau, tau2, population), report
 
 
-def held_out_scores(labelled: DataFrame, gap: int, kinds: tuple[str, ...] = KINDS, rounds: int = 50) -> DataFrame:
+def held_out_scores(labelled: DataFrame, gap: int, kinds: tuple[str, ...] = KINDS, rounds: int = ROUNDS) -> DataFrame:
     """(model, part, symbol, sec, y, p1, p2) of validation and test rows, from models fitted on the training rows.
 
     70, 15 and 15 percent of the rows in the order of time, with ``gap`` rows left out between parts; scaled by the
@@ -124,7 +113,7 @@ def held_out_scores(labelled: DataFrame, gap: int, kinds: tuple[str, ...] = KIND
     return kept(out)
 
 
-def hold_out(labelled: DataFrame, gap: int, kinds: tuple[str, ...] = KINDS, rounds: int = 50, tau: float | None = None, tau2: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hold_out(labelled: DataFrame, gap: int, kinds: tuple[str, ...] = KINDS, rounds: int = ROUNDS, tau: float | None = None, tau2: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scores, thresholds, metrics) of the whole evaluation.
 
     thresholds has model, stage, thr, ... tuned on the validation rows. metrics has, per model, population (predicted

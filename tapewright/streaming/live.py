@@ -1,26 +1,18 @@
-"""Live bars, features, scores and sinks with bounded state per symbol."""
+"""Live bars, scores and sinks; features with bounded state per symbol are in ``ring``."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.bars import bar_sums
 from ..operators.features import last_w
 from ..operators.score import gate
-from ..schema import BASELINE_ROWS, EPS, GATE, LAMBDA, LOOKBACK, SECOND_GATE
+from ..schema import GATE, LOOKBACK, SECOND_GATE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-FEATURE_ROW = (
-    "symbol string, sec timestamp, total_vol double, vwap double, buy_vol double, sell_vol double, msg_count long, "
-    "r_t double, sigma_hat double, OFI_t double, Imbalance_t double, VolSpike_t double, window_rows int"
-)
 
 
 def stream_bars(trades: DataFrame, width: str = "1 second", late: str = "5 seconds") -> DataFrame:
@@ -30,50 +22,6 @@ def stream_bars(trades: DataFrame, width: str = "1 second", late: str = "5 secon
     return rows.select("symbol", F.col("w.start").alias("sec"), F.col("w").alias("window"), "sum_pq", "sum_q", "total_vol", "buy_vol", "sell_vol", "msg_count")
 
 
-class FeatureState(StatefulProcessor):
-    """Features of each new bar from the last price, the running variance and the last volumes and vectors of its symbol.
-
-    State per symbol: two numbers, at most BASELINE_ROWS volumes and at most ``rows`` vectors, however long the stream.
-    """
-
-    def __init__(self, lam: float = LAMBDA, rows: int = LOOKBACK):
-        self.lam, self.rows = lam, rows
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "vwap double, sig2 double, bars long")
-        self.volumes = handle.getValueState("volumes", "v array<double>")
-        self.vectors = handle.getValueState("vectors", "x array<array<double>>")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        bars = pd.concat(list(rows)).sort_values("sec")
-        vwap, sig2, n = self.last.get() if self.last.exists() else (0.0, 0.0, 0)
-        volumes = list(self.volumes.get()[0]) if self.volumes.exists() else []
-        vectors = [list(x) for x in self.vectors.get()[0]] if self.vectors.exists() else []
-        out = []
-        for b in bars.itertuples():
-            price = b.sum_pq / b.sum_q if b.sum_q > 0 else vwap
-            r = math.log(price / (vwap + EPS)) if n and vwap > 0 and price > 0 else 0.0
-            sig2 = r * r if not n else self.lam * sig2 + (1 - self.lam) * r * r
-            vwap, n = price, n + 1
-            volumes = [*volumes, float(b.total_vol)][-BASELINE_ROWS:]
-            flow, both = b.buy_vol - b.sell_vol, b.buy_vol + b.sell_vol
-            sigma, spike = math.sqrt(sig2 + EPS), b.total_vol / (sum(volumes) / len(volumes) + EPS)
-            vectors = [*vectors, [r, sigma, flow, flow / (both + EPS), spike, float(b.msg_count)]][-self.rows :]
-            out.append((key[0], b.sec, b.total_vol, price, b.buy_vol, b.sell_vol, b.msg_count, *vectors[-1][:5], len(vectors)))
-        self.last.update((vwap, sig2, n))
-        self.volumes.update((volumes,))
-        self.vectors.update((vectors,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURE_ROW.split(", ")])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_features(bars: DataFrame, lam: float = LAMBDA, rows: int = LOOKBACK) -> DataFrame:
-    """Features of a stream of bars; needs the RocksDB state store (see ``use_rocksdb``)."""
-    return bars.groupBy("symbol").transformWithStateInPandas(FeatureState(lam, rows), outputStructType=FEATURE_ROW, outputMode="Append", timeMode="None")
-
-
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 

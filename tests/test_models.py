@@ -33,31 +33,31 @@ def test_logistic_regression_equals_newton(spark):
 @pytest.mark.parametrize("kind", ["lr", "rf", "gbt"])
 def test_two_stages_beat_chance_and_tune(spark, kind):
     train, val = rows(spark), rows(spark, seed=5)
-    scored = training.two_stage(train, val, kind, 5).select("y", "p1", "p2").cache()
+    scored = training.two_stage(train, val, kind, 8).select("y", "p1", "p2").cache()
     means = {r["y"]: r for r in scored.groupBy("y").agg(F.avg("p1").alias("p1"), F.avg("p2").alias("p2")).collect()}
-    assert means[2]["p2"] > means[1]["p2"] + 0.3
+    few = 0.3 if kind == "gbt" else 1  # eight of a hundred rounds have moved scores by so much
+    assert means[2]["p2"] > means[1]["p2"] + 0.3 * few
     if kind != "lr":  # shocks lie on both sides, which no straight line separates
-        assert means[1]["p1"] > means[0]["p1"] + 0.1
+        assert means[1]["p1"] > means[0]["p1"] + 0.1 * few
     tuned = {r["stage"]: r["thr"] for r in training.tune(scored.withColumn("model", F.lit(kind))).collect()}
     assert tuned.keys() == {"s1", "s2"}
     prf, report = training.evaluate(scored, tuned["s1"], tuned["s2"], "true")
     assert {r["stage"] for r in prf.collect()} == {1, 2} and report.count() == 6
 
 
-def test_early_stop_keeps_the_best_round(spark):
-    assert [training.best_round(x, 2) for x in ([3, 2, 1], [3, 1, 2, 2, 0], [3, 1, 2, 0, 4], [1])] == [3, 2, 4, 1]
-    train = rows(spark, 300).where("y != 0").withColumns({"y1": F.lit(1), "y2": (F.rand(3) < 0.5).cast("int")}).cache()  # nothing to learn
-    n = lambda m: m.stages[-1].getNumTrees
-    assert n(training.fit_stage(train, "gbt", 2, 6)) == 6
+def test_early_stop_of_the_second_stage(spark):
+    train = rows(spark, 300).where("y != 0").withColumns({"y1": F.lit(1), "y2": (F.col("y") == 2).cast("int")}).cache()
+    n = lambda m: len(m.trees)
+    assert n(training.fit_stage(train, "gbt", 2, 6)) == 6 == n(training.fit_stage(train, "gbt", 2, 6, train))
     wrong = train.withColumn("y2", 1 - F.col("y2"))
-    assert n(training.fit_stage(train, "gbt", 2, 6, wrong)) == 1 and n(training.fit_stage(train, "gbt", 2, 6, train)) == 6
+    assert n(training.fit_stage(train, "gbt", 2, 6, wrong)) == 0
 
 
 @pytest.mark.parametrize("kind", ["lr", "rf", "gbt"])
 def test_queries_fit_the_rounds_of_the_operator(spark, monkeypatch, kind):
     seen = []
 
-    def fitted(train, val, kind, rounds=50, validation=None):
+    def fitted(train, val, kind, rounds=training.ROUNDS, validation=None):
         seen.append((rounds, validation is val))
         return val.withColumns({"p1": F.lit(0.5), "p2": F.lit(0.5)})
 
@@ -65,7 +65,7 @@ def test_queries_fit_the_rounds_of_the_operator(spark, monkeypatch, kind):
     monkeypatch.setattr(queries, "_split", lambda spark, sf: part)
     monkeypatch.setattr(queries.split, "two_way", lambda df, *a: df)
     monkeypatch.setattr(queries.training, "two_stage", fitted)
-    assert queries._two_stage(spark, "", kind).count() == 1 and seen == [(50, True)]
+    assert queries._two_stage(spark, "", kind).count() == 1 and seen == [(training.ROUNDS, True)]
 
 
 def test_gate_runs_the_second_model_on_passing_rows_only(spark):
