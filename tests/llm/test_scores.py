@@ -304,3 +304,15 @@ def test_letters_beyond_the_first_planes(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.detect_languages(docs).collect()}
     assert "und" not in got.values()
     assert all(bool(langid.letters()[c]) == chr(c).isalpha() for c in (0x31FFF, 0x32000, 0x323AF, 0x10FFFF, 65))
+
+
+def test_the_labelled_sample_is_bounded_whatever_repeats(spark):
+    from tapewright.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(1000)] + [(i, None if i == 8 else f"other {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(7, 1)] * 5, "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 5, 0, 40).collect()
+    assert len(rows) == 40 == len({r["doc_id"] for r in rows})
+    every = {r["doc_id"]: r for r in labelled_sample(docs, labels, "toxic", 5, 0, 1000).repartition(3).collect()}
+    again = {r["doc_id"]: r for r in labelled_sample(docs.repartition(7), labels, "toxic", 5, 0, 1000).collect()}
+    assert every == again and 60 < len(every) < 100 and all(r["text"] != "" or r["doc_id"] == 8 for r in every.values())

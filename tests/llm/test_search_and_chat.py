@@ -157,3 +157,24 @@ def test_buckets_follow_the_rows_and_probes_the_target():
     p = ann.probes_needed(index, x[:50], np.repeat(np.arange(50), 10), b[near].reshape(-1, index.tables), 0.9)
     reached = [np.mean([np.any([b[j, t] in set(row[t]) for t in range(index.tables)]) for i, row in enumerate(index.probes(x[:50], n)) for j in near[i]]) for n in (p - 1, p)]
     assert reached[0] < 0.9 <= reached[1]
+
+
+def test_repeated_rows_count_once_and_ids_with_several_vectors_have_their_nearest(spark):
+    rng = np.random.default_rng(12)
+    base = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 4)).astype(np.float32))]
+    rows = base + [base[0]] * 12 + base[1:4] * 12 + [(0, v.tolist()) for v in rng.standard_normal((20, 4)).astype(np.float32)]  # queries and candidates again
+    rows += [(7, v.tolist()) for v in rng.standard_normal((60, 4)).astype(np.float32)] + [(i, [0.5] * 4) for i in range(400, 600)]
+    good = [(i, np.array(v, float)) for i, v in rows]
+    ids, x = np.array([i for i, _ in good]), np.array([v for _, v in good])
+    found = {}
+    for r in ann.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, target=1.0).collect():  # fitted on all these queries
+        found.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    assert sorted(found) == [0, 100, 200, 400, 500]
+    for q, answers in found.items():
+        best = {}
+        for v in x[ids == q]:
+            for i, d in zip(ids.tolist(), np.sqrt(((x - v) ** 2).sum(axis=1)).tolist()):
+                if i != q:
+                    best[i] = min(d, best.get(i, d))
+        want = sorted((d, i) for i, d in best.items())[:10]
+        assert sorted(answers) == [(n + 1, d, i) for n, (d, i) in enumerate(want)]

@@ -192,3 +192,16 @@ def test_ranks_file_is_as_described(bpe):
     with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
         first = f.readline().split()
     assert bpe.ranks[base64.b64decode(first[0])] == int(first[1])
+
+
+def test_pieces_without_or_with_one_id_are_spread_over_shards(spark):
+    from pyspark.sql import functions as F
+
+    from tapewright.llm.packing import pack
+
+    pieces = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.lit(None).cast("long")).otherwise(5).alias("doc_id"), F.lit(0).cast("long").alias("start"), (F.col("id") % 90 + 5).alias("length"))
+    got = pack(pieces, 100, per_shard=500)
+    sizes = [r["count"] for r in got.groupBy(F.expr("sequence_id >> 32")).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 8 and max(sizes) < 800
+    ends = got.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert ends.where("used > 100 OR used <> end").count() == 0
