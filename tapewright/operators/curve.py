@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import f_beta
 from ..sources.work import kept
-from .scale import bucketed_running_sums
+from .scale import in_ranges, running_sums
 
 #: Fewer scored rows than this are too few to choose a threshold.
 LEAST_ROWS = 5
@@ -17,13 +17,13 @@ def pr_curve(scored: DataFrame, score: str = "p", target: str = "y", keys: list[
     """One row per key and distinct score: thr, tp, fp, positives, precision, recall for predicting p >= thr.
 
     Scores are counted before they are shuffled, and the counts, one row per key and score, are written once; running
-    sums go over buckets of scores, not over all rows of a key. Without positives recall is 1.
+    sums go over pieces of about equal numbers of scores (_range), wherever scores lie. Without positives recall is 1.
     """
     keys = list(keys)
     hit = F.col(target).cast("long")
     counts = scored.groupBy(*keys, F.col(score).alias("thr")).agg(F.sum(hit).alias("tp"), F.sum(1 - hit).alias("fp"))
-    counts = kept(counts)
-    points = bucketed_running_sums(counts, "thr", ["tp", "fp"], keys)
+    counts = in_ranges(kept(counts), [*keys, "thr"])
+    points = running_sums(counts, "thr", ["tp", "fp"], keys)
     total = counts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("tp").alias("positives"), F.sum(F.col("tp") + F.col("fp")).alias("n"))
     on = F.lit(True)
     for k in keys:
@@ -34,17 +34,17 @@ def pr_curve(scored: DataFrame, score: str = "p", target: str = "y", keys: list[
 
 
 def _neighbour(keys: list[str], value: Column, out: str, curve: DataFrame) -> DataFrame:
-    """Adds ``value`` at the next higher threshold of the curve, null at the highest; inside buckets of scores."""
-    rows = curve.withColumn("_b", F.least(F.floor(F.col("thr") * 4096), F.lit(4095)))
-    inside = Window.partitionBy(*keys, "_b").orderBy("thr")
+    """Adds ``value`` at the next higher threshold of the curve, null at the highest; inside pieces of its thresholds."""
+    rows = curve if "_range" in curve.columns else in_ranges(kept(curve), [*keys, "thr"])
+    inside = Window.partitionBy(*keys, "_range").orderBy("thr")
     rows = rows.withColumn("_in", F.lead(value).over(inside))
-    first = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bucket")).agg(F.min_by(value, "thr").alias("_first"))
-    order = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_bucket")
+    first = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_piece")).agg(F.min_by(value, "thr").alias("_first"))
+    order = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_piece")
     first = first.withColumn("_next", F.lead("_first").over(order)).drop("_first")
-    on = F.col("_b") == F.col("_bucket")
+    on = F.col("_range") == F.col("_piece")
     for k in keys:
-        on &= F.col(k) == F.col(f"_{k}")
-    return rows.join(first, on).withColumn(out, F.coalesce("_in", "_next")).drop("_b", "_in", "_bucket", "_next", *[f"_{k}" for k in keys])
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(first, on).withColumn(out, F.coalesce("_in", "_next")).drop("_in", "_piece", "_next", *[f"_{k}" for k in keys])
 
 
 def average_precision(curve: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import imbalance, log_return, order_flow, volume_spike
 from ..schema import BASELINE_ROWS, EPS, FEATURES, FLUSH_ROWS, LAMBDA, LOOKBACK
-from .scale import DAY, block_rows, ewma, halo_window, with_row_index
+from .scale import BLOCK, DAY, block_rows, ewma, halo_window, with_row_index
 
 OUT = ["sec", "total_vol", "vwap", "buy_vol", "sell_vol", "msg_count", "r_t", "sigma_hat", "OFI_t", "Imbalance_t", "VolSpike_t", "idx", "key_rows"]
 
@@ -34,7 +34,7 @@ def features(bars: DataFrame, lam: float = LAMBDA, seconds: int = DAY, chunk: in
         BASELINE_ROWS - 1,
         0,
         lambda w: {"r_t": log_return(F.col("vwap"), previous(w)), "_base": F.avg("total_vol").over(w.rowsBetween(1 - BASELINE_ROWS, 0))},
-        chunk or 16 * block_rows(lam),
+        chunk or 16 * min(BLOCK, block_rows(lam)),
     )
     rows = ewma(rows, key, F.col("r_t") * F.col("r_t"), lam, "_s")
     rows = rows.withColumns(

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.work import kept
-
 #: A sketch of this accuracy brackets each percentile; about 4 in ACCURACY of a group's values lie in the bracket.
 ACCURACY = 10_000
 
@@ -14,38 +12,43 @@ ACCURACY = 10_000
 def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float], keys: list[str] = (), accuracy: int = ACCURACY) -> DataFrame:
     """(keys, column, share, n, value): percentiles interpolated between neighbours; nulls don't count.
 
-    A first pass sketches values that surely lie below and above each percentile. The second counts all values below
-    the bracket and each distinct value inside, combined before the shuffle, so the values that are put in order are a
-    small share of the rows, and results are exact. Groups of few rows are their own bracket. Columns without values
-    give no rows.
+    A first pass sketches values that surely lie below and above each percentile, its bracket. The second counts each
+    distinct value inside a bracket and, as one number, all values between two brackets, combined before the shuffle; a
+    value is emitted once, however many shares there are. So the values that are put in order are a small share of the
+    rows, and results are exact. Groups of few rows are their own bracket. Columns without values give no rows.
     """
-    keys, margin = list(keys), 2 / accuracy
+    keys, shares, margin = list(keys), sorted({float(s) for s in shares}), 2 / accuracy
     sides = [max(0.0, s - margin) for s in shares] + [min(1.0, s + margin) for s in shares]
     firsts = []
     for i, c in enumerate(columns):
         few = F.count(c) <= 2 * accuracy
         sketch = F.percentile_approx(F.col(c).cast("double"), F.array(*[F.lit(s) for s in sides]), accuracy)
-        for j, s in enumerate(shares):
-            lo, hi = F.when(few, F.min(c)).otherwise(sketch[j]), F.when(few, F.max(c)).otherwise(sketch[len(shares) + j])
-            cells = (F.lit(c).alias("column"), F.lit(float(s)).alias("share"), F.count(c).alias("n"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
-            firsts.append(F.struct(*cells).alias(f"_{i}_{j}"))
-    first = df.groupBy(*keys).agg(*firsts)
-    bounds = kept(first.select(*keys, F.inline(F.array(*[F.col(f"_{i}_{j}") for i in range(len(columns)) for j in range(len(shares))]))).where("n > 0"))
+        least, most = (F.array_repeat(f(F.col(c).cast("double")), len(shares)) for f in (F.min, F.max))
+        low, high = F.when(few, least).otherwise(F.slice(sketch, 1, len(shares))), F.when(few, most).otherwise(F.slice(sketch, len(shares) + 1, len(shares)))
+        firsts.append(F.struct(F.lit(c).alias("_column"), F.count(c).alias("_n"), low.alias("_low"), high.alias("_high")).alias(f"_{i}"))
+    bounds = df.groupBy(*keys).agg(*firsts).select(*[F.col(k).alias(f"_{k}") for k in keys], F.inline(F.array(*[f"_{i}" for i in range(len(columns))]))).where("_n > 0")
     values = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))).where("v IS NOT NULL")
+    on = F.col("column") == F.col("_column")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    both = values.join(bounds, on)
+    # brackets before the value's place: all between two brackets count as one number in front of the second one
+    passed = sum((F.when(F.col("_high")[j] < F.col("v"), 1).otherwise(0) for j in range(len(shares))), F.lit(0))
+    held = F.coalesce(F.get("_low", passed) <= F.col("v"), F.lit(False))
+    front = F.coalesce(F.get("_low", passed), F.lit(float("inf")))
     names = [*keys, "column"]
-    right = bounds.withColumnsRenamed({c: f"_{c}" for c in names})
-    on = F.lit(True)
-    for c in names:
-        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    inside = values.join(right, on).where("v <= hi").withColumn("v", F.expr("CASE WHEN v >= lo THEN v END"))
-    counts = inside.groupBy(*names, "share", "n", "v").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*names, "share").orderBy(F.asc_nulls_first("v")))
-    at = F.col("share") * (F.col("n") - 1)
-    placed = counts.withColumns({"upto": upto, "at": at})
-    low, high = F.min(F.when(F.col("upto") > F.floor("at"), F.struct("upto", "v"))), F.min(F.when(F.col("upto") > F.ceil("at"), F.struct("upto", "v")))
-    out = placed.groupBy(*names, "share", "n").agg(low["v"].alias("a"), high["v"].alias("b"), F.first("at").alias("at"))
-    found = F.assert_true(F.col("a").isNotNull() & F.col("b").isNotNull(), F.lit("a percentile lies outside its bracket")).isNull()
-    return out.where(found).select(*names, "share", "n", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
+    cells = both.select(*names, F.col("_n").alias("n"), F.when(held, F.col("v")).otherwise(front).alias("at"), held.alias("held"))
+    counts = cells.groupBy(*names, "n", "at", "held").agg(F.count(F.lit(1)).alias("c"))
+    placed = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*names).orderBy("at", "held")))
+    picks = []
+    for j, s in enumerate(shares):
+        rank = F.lit(s) * (F.col("n") - 1)
+        first = lambda r: F.min(F.when(F.col("upto") > r, F.struct("upto", F.col("held"), F.col("at").alias("v"))))
+        picks.append(F.struct(F.lit(s).alias("share"), first(F.floor(rank)).alias("a"), first(F.ceil(rank)).alias("b"), F.max(rank).alias("rank")).alias(f"_{j}"))
+    out = placed.groupBy(*names, "n").agg(*picks).select(*names, "n", F.inline(F.array(*[f"_{j}" for j in range(len(shares))])))
+    found = F.assert_true(F.col("a.held") & F.col("b.held"), F.lit("a percentile lies outside its bracket")).isNull()
+    value = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("rank") - F.floor("rank"))
+    return out.where(found).select(*names, "share", "n", value.alias("value"))
 
 
 def percentile_columns(df: DataFrame, column: str, shares: list[float], keys: list[str]) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import with_row_index
+from .scale import indexed_in_order
 
 
-def indexed(df: DataFrame, order: str, ties: list[str] = (), seconds: int = 86_400) -> DataFrame:
-    """Adds idx and key_rows over all rows by ``order``, a time, and ``ties``; only the counts of time buckets meet in one place."""
-    return with_row_index(df.withColumn("_all", F.lit(0)), "_all", order, seconds, ties=ties).drop("_all")
+def indexed(df: DataFrame, order: str, ties: list[str] = (), rows: int | None = None) -> DataFrame:
+    """Adds idx and key_rows over all rows by ``order`` and ``ties``, in pieces of about ``rows`` rows however times lie."""
+    return indexed_in_order(df, [order, *ties], rows)
 
 
 def two_way(df: DataFrame, share: float = 0.2, gap: int = 30) -> DataFrame:

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tapewright.operators import curve
+from tapewright.operators import curve, scale
 
 from .helpers import plain_threshold
 
@@ -51,3 +51,19 @@ def test_several_curves_in_one_job(spark):
 def test_too_few_rows_are_an_error(spark):
     with pytest.raises(Exception, match="too few"):
         curve.choose_threshold(curve.pr_curve(scored(spark, [1, 0, 1, 0], [0.1, 0.2, 0.3, 0.4]))).collect()
+
+
+def test_scores_close_together_are_spread_over_pieces(spark, monkeypatch):
+    """All scores within one thousandth, as of rare events: pieces are cut by counts, and the curve is the same."""
+    rng = np.random.default_rng(8)
+    p = np.round(0.01 + rng.uniform(0, 0.001, 400), 7)
+    y = (rng.uniform(0, 1, 400) < 0.4).astype(int)
+    whole = curve.pr_curve(scored(spark, y, p)).drop("_range").collect()
+    monkeypatch.setattr(scale, "RANGE_ROWS", 40)
+    pieces = curve.pr_curve(scored(spark, y, p))
+    sizes = [r["count"] for r in pieces.groupBy("_range").count().collect()]
+    assert len(sizes) >= 9 and max(sizes) <= 100
+    assert sorted(map(tuple, pieces.drop("_range").collect())) == sorted(map(tuple, whole))
+    got = curve.choose_threshold(pieces).first()
+    thr, precision, recall = plain_threshold(y, p)
+    assert got["thr"] == thr and math.isclose(got["precision"], precision) and math.isclose(got["recall"], recall)

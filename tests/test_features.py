@@ -29,6 +29,26 @@ def test_features_equal_a_sequential_loop(spark, lam):
         assert math.isclose(r["sigma_hat"], sigma, rel_tol=1e-9) and math.isclose(r["baseline"], base)
 
 
+@pytest.mark.parametrize("lam", [0.9999, 0.97, 0.2])
+def test_a_slow_recurrence_is_carried_over_levels_of_small_blocks(spark, monkeypatch, lam):
+    """Blocks of 5 rows, groups of 4 blocks and of 4 groups, so that every level carries; the size doesn't follow lambda."""
+    for name, n in (("BLOCK", 5), ("GROUP", 4)):
+        monkeypatch.setattr(scale, name, n)
+    rows = series(np.random.default_rng(5), rows=333)
+    want = plain_features(rows, lam)
+    for r in features.features(frame(spark, rows), lam, seconds=1000, chunk=64).collect():
+        assert math.isclose(r["sigma_hat"], want[r["symbol"], int(r["sec"].timestamp())][2], rel_tol=1e-9)
+
+
+def test_all_rows_of_one_moment_are_numbered_in_pieces(spark):
+    df = spark.range(1000).select(F.timestamp_seconds(F.when(F.col("id") < 900, 5).otherwise(F.col("id"))).alias("ts"), F.col("id").alias("tie"))
+    ranged = scale.in_ranges(df, ["ts", "tie"], 100)
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 200
+    got = split.indexed(df, "ts", ["tie"], rows=100)
+    assert got.where("idx <> tie OR key_rows <> 1000").count() == 0 and got.count() == 1000
+
+
 def test_first_bars_without_quantity_and_a_single_bar(spark):
     rows = [("a", 10, 0.0, 0.0, 0.0, 0.0, 0.0, 1), ("a", 11, 50.0, 5.0, 5.0, 5.0, 0.0, 1), ("b", 5, 9.0, 3.0, 3.0, 0.0, 3.0, 2)]
     got = {(r["symbol"], r["idx"]): r for r in features.features(frame(spark, rows)).collect()}
@@ -72,9 +92,9 @@ def test_bars_drop_trades_without_time_and_count_null_quantities(spark):
 
 def test_splits_leave_the_gap_out(spark):
     df = spark.range(100).select(F.timestamp_seconds("id").alias("ts"))
-    two = {r["idx"]: r["part"] for r in split.two_way(split.indexed(df, "ts", seconds=7), 0.2, 10).collect()}
+    two = {r["idx"]: r["part"] for r in split.two_way(split.indexed(df, "ts", rows=7), 0.2, 10).collect()}
     assert two == {i: "train" for i in range(70)} | {i: "val" for i in range(80, 100)}
-    three = {r["idx"]: r["part"] for r in split.three_way(split.indexed(df, "ts", seconds=7), 3).collect()}
+    three = {r["idx"]: r["part"] for r in split.three_way(split.indexed(df, "ts", rows=7), 3).collect()}
     assert three == {i: "train" for i in range(70)} | {i: "val" for i in range(73, 88)} | {i: "test" for i in range(91, 100)}
     with pytest.raises(ValueError):
         split.require_split(split.two_way(split.indexed(df.limit(3), "ts"), 0.2, 10))
