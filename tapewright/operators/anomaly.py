@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.models import Trees
 from ..schema import FEATURES
 from ..sources.work import kept
 from .quantile import exact_percentiles
@@ -77,64 +78,79 @@ def proxy_overlap(flagged: DataFrame, flags: list[str], truth: str = "is_shock")
     )
 
 
-def _grow(x: np.ndarray, rows: np.ndarray, depth: int, rng: np.random.Generator) -> dict:
-    if depth == 0 or len(rows) <= 1 or (x[rows].max(axis=0) == x[rows].min(axis=0)).all():
-        return {"n": int(len(rows))}
-    lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
-    f = int(rng.choice(np.flatnonzero(hi > lo)))
-    cut = float(rng.uniform(lo[f], hi[f]))
-    left = x[rows, f] < cut
-    return {"f": f, "c": cut, "l": _grow(x, rows[left], depth - 1, rng), "r": _grow(x, rows[~left], depth - 1, rng)}
+def _grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> dict:
+    """A tree of random cuts as arrays, see ``functions.models.Trees``; a leaf's value is the path length it stands for."""
+    tree = {"f": [-1] * ((1 << depth) - 1), "t": [0.0] * ((1 << depth) - 1), "m": [True] * ((1 << depth) - 1), "v": [0.0] * (1 << depth)}
+    todo = [(0, 0, np.arange(len(x)))]
+    while todo:
+        at, level, rows = todo.pop()
+        lo, hi = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) else (np.zeros(x.shape[1]),) * 2
+        if level == depth or len(rows) <= 1 or (lo == hi).all():
+            tree["v"][(at + 1) * (1 << (depth - level)) - (1 << depth)] = float(level + _mean_path(len(rows)))
+            continue
+        f = int(rng.choice(np.flatnonzero(hi > lo)))
+        cut = float(min(rng.uniform(lo[f], hi[f]), np.nextafter(hi[f], lo[f])))
+        tree["f"][at], tree["t"][at] = f, cut
+        left = x[rows, f] <= cut
+        todo += [(2 * at + 2, level + 1, rows[~left]), (2 * at + 1, level + 1, rows[left])]
+    return tree
+
+
+def path_lengths(trees: list[dict], depth: int, x: np.ndarray) -> np.ndarray:
+    """The mean leaf value of each row, walked level by level for all rows at once; missing values go left."""
+    total = np.zeros(len(x))
+    for tree in trees:
+        f, t, v = np.array(tree["f"]), np.array(tree["t"]), np.array(tree["v"])
+        at = np.zeros(len(x), np.int64)
+        for _ in range(depth):
+            value = x[np.arange(len(x)), np.maximum(f[at], 0)]
+            at = 2 * at + np.where((f[at] < 0) | np.isnan(value) | (value <= t[at]), 1, 2)
+        total += v[at - ((1 << depth) - 1)]
+    return total / max(len(trees), 1)
 
 
 def _mean_path(n: float) -> float:
     return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def _depths(tree: dict, x: np.ndarray, rows: np.ndarray, out: np.ndarray, depth: int = 0) -> None:
-    if "n" in tree:
-        out[rows] += depth + _mean_path(tree["n"])
-        return
-    left = x[rows, tree["f"]] < tree["c"]
-    _depths(tree["l"], x, rows[left], out, depth + 1)
-    _depths(tree["r"], x, rows[~left], out, depth + 1)
-
-
 def _largest_hash(n: int, sample: int) -> int:
     """The 64-bit hash up to which more than ``sample`` of ``n`` rows lie, all but surely."""
     return min(2**63 - 1, (2**64 * (2 * sample + 64)) // max(n, 1) - 2**63)
 
 
-def isolation_scores(df: DataFrame, columns: list[str] = FEATURES, trees: int = 50, sample: int = 256, seed: int = 7, key: list[str] | None = None) -> DataFrame:
-    """Adds score, from 0 to 1, higher where few random cuts isolate a row.
+def isolation_forest(df: DataFrame, columns: list[str] = FEATURES, trees: int = 50, sample: int = 256, seed: int = 7, key: list[str] | None = None) -> tuple[Trees, float]:
+    """(trees of mean path lengths, the usual path length), each tree grown from ``sample`` random rows.
 
-    Each tree is grown from the ``sample`` rows of least hash of ``key`` and tree, limited in every task first; trees
-    grow in parallel. ``key`` tells rows apart, all columns by default; rows equal in it are drawn together. All trees together are
-    trees * sample nodes at most, which is what is sent to the executors.
+    One hash of a row's ``key`` (all columns by default) decides whether it is in a pool of about 2 * trees * sample
+    rows, or all if there are fewer. Only the pool is dealt out to trees, which draw their rows from it by a hash of row
+    and tree, limited in every task first; trees grow in parallel. Rows equal in ``key`` are drawn together. All trees
+    together are trees * 2 * sample nodes at most, which is what reaches the driver.
     """
-    n = df.count()
-    each = df.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.xxhash64(*(key or df.columns)).alias("row_hash"), *columns)
-    each = each.withColumn("draw", F.xxhash64("row_hash", "tree", F.lit(seed))).where(F.col("draw") <= _largest_hash(n, sample))
-    least = Window.partitionBy("tree").orderBy("draw", *columns)
+    depth = int(np.ceil(np.log2(max(sample, 2))))
+    pool = df.select(F.xxhash64(*(key or df.columns)).alias("row_hash"), *columns).where(F.xxhash64("row_hash", F.lit(seed)) <= _largest_hash(df.count(), trees * sample))
+    each = pool.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "row_hash", *columns)
+    least = Window.partitionBy("tree").orderBy(F.xxhash64("row_hash", "tree", F.lit(seed)), *columns)
     picked = each.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= sample).select("tree", *columns)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(columns)[columns].to_numpy(float)
-        rng = np.random.default_rng(seed + int(pdf["tree"].iloc[0]))
-        grown = _grow(x, np.arange(len(x)), int(np.ceil(np.log2(max(len(x), 2)))), rng)
-        return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "body": [json.dumps(grown)], "n": [len(x)]})
+        number = int(pdf["tree"].iloc[0])
+        x = np.nan_to_num(pdf.sort_values(columns)[columns].to_numpy(float))
+        return pd.DataFrame({"tree": [number], "body": [json.dumps(_grow(x, depth, np.random.default_rng(seed + number)))], "n": [len(x)]})
 
-    found = picked.groupBy("tree").applyInPandas(fit, "tree int, body string, n long").orderBy("tree").collect()
-    forest = df.sparkSession.sparkContext.broadcast([(json.loads(r["body"]), r["n"]) for r in found])
+    found = picked.groupBy("tree").applyInPandas(fit, "tree int, body string, n long").orderBy("tree").collect()  # a row for each tree
+    usual = float(np.mean([_mean_path(r["n"]) for r in found])) if found else 1.0
+    return Trees(tuple(columns), depth, tuple(json.loads(r["body"]) for r in found), "shares"), max(usual, 1e-9)
+
+
+def isolation_scores(df: DataFrame, columns: list[str] = FEATURES, trees: int = 50, sample: int = 256, seed: int = 7, key: list[str] | None = None) -> DataFrame:
+    """Adds score, from 0 to 1, higher where few random cuts isolate a row; see ``isolation_forest``."""
+    forest, usual = isolation_forest(df, columns, trees, sample, seed, key)
+    shared = df.sparkSession.sparkContext.broadcast(forest)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf[columns].to_numpy(float)
-            total = np.zeros(len(x))
-            for tree, _ in forest.value:
-                _depths(tree, x, np.arange(len(x)), total)
-            usual = np.mean([_mean_path(m) for _, m in forest.value]) if forest.value else 1.0
-            yield pdf.assign(score=2.0 ** (-total / max(len(forest.value), 1) / max(usual, 1e-9)))
+            lengths = path_lengths(shared.value.trees, shared.value.depth, pdf[columns].to_numpy(float))
+            yield pdf.assign(score=2.0 ** (-lengths / usual))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", score double"
     return df.mapInPandas(score, schema)

@@ -9,15 +9,9 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 
 
-def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float], keys: list[str] = (), accuracy: int = ACCURACY) -> DataFrame:
-    """(keys, column, share, n, value): percentiles interpolated between neighbours; nulls don't count.
-
-    A first pass sketches values that surely lie below and above each percentile, its bracket. The second counts each
-    distinct value inside a bracket and, as one number, all values between two brackets, combined before the shuffle; a
-    value is emitted once, however many shares there are. So the values that are put in order are a small share of the
-    rows, and results are exact. Groups of few rows are their own bracket. Columns without values give no rows.
-    """
-    keys, shares, margin = list(keys), sorted({float(s) for s in shares}), 2 / accuracy
+def _sketched_bounds(df: DataFrame, columns: list[str], shares: list[float], keys: list[str], accuracy: int) -> DataFrame:
+    """(_keys, _column, _n, _low, _high): brackets of each group's percentiles by a pass over its values."""
+    margin = 2 / accuracy
     sides = [max(0.0, s - margin) for s in shares] + [min(1.0, s + margin) for s in shares]
     firsts = []
     for i, c in enumerate(columns):
@@ -26,7 +20,21 @@ def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float], ke
         least, most = (F.array_repeat(f(F.col(c).cast("double")), len(shares)) for f in (F.min, F.max))
         low, high = F.when(few, least).otherwise(F.slice(sketch, 1, len(shares))), F.when(few, most).otherwise(F.slice(sketch, len(shares) + 1, len(shares)))
         firsts.append(F.struct(F.lit(c).alias("_column"), F.count(c).alias("_n"), low.alias("_low"), high.alias("_high")).alias(f"_{i}"))
-    bounds = df.groupBy(*keys).agg(*firsts).select(*[F.col(k).alias(f"_{k}") for k in keys], F.inline(F.array(*[f"_{i}" for i in range(len(columns))]))).where("_n > 0")
+    return df.groupBy(*keys).agg(*firsts).select(*[F.col(k).alias(f"_{k}") for k in keys], F.inline(F.array(*[f"_{i}" for i in range(len(columns))]))).where("_n > 0")
+
+
+def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float], keys: list[str] = (), accuracy: int = ACCURACY, bounds: DataFrame | None = None) -> DataFrame:
+    """(keys, column, share, n, value): percentiles interpolated between neighbours; nulls don't count.
+
+    A first pass sketches values that surely lie below and above each percentile, its bracket. The second counts each
+    distinct value inside a bracket and, as one number, all values between two brackets, combined before the shuffle; a
+    value is emitted once, however many shares there are. So the values that are put in order are a small share of the
+    rows, and results are exact. Groups of few rows are their own bracket. Columns without values give no rows.
+    ``bounds`` may come from sketches that are kept (``sketches.brackets``), which spares the first pass.
+    """
+    keys, shares = list(keys), sorted({float(s) for s in shares})
+    if bounds is None:
+        bounds = _sketched_bounds(df, columns, shares, keys, accuracy)
     values = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))).where("v IS NOT NULL")
     on = F.col("column") == F.col("_column")
     for k in keys:
@@ -51,7 +59,7 @@ def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float], ke
     return out.where(found).select(*names, "share", "n", value.alias("value"))
 
 
-def percentile_columns(df: DataFrame, column: str, shares: list[float], keys: list[str]) -> DataFrame:
+def percentile_columns(df: DataFrame, column: str, shares: list[float], keys: list[str], bounds: DataFrame | None = None) -> DataFrame:
     """(keys, p50, p90, ...): the exact percentiles of one column as columns."""
-    long = exact_percentiles(df, [column], shares, keys)
+    long = exact_percentiles(df, [column], shares, keys, bounds=bounds)
     return long.groupBy(*keys).agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(f"p{int(100 * s)}") for s in shares])

@@ -269,7 +269,23 @@ def _saved_sql(text: str, of: str, columns: str, force: bool = False) -> str:
         FROM (SELECT *, {p1} AS p1, {p2} AS p2 FROM {of})"""
 
 
+def _forest_sql(doc: dict) -> str:
+    def node(tree: dict, at: int) -> str:
+        if at >= len(tree["f"]):
+            return repr(tree["v"][at - len(tree["f"])])
+        left = node(tree, 2 * at + 1)
+        return left if tree["f"][at] < 0 else f"CASE WHEN {doc['columns'][tree['f'][at]]} <= {tree['t'][at]!r} THEN {left} ELSE {node(tree, 2 * at + 2)} END"
+
+    return f"pow(2, -({' + '.join(f'({node(t, 0)})' for t in doc['trees'])}) / {len(doc['trees'])} / {doc['usual']!r})"
+
+
 ORACLES |= {
+    "latency_sketches": ORACLES["latency_summary"],
+    "thresholds_document": f"SELECT 'H5_a0.5_L94' AS tag, 'formula' AS model, 's1' AS stage, *, 'f1' AS policy FROM ({ORACLES['threshold_f1_reference']})",
+    "inferred_columns": f"""{W}{LABELLED} SELECT 'plain' AS name, CASE WHEN bool_and(y IN (0, 1, 2)) THEN 'y' END AS label, 'sec' AS time FROM labelled
+        UNION ALL SELECT 'doubled', CASE WHEN bool_and(2 * y IN (0, 1, 2)) THEN 'y' WHEN bool_and(y IN (0, 1, 2)) THEN 'label' END, 'sec' FROM labelled
+        UNION ALL SELECT 'partly', CASE WHEN bool_and(y = 0 OR r_t <= 0) THEN 'label' WHEN bool_and(y IN (0, 1, 2)) THEN 'target' END, 't' FROM labelled""",
+    "isolation_saved_scores": f"{W}{FEATS} SELECT symbol, {HOUR}, round({_forest_sql(json.loads(saved.FOREST))}, 6) AS score FROM feats",
     "stream_linear_scores": f"{W}{FEATS} {_saved_sql(saved.LINEAR, f'(SELECT * FROM feats WHERE {CLOSED})', f'symbol, {HOUR}')}",
     "stream_tree_scores": f"{W}{FEATS} {_saved_sql(saved.BOOSTED, f'(SELECT * FROM feats WHERE {CLOSED})', f'symbol, {HOUR}')}",
     "linear_scores": f"{W}{LABELLED} {_saved_sql(saved.LINEAR, 'labelled', f'symbol, {HOUR}, y::BIGINT AS y', force=True)}",

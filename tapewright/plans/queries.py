@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import artifact_tag, logit_adjusted, side
-from ..functions.models import TwoStage
-from ..operators import anomaly, curve, features, labels, metrics, score, split
+from ..functions.models import Trees, TwoStage
+from ..operators import anomaly, curve, features, infer, labels, metrics, quantile, score, sketches, split
 from ..operators.bars import bars
 from ..schema import FEATURES
 from ..sources import files
@@ -230,6 +231,28 @@ def threshold_f1_reference(spark, sf):
     return out(curve.choose_threshold(_curve(spark, sf)))
 
 
+@query
+def thresholds_document(spark, sf):
+    """Tuned thresholds written as one JSON document and read back."""
+    best = curve.choose_threshold(_curve(spark, sf)).select(F.lit("formula").alias("model"), F.lit("s1").alias("stage"), "thr", "precision", "recall", "f1", "fbeta", "ap")
+    path = work_dir(spark)
+    files.write_thresholds(best, path, "H5_a0.5_L94")
+    return out(files.read_thresholds(spark, path), "tag", "model", "stage", "thr", "precision", "recall", "f1", "fbeta", "ap", "policy")
+
+
+@query
+def inferred_columns(spark, sf):
+    """Which columns are taken for label and time, in tables that are made of the labelled rows."""
+    rows = kept(labelled(spark, sf).select("symbol", "sec", "y", *FEATURES))
+    tables = {
+        "plain": rows,
+        "doubled": rows.select("sec", (2 * F.col("y")).alias("y"), F.col("y").alias("label"), F.col("sec").alias("ts")),
+        "partly": rows.select(F.when(F.col("y") == 0, 0).when(F.col("r_t") > 0, 3).alias("label"), F.when(F.col("y") > 0, F.col("y")).alias("target"), F.col("sec").alias("t")),
+    }
+    found = [(name, infer.infer_label_col(df), infer.infer_time_col(df)) for name, df in tables.items()]
+    return spark.createDataFrame(found, "name string, label string, time string")
+
+
 @query
 def threshold_f1_aligned(spark, sf):
     return out(curve.choose_threshold(_curve(spark, sf), pairing="aligned"))
@@ -290,9 +313,10 @@ def tau_sweep(spark, sf):
 
 def _latencies(spark, sf):
     """Latency records made from the events: two engines, parts of the time absent now and then."""
-    e = table(spark, sf, "events").select("event_id", "value")
+    e = table(spark, sf, "events").select("event_id", "value", "ts")
     ms = F.abs("value") % 10
     return e.select(
+        "ts",
         F.when(F.col("event_id") % 2 == 0, "A").otherwise("B1").alias("engine"),
         (F.col("event_id") % 3).alias("k"),
         (F.col("event_id") % 5).alias("trial"),
@@ -314,6 +338,16 @@ def latency_summary(spark, sf):
     return out(metrics.latency_summary(metrics.normalised_latency(_latencies(spark, sf)), ["engine", "k"], deadline=8.0))
 
 
+@query
+def latency_sketches(spark, sf):
+    """The same summary from sketches that are kept for each day: counts and brackets from them, exact percentiles by one pass."""
+    keys, shares, rows = ["engine", "k"], [0.5, 0.9, 0.95, 0.99], metrics.normalised_latency(_latencies(spark, sf))
+    days = kept(sketches.period_sketches(rows, keys, "total_ms", "ts", deadline=8.0))
+    exact = quantile.percentile_columns(rows, "total_ms", shares, keys, sketches.brackets(days, keys, "total_ms", shares))
+    sums = sketches.merged(days, keys).select(*keys, "n", "mean", "miss_rate")
+    return out(sums.join(exact, keys), *keys, "n", "mean", "p50", "p90", "p95", "p99", "miss_rate")
+
+
 @query
 def tail_ratio(spark, sf):
     summary = metrics.latency_summary(metrics.normalised_latency(_latencies(spark, sf)), ["engine", "k"])
@@ -386,6 +420,14 @@ def isolation_forest_flags(spark, sf):
     return anomaly.top_share_flags(rows, ["score"], 0.2).select("symbol", "sec", "y", "score", "score_flag")
 
 
+@query
+def isolation_saved_scores(spark, sf):
+    """Scores by a saved isolation forest, as an expression."""
+    doc = json.loads(saved.FOREST)
+    forest = Trees(tuple(doc["columns"]), doc["depth"], tuple(doc["trees"]), "shares")
+    return out(feats(spark, sf).select("symbol", "sec", F.pow(F.lit(2.0), -forest.probability() / doc["usual"]).alias("score")))
+
+
 @query
 def holdout_metrics(spark, sf):
     _, _, metrics_rows = training.hold_out(labelled(spark, sf), HORIZON)

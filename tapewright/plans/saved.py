@@ -1,4 +1,4 @@
-"""Two small models that were fitted once on the labelled hourly bars of sf0.01, to six digits, for queries that apply a saved model.
+"""Small models that were fitted once on the hourly bars of sf0.01, to six digits, for queries that apply a saved model.
 
 ``TwoStage.from_json`` reads them; ``oracles`` writes their SQL from the same text.
 """
@@ -18,3 +18,10 @@ BOOSTED = """{
         {"f": [5, 1, 3, 2, -1, -1, 1], "t": [-0.629129, -0.21379, -0.908528, 0.453535, 0.0, 0.0, -1.00694], "m": [false, false, false, false, true, true, false], "v": [0.00917875, -0.0450166, 0.0647586, 0.0, 0.014001, 0.0, -0.00535257, -0.057155]},
         {"f": [0, 0, 0, -1, -1, -1, -1], "t": [-0.170848, -0.546209, 0.029328, 0.0, 0.0, 0.0, 0.0], "m": [false, false, false, true, true, true, true], "v": [0.1, 0.0, 0.00892886, 0.0, -0.00150186, 0.0, -0.1, 0.0]}]},
     "scaler": {"r_t": [0.000456799, 1.18988], "sigma_hat": [1.13677, 0.281309], "OFI_t": [0.123742, 101.153], "Imbalance_t": [-0.00520272, 0.737977], "VolSpike_t": [0.995029, 0.608732], "msg_count": [2.96012, 1.52611]}}"""
+
+FOREST = """{
+    "columns": ["r_t", "sigma_hat", "OFI_t", "Imbalance_t", "VolSpike_t", "msg_count"], "depth": 4, "usual": 4.69553, "trees": [
+        {"f": [5, 3, 2, 5, 0, 3, -1, 1, 5, 0, -1, -1, -1, -1, -1], "t": [4.58886, 0.551371, -82.742, 1.60033, 1.03898, -0.54041, 0.0, 1.07156, 2.82123, -0.521157, 0.0, 0.0, 0.0, 0.0, 0.0], "m": [true, true, true, true, true, true, true, true, true, true, true, true, true, true, true], "v": [4.0, 4.0, 5.20739, 4.0, 4.0, 6.32702, 3.0, 0.0, 3.0, 0.0, 3.0, 0.0, 2.0, 0.0, 0.0, 0.0]},
+        {"f": [4, 1, -1, 3, 2, -1, -1, 4, 3, -1, 3, -1, -1, -1, -1], "t": [1.93004, 0.998049, 0.0, 0.739793, -18.6199, 0.0, 0.0, 0.695423, 1.0, 0.0, -0.517296, 0.0, 0.0, 0.0, 0.0], "m": [true, true, true, true, true, true, true, true, true, true, true, true, true, true, true], "v": [4.0, 5.0, 4.0, 4.0, 3.0, 0.0, 4.0, 7.29625, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]},
+        {"f": [2, 5, 5, 4, -1, 5, -1, 4, -1, -1, -1, -1, 4, -1, -1], "t": [-23.9857, 4.01574, 6.50943, 0.767593, 0.0, 1.13294, 0.0, 0.689592, 0.0, 0.0, 0.0, 0.0, 1.66799, 0.0, 0.0], "m": [true, true, true, true, true, true, true, true, true, true, true, true, true, true, true], "v": [5.20739, 4.0, 3.0, 0.0, 2.0, 0.0, 0.0, 0.0, 3.0, 0.0, 6.70664, 5.0, 2.0, 0.0, 0.0, 0.0]},
+        {"f": [4, 5, 0, -1, 2, 2, 4, -1, -1, -1, -1, -1, -1, 3, 5], "t": [0.650798, 1.82844, -0.970342, 0.0, 27.2305, 7.52524, 1.38312, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.650666, 5.01465], "m": [true, true, true, true, true, true, true, true, true, true, true, true, true, true, true], "v": [2.0, 0.0, 0.0, 0.0, 3.0, 0.0, 3.0, 0.0, 3.0, 0.0, 3.0, 0.0, 5.85166, 5.85166, 4.0, 5.0]}]}"""

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,14 @@ def fit_stage(train: DataFrame, kind: str, stage: int, rounds: int = ROUNDS, val
     return Pipeline(stages=[assembler, estimator(kind, stage, float(w["n"]))]).fit(rows.withColumn("weight", balanced))
 
 
+def probability(model: PipelineModel | Trees, df: DataFrame, name: str) -> DataFrame:
+    """Adds the fitted stage's probability of class 1."""
+    if isinstance(model, Trees):
+        return df.withColumn(name, model.probability())
+    out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
+    return out.drop("features", "rawPrediction", "probability", "prediction")
+
+
 def as_expression(model: PipelineModel | Trees, kind: str) -> Linear | Trees:
     """A fitted stage as column expressions."""
     return {"lr": lambda m: linear_of(m, FEATURES), "rf": lambda m: forest_of(m, FEATURES), "gbt": lambda m: m}[kind](model)

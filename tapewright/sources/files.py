@@ -13,41 +13,80 @@ from ..schema import FEATURES, FLUSH_ROWS, GATE, SECOND_GATE, THRESHOLDS
 
 
 def write_flush(df: DataFrame, path: str, rows: int = FLUSH_ROWS) -> None:
-    """Writes features with idx by symbol, in files of at most ``rows`` rows in bar order, each with its flush_idx."""
+    """Writes features with idx by symbol, in files of ``rows`` rows in bar order, and a manifest of the files.
+
+    A task holds whole flushes of a symbol in their order, so files are cut just where flushes end. The manifest, a
+    table beside them, has a row for each file: symbol, flush_idx, file (below ``path``), rows, first and last sec.
+    """
     numbered = flush_index(df, rows)
     numbered = numbered.repartitionByRange("symbol", "flush_idx").sortWithinPartitions("symbol", "flush_idx", "idx")
-    numbered.write.mode("overwrite").partitionBy("symbol", "flush_idx").option("maxRecordsPerFile", rows).parquet(path)
+    numbered.write.mode("overwrite").partitionBy("symbol").option("maxRecordsPerFile", rows).parquet(f"{path}/flush")
+    spark = df.sparkSession
+    written = spark.read.schema(numbered.schema).parquet(f"{path}/flush")
+    place = F.expr("concat('flush/', substring_index(_metadata.file_path, '/flush/', -1))")
+    each = written.select("symbol", "flush_idx", "sec", place.alias("file")).groupBy("symbol", "file")
+    manifest = each.agg(F.min("flush_idx").alias("flush_idx"), F.count(F.lit(1)).alias("rows"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"), (F.min("flush_idx") == F.max("flush_idx")).alias("whole"))
+    manifest.write.mode("overwrite").partitionBy("symbol").parquet(f"{path}/manifest")
+
+
+def flush_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``write_flush`` keeps of its files."""
+    return spark.read.schema("file string, flush_idx long, rows long, first_sec timestamp, last_sec timestamp, whole boolean, symbol string").parquet(f"{path}/manifest")
+
+
+def _newest(listed: DataFrame, n: int) -> list[str]:
+    """Files (file, _idx, rows), the newest first, that hold ``n`` rows; fewer if all don't."""
+    top = listed.where("rows > 0").orderBy(F.desc("_idx"), F.desc("file")).limit(n).collect()  # n rows lie in n files at most
+    out, held = [], 0
+    for r in top:
+        if held >= n:
+            break
+        out.append(r["file"])
+        held += r["rows"]
+    return out if held >= n else []
 
 
 def read_tail(spark: SparkSession, path: str, symbol: str, n: int, cols: list[str] | None = None, time_sort: bool = False, time_col: str = "sec") -> DataFrame:
-    """The last ``n`` rows of a symbol's flush files, oldest first; only as many of the newest files are read as needed.
+    """The last ``n`` rows of a symbol's flush files, oldest first; only the newest files that hold them are opened.
 
-    Errors: n below 1, no file, a missing column, fewer than n rows. Files are ordered by the number in their path;
-    paths without one come last. ``time_sort`` orders the rows that were read by ``time_col``.
+    Which these are the manifest tells; a folder without one, of files from elsewhere, is listed, and rows of all its
+    files are counted (from their footers). Errors: n below 1, no file, a missing column, fewer than n rows. Files are
+    ordered by the number in their path or manifest; paths without one come last. ``time_sort`` orders the rows that
+    were read by ``time_col``.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    root = f"{path.rstrip('/')}/symbol={symbol}"
-    try:
-        df = spark.read.option("recursiveFileLookup", "true").parquet(root)
-    except Exception as e:
-        raise FileNotFoundError(f"no flush files in {root}") from e
+    base, number = path.rstrip("/"), F.expr(r"try_cast(nullif(regexp_extract(file, 'flush_(?:idx=)?([0-9]+)', 1), '') AS BIGINT)")
+    last = F.lit((1 << 63) - 1)
+    if _exists(spark, f"{base}/manifest"):
+        listed = flush_manifest(spark, base).where(F.col("symbol") == symbol).withColumn("_idx", F.col("flush_idx"))
+        listed, found = listed.withColumn("file", F.concat(F.lit(f"{base}/"), "file")), not listed.isEmpty()
+    else:
+        root = f"{base}/symbol={symbol}"
+        found = _exists(spark, root)
+        if found:
+            every = spark.read.option("recursiveFileLookup", "true").parquet(root)
+            listed = every.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows")).withColumn("_idx", F.coalesce(number, last))
+    if not found:
+        raise FileNotFoundError(f"no flush files of {symbol} in {path}")
+    wanted = _newest(listed, n)
+    if not wanted:
+        raise ValueError(f"fewer than {n} rows of {symbol} in {path}")
+    df = spark.read.parquet(*wanted)
     cols = cols or [c for c in FEATURES if c in df.columns]
     missing = [c for c in [*cols, *([time_col] if time_sort else [])] if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}")
-    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    number = F.expr(r"try_cast(nullif(regexp_extract(_file, 'flush_(?:idx=)?([0-9]+)', 1), '') AS BIGINT)")
-    rows = rows.withColumn("_idx", F.coalesce(number, F.lit((1 << 63) - 1)))
-    files = rows.groupBy("_file", "_idx").count()
-    newest = Window.orderBy(F.desc("_idx"), F.desc("_file")).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = files.withColumn("_ahead", F.coalesce(F.sum("count").over(newest), F.lit(0)))  # one row per file
-    wanted = [r["_file"] for r in ahead.where(F.col("_ahead") < n).collect()]
-    if ahead.agg(F.sum("count")).first()[0] < n:
-        raise ValueError(f"fewer than {n} rows in {root}")
-    last = rows.where(F.col("_file").isin(wanted)).orderBy(F.desc("_idx"), F.desc("_file"), F.desc("_row")).limit(n)
-    order = [time_col, "_idx", "_row"] if time_sort else ["_idx", "_file", "_row"]
-    return last.orderBy(*order).select(*cols)
+    rows = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("_row"))
+    nth = F.col("flush_idx") if "flush_idx" in df.columns else F.coalesce(number, last)
+    tail = rows.withColumn("_idx", nth).orderBy(F.desc("_idx"), F.desc("file"), F.desc("_row")).limit(n)
+    order = [time_col, "_idx", "_row"] if time_sort else ["_idx", "file", "_row"]
+    return tail.orderBy(*order).select(*cols)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def write_labeled(df: DataFrame, path: str) -> None:
@@ -63,11 +102,13 @@ def read_labeled(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(parts: dict[str, DataFrame], path: str) -> None:
-    """CSV per name and, as FULL, all together."""
+    """CSV per name and, as FULL, all together, from the written parts; each part is computed once."""
     full = None
     for name, df in parts.items():
         df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
-        full = df if full is None else full.unionByName(df, allowMissingColumns=True)
+        kinds = ", ".join(f"`{c}` string" for c in df.columns)
+        again = df.sparkSession.read.option("header", True).schema(kinds).csv(f"{path}/{name}")
+        full = again if full is None else full.unionByName(again, allowMissingColumns=True)
     if full is not None:
         full.write.mode("overwrite").option("header", True).csv(f"{path}/FULL")
 
@@ -109,11 +150,13 @@ def gates_by_model(thresholds: DataFrame, tau: float | None = None, tau2: float
 
 
 def tuned_gates(spark: SparkSession, path: str, model: str) -> tuple[float, float]:
-    """(tau, tau2) of a model; the defaults where the document is absent, broken or lacks them."""
-    try:
+    """(tau, tau2) of a model; the defaults where the document is absent, is no such document or lacks them.
+
+    Other errors, such as a missing permission, aren't taken for an absent file.
+    """
+    found = {}
+    if _exists(spark, path):
         found = {r["stage"]: r["thr"] for r in read_thresholds(spark, path).where(F.col("model") == model).collect()}
-    except Exception:
-        found = {}
     return found.get("s1") or GATE, found.get("s2") or SECOND_GATE
 
 

@@ -129,6 +129,21 @@ def test_isolation_forest_draws_copies_of_a_hot_vector_one_by_one(spark):
     assert anomaly._largest_hash(300, 256) == 2**63 - 1 and anomaly._largest_hash(10**12, 256) > -(2**63) + 10**9
 
 
+def test_forest_draws_from_a_bounded_pool_and_walks_like_its_expression(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.standard_normal((3000, 6)))], "id long, " + ", ".join(f"{c} double" for c in FEATURES))
+    pools = []
+    bound = anomaly._largest_hash
+    monkeypatch.setattr(anomaly, "_largest_hash", lambda n, k: pools.append((n, k)) or bound(n, k))
+    forest, usual = anomaly.isolation_forest(df, trees=5, sample=32, key=["id"])
+    assert pools == [(3000, 160)] and bound(3000, 160) < 2**63 - 1  # one draw a row, less than all rows are dealt out
+    assert forest.depth == 5 and len(forest.trees) == 5 and abs(usual - anomaly._mean_path(32)) < 1e-12
+    odd = df.withColumn("r_t", F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 11 == 0, float("nan")).otherwise(F.col("r_t")))
+    x = odd.orderBy("id").toPandas()[FEATURES].to_numpy(float)
+    walked = anomaly.path_lengths(forest.trees, forest.depth, x)
+    assert np.allclose(walked, [r["p"] for r in odd.orderBy("id").select(forest.probability().alias("p")).collect()])
+
+
 def test_columns_are_inferred(spark):
     df = spark.createDataFrame([(0.5, 1, 2.0, "t")], "y double, label int, r_t double, ts string")
     assert infer_label_col(df) == "label" and infer_time_col(df) == "ts" and infer_feature_cols(df, ["r_t"]) == ["r_t"]

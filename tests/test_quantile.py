@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tapewright.operators import sketches
 from tapewright.operators.quantile import exact_percentiles, percentile_columns
 
 
@@ -25,3 +26,24 @@ def test_percentiles_as_columns_and_of_nothing(spark):
     df = spark.range(101).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
     assert percentile_columns(df, "v", [0.5, 0.99], ["k"]).collect() == [(1, 50.0, 99.0)]
     assert exact_percentiles(df.limit(0), ["v"], [0.5]).collect() == []
+
+
+def test_sketches_of_periods_merge_and_bracket_the_exact_pass(spark):
+    """Rows of later days are sketched on their own and appended; percentiles over all are within the sketch's error, exact ones equal."""
+    rng = np.random.default_rng(2)
+    data = [(k, day * 86_400 + i, float(v)) for k, n in (("a", 4000), ("b", 30)) for day in range(3) for i, v in enumerate(rng.exponential(size=n))]
+    df = spark.createDataFrame([*data, ("a", 5, None), ("a", 6, float("nan")), ("c", 7, None)], "k string, s long, v double").withColumn("at", F.timestamp_seconds("s"))
+    parts = [sketches.period_sketches(df.where(F.expr("s div 86400") == day), ["k"], "v", "at", k=200, deadline=1.0) for day in range(3)]
+    table = parts[0].unionByName(parts[1]).unionByName(parts[2]).cache()
+    assert table.count() == 6
+    shares = [0.0, 0.5, 0.99, 1.0]
+    real = df.where("v IS NOT NULL AND NOT isnan(v)")
+    got = {(r["k"], r["share"]): r["value"] for r in exact_percentiles(real, ["v"], shares, ["k"], bounds=sketches.brackets(table, ["k"], "v", shares, k=200)).collect()}
+    near = {r["k"]: r for r in sketches.sketched_summary(table, ["k"], [0.5, 0.99], k=200).collect()}
+    for k in ("a", "b"):
+        values = np.sort([v for g, _, v in data if g == k])
+        assert all(abs(got[k, s] - np.quantile(values, s)) < 1e-12 for s in shares)
+        r = near[k]
+        assert r["n"] == len(values) and abs(r["mean"] - values.mean()) < 1e-9 and abs(r["miss_rate"] - (values > 1).mean()) < 1e-12
+        assert all(abs(np.searchsorted(values, r[f"p{int(100 * s)}"]) / len(values) - s) <= sketches.rank_error(200) for s in (0.5, 0.99))
+    assert len(got) == 8

@@ -33,6 +33,42 @@ def test_flush_files_and_their_tail(spark, folder):
             files.read_tail(spark, f"{folder}/flush", symbol, n, cols).collect()
 
 
+def test_only_the_files_that_hold_the_tail_are_opened(spark, folder):
+    import numpy as np
+
+    files.write_flush(features(frame(spark, series(np.random.default_rng(7), rows=1050))), folder, 100)
+    manifest = files.flush_manifest(spark, folder)
+    rows = manifest.where("symbol = 'a'").orderBy("flush_idx").collect()
+    assert [r["rows"] for r in rows] == [100] * 10 + [50] and [r["flush_idx"] for r in rows] == list(range(1, 12)) and all(r["whole"] for r in rows)
+    assert all(a["last_sec"] < b["first_sec"] for a, b in zip(rows, rows[1:]))
+    for n, opened in ((1, 1), (50, 1), (51, 2), (150, 2), (151, 3), (1050, 11)):
+        tail = files.read_tail(spark, folder, "a", n, ["sec"])
+        assert len(tail.inputFiles()) == opened and tail.count() == n
+
+
+def test_flush_files_from_elsewhere_are_ordered_by_their_number(spark, folder):
+    for k in (10, 9, 1):
+        spark.createDataFrame([(k, float(i)) for i in range(3)], "k int, r_t double").toPandas().to_parquet(f"{folder}/symbol=a_flush_{k}.parquet")
+    from pathlib import Path
+
+    (Path(folder) / "symbol=a").mkdir()
+    for f in Path(folder).glob("*_flush_*"):
+        f.rename(Path(folder) / "symbol=a" / f.name.removeprefix("symbol=a_"))
+    got = files.read_tail(spark, folder, "a", 4, ["k", "r_t"])
+    assert [tuple(r) for r in got.collect()] == [(9, 2.0), (10, 0.0), (10, 1.0), (10, 2.0)] and len(got.inputFiles()) == 2
+
+
+def test_work_folders_are_deleted(spark):
+    from tapewright.sources import work
+
+    first = work.work_count()
+    df, path = work.kept_at(spark.range(3))
+    work.kept(spark.range(4))
+    assert df.count() == 3 and work.work_count() == first + 2
+    work.clear_work(spark, first)
+    assert work.work_count() == first and not files._exists(spark, path)
+
+
 def test_chunks_of_trades(spark, folder):
     df = spark.createDataFrame([("2024-01-01 00:00:01", 1.0, 2.0, True), ("not a time", 1.0, 2.0, True)], "ts string, price double, qty double, is_buyer_maker boolean")
     df.toPandas().to_parquet(f"{folder}/chunk_1.parquet")
