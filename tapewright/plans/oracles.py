@@ -291,4 +291,20 @@ ORACLES |= {
     "linear_scores": f"{W}{LABELLED} {_saved_sql(saved.LINEAR, 'labelled', f'symbol, {HOUR}, y::BIGINT AS y', force=True)}",
     "stream_progress": f"WITH {BARS} SELECT (SELECT count(*) FROM events) AS rows, count(*) AS bars, sum(msg_count)::BIGINT AS trades, 0::BIGINT AS odd FROM bars WHERE {CLOSED}",
 }
+
+def _replayed(text: str) -> str:
+    """Common table expressions up to ``ticks``: the replayed ticks with a saved model's probabilities."""
+    doc = json.loads(text)
+    p1, p2 = (_model_sql(doc[stage], doc["scaler"]) for stage in ("first", "second"))
+    return f"""{W}{FEATS}, bases AS (SELECT symbol AS base, row_number() OVER (ORDER BY symbol) - 1 AS place, count(*) OVER () AS turns FROM (SELECT DISTINCT symbol FROM feats)),
+        ticks AS (SELECT *, {p1} AS p1, {p2} AS p2 FROM (SELECT unnest(range(8 * (SELECT max(key_rows) FROM feats))) AS t) JOIN bases ON place = (t % 8) % turns
+            JOIN feats ON symbol = base AND idx = 50 * (t % 8) + 20 + t // 8)"""
+
+
+ORACLES |= {
+    "replay_scored": f"""{_replayed(saved.BOOSTED)} SELECT count(*) AS ticks, round(avg((p1 >= 0.5)::INT), 6) AS hit_rate, round(avg((p1 >= 0.5)::INT), 6) AS second_rate, 0::BIGINT AS odd,
+        count(*) FILTER (p1 >= 0.5 AND p2 < 0.5) AS down, count(*) FILTER (p1 >= 0.5 AND p2 >= 0.5) AS up FROM ticks""",
+    "gate_ablation": f"""{_replayed(saved.LINEAR)} SELECT mode, count(*) FILTER (mode = 'forced' OR p1 >= 0.5) AS second, count(*) FILTER (p1 >= 0.5 AND p2 < 0.5) AS down,
+        count(*) FILTER (p1 >= 0.5 AND p2 >= 0.5) AS up, count(*) AS ticks, round(avg((p1 >= 0.5)::INT), 6) AS hit_rate FROM ticks, (VALUES ('gated'), ('forced')) AS m(mode) GROUP BY 1""",
+}
 ORACLES = {name: _settled(sql) for name, sql in ORACLES.items()}

@@ -17,6 +17,7 @@ from ..sources import files
 from ..sources.trades import parse_messages, read_trades, replay, trades_of_events, trades_of_lineitem
 from ..sources.work import kept, work_dir
 from ..streaming import live, progress, ring
+from ..streaming import replay as replaying
 from . import saved, training
 
 #: Hourly bars of the events table; horizon and alpha that give enough shocks on them.
@@ -383,6 +384,27 @@ def replay_k(spark, sf):
     return out(replay(feats(spark, sf), 8, stride=50, warmup=20), "t", "sym", "base", "idx", "r_t")
 
 
+def _ticks(spark, sf, copies=8):
+    return kept(replay(feats(spark, sf), copies, stride=50, warmup=20).select("t", "sym", "base", *FEATURES))
+
+
+@query
+def replay_scored(spark, sf):
+    """Replayed ticks of the whole table through saved boosted trees behind the gate, as a measured stream."""
+    scores, batches = replaying.replay_scores(_ticks(spark, sf), TwoStage.from_json(saved.BOOSTED), TAU, TAU2, _stream_dir(spark), 8)
+    summary = replaying.replay_summary(batches).select("ticks", "hit_rate", "second_rate", F.when(F.col("ticks_per_s") > 0, 0).otherwise(1).alias("odd"))
+    counts = scores.agg(F.count_if(F.col("yhat") == 1).alias("down"), F.count_if(F.col("yhat") == 2).alias("up"))
+    return out(summary.crossJoin(F.broadcast(counts)))  # one row
+
+
+@query
+def gate_ablation(spark, sf):
+    """The same replay with the gate and with the second stage for all ticks: equal predictions, other work."""
+    scores, sums = replaying.gate_ablation(_ticks(spark, sf), TwoStage.from_json(saved.LINEAR), TAU, TAU2, _stream_dir(spark), 4)
+    counts = scores.groupBy("mode").agg(F.count("p2").alias("second"), F.count_if(F.col("yhat") == 1).alias("down"), F.count_if(F.col("yhat") == 2).alias("up"))
+    return out(counts.join(sums.select("mode", "ticks", "hit_rate"), "mode"))
+
+
 @query
 def artifact_tag_rows(spark, sf):
     e = table(spark, sf, "events").where("event_id IS NOT NULL AND user_id IS NOT NULL")

@@ -168,3 +168,20 @@ def test_a_bar_writes_one_slot_of_each_ring(spark):
             r.close(1)
             assert (r.volume_slots.written, r.vector_slots.written) == (before[0] + 1, before[1] + 1)
         assert len(r.volume_slots) == 60 and len(r.vector_slots) == rows
+
+
+def test_the_gate_saves_work_and_changes_no_prediction(spark, folder):
+    """Both runs score every tick once; forced, the second stage sees all of them. Run times are measured."""
+    from tapewright.functions.models import TwoStage
+    from tapewright.plans import saved
+    from tapewright.schema import FEATURES
+    from tapewright.streaming import replay
+
+    rows = [(i, *(((i * k) % 17 - 8) / 3 for k in range(1, 6)), i % 5) for i in range(600)]
+    ticks = spark.createDataFrame(rows, "t int, " + ", ".join(f"{c} {'long' if c == 'msg_count' else 'double'}" for c in FEATURES))
+    scores, sums = replay.gate_ablation(ticks, TwoStage.from_json(saved.LINEAR), 0.5, 0.5, folder, 5)
+    by = {m: {r["t"]: r for r in scores.where(F.col("mode") == m).collect()} for m in ("gated", "forced")}
+    assert len(by["gated"]) == len(by["forced"]) == 600 and all(by["gated"][t]["yhat"] == by["forced"][t]["yhat"] for t in by["gated"])
+    got = {r["mode"]: r for r in sums.collect()}
+    assert got["forced"]["second_rate"] == 1.0 and got["gated"]["second_rate"] == got["gated"]["hit_rate"] == got["forced"]["hit_rate"] < 1.0
+    assert all(r["ticks"] == 600 and r["n"] == 5 and r["ticks_per_s"] > 0 and r["p50"] <= r["p99"] for r in got.values())
