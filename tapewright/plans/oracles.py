@@ -281,6 +281,7 @@ def _forest_sql(doc: dict) -> str:
 
 ORACLES |= {
     "latency_sketches": ORACLES["latency_summary"],
+    "stream_restart": ORACLES["stream_features"],
     "thresholds_document": f"SELECT 'H5_a0.5_L94' AS tag, 'formula' AS model, 's1' AS stage, *, 'f1' AS policy FROM ({ORACLES['threshold_f1_reference']})",
     "inferred_columns": f"""{W}{LABELLED} SELECT 'plain' AS name, CASE WHEN bool_and(y IN (0, 1, 2)) THEN 'y' END AS label, 'sec' AS time FROM labelled
         UNION ALL SELECT 'doubled', CASE WHEN bool_and(2 * y IN (0, 1, 2)) THEN 'y' WHEN bool_and(y IN (0, 1, 2)) THEN 'label' END, 'sec' FROM labelled

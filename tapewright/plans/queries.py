@@ -567,6 +567,19 @@ def stream_features(spark, sf):
     return out(rows, "symbol", "sec", "total_vol", "vwap", "buy_vol", "sell_vol", *FEATURES, "window_rows")
 
 
+@query
+def stream_restart(spark, sf):
+    """The stream of features, stopped after the first half of the time and started again when the rest is there."""
+    live.use_rocksdb(spark)
+    path, events = _stream_dir(spark), table(spark, sf, "events")
+    half = events.agg(F.avg(F.unix_seconds(F.col("ts").cast("timestamp"))).cast("long")).first()[0] or 0
+    for side in ("<", ">="):
+        events.where(F.expr(f"unix_seconds(CAST(ts AS TIMESTAMP)) {side} {half}")).write.mode("append").parquet(f"{path}/in")
+        trades_now = trades_of_events(spark.readStream.schema(events.schema).parquet(f"{path}/in"))
+        rows = live.run_to_table(ring.live_features(trades_now, 3600, "1 hour", idle=40 * 86_400), f"{path}/run")
+    return out(rows, "symbol", "sec", "total_vol", "vwap", "buy_vol", "sell_vol", *FEATURES, "window_rows")
+
+
 @query
 def stream_scores(spark, sf):
     scores = live.stream_scores(_live_features(spark, sf), with_formulas, TAU, TAU2)
@@ -589,8 +602,10 @@ def stream_tree_scores(spark, sf):
 
 @query
 def linear_scores(spark, sf):
-    """The same saved regression over the whole table of labelled rows, the second stage for all of them."""
-    return out(TwoStage.from_json(saved.LINEAR).gated(labelled(spark, sf), TAU, TAU2, force=True), "symbol", "sec", "y", "p1", "p2", "yhat")
+    """The same regression, stored and loaded, over the whole table of labelled rows, the second stage for all of them."""
+    path = f"{work_dir(spark)}/H5_a0.5_L94"
+    TwoStage.from_json(saved.LINEAR).save(spark, path)
+    return out(TwoStage.load(spark, path).gated(labelled(spark, sf), TAU, TAU2, force=True), "symbol", "sec", "y", "p1", "p2", "yhat")
 
 
 @query

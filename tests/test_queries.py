@@ -10,7 +10,7 @@ from tapewright.plans.oracles import ORACLES
 from tapewright.plans.queries import Q
 
 SF = "/root/testdata/sf0.001"
-SOME = ["trade_side_split", "bars", "feature_rows", "feature_rows_per_chunk", "shock_labels", "label_alpha_sweep", "split_gap_3way", "scaled_features", "threshold_f1_reference", "e2e_report", "proxy_overlap", "tail_ratio", "replay_k", "artifact_tag", "robust_z_flags", "latency_summary", "gated_second_model", "threshold_join", "feature_vector", "message_parse", "chunk_scan", "flush_tail", "results_union", "labelled_files", "stream_hot_rows", "linear_scores", "stream_tree_scores", "stream_progress", "latency_sketches", "thresholds_document", "inferred_columns", "isolation_saved_scores", "replay_scored", "gate_ablation"]
+SOME = ["trade_side_split", "bars", "feature_rows", "feature_rows_per_chunk", "shock_labels", "label_alpha_sweep", "split_gap_3way", "scaled_features", "threshold_f1_reference", "e2e_report", "proxy_overlap", "tail_ratio", "replay_k", "artifact_tag", "robust_z_flags", "latency_summary", "gated_second_model", "threshold_join", "feature_vector", "message_parse", "chunk_scan", "flush_tail", "results_union", "labelled_files", "stream_hot_rows", "linear_scores", "stream_tree_scores", "stream_restart", "stream_progress", "latency_sketches", "thresholds_document", "inferred_columns", "isolation_saved_scores", "replay_scored", "gate_ablation"]
 
 
 @pytest.fixture(scope="module")
