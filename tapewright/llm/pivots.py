@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from .common import work_dir, written
 
 #: Vectors that pivots are chosen from, pivots at most, and steps of their improvement (the index fits on no more).
-SAMPLE, PIVOTS, STEPS, SEED = 2048, 256, 4, 11
+SAMPLE, PIVOTS, STEPS, SEED = 4096, 512, 4, 11
 #: Rings of equal width that a pivot's distances are counted in, and rows that an annulus has at least before it ends.
 RINGS, ANNULUS = 4096, 1024
 #: Annuli in all, at most about; they grow with the rows beyond that. Their bounds are broadcast.
@@ -158,7 +158,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
     kept = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("vec_id", "v")
     sample = rows.orderBy("h1", "h2", "vec_id").limit(SAMPLE).select("v").collect()
-    pivots = Pivots(np.array([r["v"] for r in sample], float).reshape(-1, dim), common["square"], max(1, min(PIVOTS, int(common["n"] ** 0.5 / 4))))
+    pivots = Pivots(np.array([r["v"] for r in sample], float).reshape(-1, dim), common["square"], max(1, min(PIVOTS, int(common["n"] ** 0.5))))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
