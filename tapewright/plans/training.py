@@ -24,7 +24,7 @@ from ..sources.work import kept
 
 KINDS = ("lr", "rf", "gbt")
 #: Rounds of boosting and its shrinkage; a round is up to three jobs, so fewer and larger steps than a single process takes.
-ROUNDS, STEP = 60, 0.1
+ROUNDS, STEP = 50, 0.1
 #: Fixed values of the two stages' boosting: regularisation, least hessian of a child, early stop of stage 2.
 BOOSTING = {
     1: Boosting(step=STEP, depth=3, child=8.0, gamma=0.5, rows=0.8, columns=0.8, l1=0.5, l2=2.0, most=1.0, seed=100),

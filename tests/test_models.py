@@ -35,7 +35,7 @@ def test_two_stages_beat_chance_and_tune(spark, kind):
     train, val = rows(spark), rows(spark, seed=5)
     scored = training.two_stage(train, val, kind, 8).select("y", "p1", "p2").cache()
     means = {r["y"]: r for r in scored.groupBy("y").agg(F.avg("p1").alias("p1"), F.avg("p2").alias("p2")).collect()}
-    few = 0.3 if kind == "gbt" else 1  # eight of sixty rounds have moved scores by so much
+    few = 0.3 if kind == "gbt" else 1  # eight of fifty rounds have moved scores by so much
     assert means[2]["p2"] > means[1]["p2"] + 0.3 * few
     if kind != "lr":  # shocks lie on both sides, which no straight line separates
         assert means[1]["p1"] > means[0]["p1"] + 0.1 * few
