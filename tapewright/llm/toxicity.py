@@ -1,4 +1,4 @@
-"""Toxicity by a weighted finite-state grammar over clauses, with a lexicon and arc weights learnt from labels."""
+"""Toxicity by a weighted finite-state grammar over clauses; lexicon, strengths of threats and arc weights are learnt."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from math import log, log1p
+from math import exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, fold, held, keep_by_text, labelled_sample, work_dir, written
-from .transducers import AIMED, INSULT, MARKS, NEGATED, NEGATION, REACH, REPORT, REPORTED, STOP, TARGET, THREAT, grammar
+from .inflections import inflections
+from .transducers import AIMED, INSULT, MARKS, NEGATED, NEGATION, REACH, REPORT, REPORTED, STOP, TARGET, THREAT, WORD, grammar
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents that the lexicon and the weights are learnt from, at most.
@@ -24,16 +25,20 @@ STEMS = (4, 5, 6, 7)
 #: A lexicon entry is in so many toxic documents at least, has so large a log odds ratio and so many deviations.
 LEAST_DOCS, LEAST_ODDS, LEAST_Z, ENTRIES = 5, 1.0, 4.0, 2000
 
-# Fixed word lists of the grammar, in English, German, French and Spanish.
+# Fixed word lists of the grammar, in English, German, French and Spanish; inflections.py has their inflected forms.
 THREATS = "kill hurt destroy burn beat shoot stab punish töten verletzen zerstören schlagen tuer blesser détruire frapper matar herir destruir golpear".split()
 TARGETS = "you your yours he she they them him her his their du dich dein ihr euch er sie tu te toi vous il elle ils tú usted ustedes él ella ellos".split()
 NEGATIONS = "not never no nor without isn aren don doesn didn won nicht nie kein keine jamais aucun nunca jamás".split()
-REPORTS = "said says told wrote called claimed reported quoted sagte schrieb behauptete dit écrit déclaré dijo escribió".split()
+REPORTS = "said says told wrote called claimed reported quoted sagte schrieb behauptete dit écrit déclaré prétend dijo escribió".split()
 
 #: What a match of each kind weighs before anything is learnt, relative to a plain insult, and what its marks make of it.
 PLAIN_THREAT, AIMED_THREAT, AIMED_INSULT, IF_NEGATED, IF_REPORTED = 0.2, 2.0, 1.3, 0.1, 0.4
-#: The strength of a threat; an insult's is its log odds ratio.
+#: The strength of a threat before anything is learnt; an insult's is its log odds ratio.
 THREAT_STRENGTH = 3.0
+#: Log odds that a target near a match speaks for before anything is learnt.
+TARGET_ODDS = 1.0
+#: How many documents the odds before learning count as much as.
+PRIOR_DOCS = 4.0
 #: How strongly the weight of a kind of match is held to its relative weight.
 HOLD = 2.0
 
@@ -67,17 +72,33 @@ class Grammar:
     Symbols are insults (of the learnt lexicon), threats, targets, negations, reports of speech, clause ends and other
     words. The machine puts out each insult and threat with its marks; a clause's score is the sum over kinds of marked
     matches of the kind's weight times the logarithm of one more than the strength of its matches in the clause.
+    ``learnt`` has the log odds that labels gave to threats, by lemma, and to targets; a target of less than 0, say an
+    article that looks like a pronoun, is a word like others.
     """
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: dict[str, float], learnt: dict[str, float] | None = None):
+        self.lexicon, self.learnt = lexicon, learnt or {}
+        self.lemma = inflections()
         self.symbols = Recent(self._symbol, 100_000)
         self.machine = grammar()
         self.plan = relative_weights().tolist()
 
-    def _symbol(self, word: str) -> tuple[int, float] | None:
+    def _lemma(self, word: str) -> str | None:
+        """The entry of the fixed lists that a word is or is a form of."""
         if word in _FIXED:
-            return _FIXED[word]
+            return word
+        lemma = self.lemma(word)
+        return lemma if lemma in _FIXED else None
+
+    def _symbol(self, word: str) -> tuple[int, float] | None:
+        lemma = self._lemma(word)
+        if lemma is not None:
+            kind, strength = _FIXED[lemma]
+            if kind == THREAT:
+                return kind, max(0.0, self.learnt.get(lemma, strength))
+            if kind != TARGET or self.learnt.get(lemma, TARGET_ODDS) >= 0:
+                return kind, strength
+            return None
         weights = [self.lexicon[f] for f in forms(word) if f in self.lexicon]
         return (INSULT, max(weights)) if weights else None
 
@@ -114,6 +135,24 @@ class Grammar:
         take(step[state][STOP][1])
         return [*out, clause] if clause else out, len(tokens)
 
+    def evidence(self, text: str) -> set[str]:
+        """Lemmas of the threats that are aimed, and of the targets near any match, if neither negated nor reported."""
+        out: set[str] = set()
+        clause: list[str] = []
+        for token in [*_TOKEN.findall(text.lower()), "."]:
+            if len(token) > 1 or token.isalpha():
+                clause.append(token)
+                continue
+            symbols = [self.symbols[w] for w in clause]
+            kinds = [s[0] if s else WORD for s in symbols]
+            at = [i for i, k in enumerate(kinds) if k in (INSULT, THREAT)]
+            for i, (kind, marks) in zip(at, self.machine.matches(kinds) if at else ()):
+                if marks == AIMED:
+                    near = range(max(0, i - REACH), min(len(kinds), i + REACH + 1))
+                    out.update(self._lemma(clause[j]) for j in near if kinds[j] == TARGET or (j == i and kind == THREAT))
+            clause = []
+        return out
+
     def features(self, text: str | None) -> list[float]:
         """Of a whole text: what its clauses have of each kind of match, then facts on the whole.
 
@@ -133,15 +172,15 @@ class Grammar:
 
 
 class ToxicityModel:
-    """A lexicon and the logistic weights: the constant, those of marked matches, those of the facts."""
+    """A lexicon, log odds of fixed words and the logistic weights: constant, marked matches, facts."""
 
-    def __init__(self, lexicon: dict[str, float], weights: np.ndarray):
-        self.lexicon, self.weights = lexicon, weights
+    def __init__(self, lexicon: dict[str, float], weights: np.ndarray, learnt: dict[str, float] | None = None):
+        self.lexicon, self.weights, self.learnt = lexicon, weights, learnt or {}
         self.name = f"grammar {uuid.uuid4().hex}"
 
     def grammar(self) -> Grammar:
         """One for each Python worker, so that its memo lasts from task to task."""
-        return held(self.name, lambda: Grammar(self.lexicon))
+        return held(self.name, lambda: Grammar(self.lexicon, self.learnt))
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + features @ self.weights[1:], -30, 30)))
@@ -189,7 +228,8 @@ def _document_counts(sample: DataFrame, only: frozenset[str] | None) -> DataFram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
-        known = Recent(lambda w: [] if w in _FIXED else [f for f in forms(w) if only is None or f in only], 200_000)
+        lemma = Grammar({})._lemma
+        known = Recent(lambda w: [] if lemma(w) else [f for f in forms(w) if only is None or f in only], 200_000)
         for batch in batches:
             for text in batch["text"]:
                 total.update({f for w in set(_TOKEN.findall(text.as_py().lower())) for f in known[w]})
@@ -217,12 +257,49 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
 
 
-def _features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+def learn_fixed(sample: DataFrame, lexicon: dict[str, float]) -> dict[str, float]:
+    """Log odds of threats that are aimed and of targets near matches, from a sample (text, y), by lemma.
+
+    See ``drawn_odds``; words that no document has so are left out. At most two rows are collected for each entry of
+    the fixed lists.
+    """
+    schema = pa.schema([("lemma", pa.string()), ("y", pa.int32()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[tuple[str, int]] = Counter()
+        g = Grammar(lexicon)
+        for batch in batches:
+            for text, y in zip(batch["text"], batch["y"].to_pylist()):
+                total.update((lemma, y) for lemma in g.evidence(text.as_py()))
+        lemmas, ys = zip(*total) if total else ((), ())
+        yield pa.record_batch([pa.array(lemmas, pa.string()), pa.array(ys, pa.int32()), pa.array(list(total.values()), pa.int64())], schema=schema)
+
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1 or not n0:
+        return {}
+    found: dict[str, list[int]] = {}
+    for r in sample.select("text", "y").mapInArrow(count, "lemma string, y int, n long").groupBy("lemma", "y").agg(F.sum("n").alias("n")).collect():
+        found.setdefault(r["lemma"], [0, 0])[r["y"]] = r["n"]
+    return {lemma: drawn_odds(a, b, n1, n0, TARGET_ODDS if _FIXED[lemma][0] == TARGET else THREAT_STRENGTH) for lemma, (b, a) in sorted(found.items())}
+
+
+def drawn_odds(a: int, b: int, n1: int, n0: int, before: float) -> float:
+    """Log odds that a document is toxic, of ``a`` toxic and ``b`` clean ones with a word, less those of all documents.
+
+    Counted with them are PRIOR_DOCS made-up documents whose log odds are ``before``.
+    """
+    all_odds = log(n1 / n0)
+    share = 1 / (1 + exp(-before - all_odds))
+    return log((a + PRIOR_DOCS * share) / (b + PRIOR_DOCS * (1 - share))) - all_odds
+
+
+def _features(docs: DataFrame, lexicon: dict[str, float], learnt: dict[str, float] | None = None) -> DataFrame:
     """(y, features) of a sample."""
     schema = pa.schema([("y", pa.int32()), ("features", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = Grammar(lexicon)
+        grammar = Grammar(lexicon, learnt)
         for batch in batches:
             yield pa.record_batch([batch["y"], pa.array([grammar.features(t.as_py()) for t in batch["text"]], pa.list_(pa.float64()))], schema=schema)
 
@@ -234,15 +311,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, at_most: int = LABELLED) ->
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, at_most)
     sample = written(sample.select("y", "text"), f"{work_dir(docs.sparkSession)}/sample")
     lexicon = learn_lexicon(sample)
-    rows = _features(sample, lexicon).toArrow()
+    learnt = learn_fixed(sample, lexicon)
+    rows = _features(sample, lexicon, learnt).toArrow()
     y = np.array(rows["y"].to_pylist(), float)
     x = np.array(rows["features"].to_pylist(), float).reshape(len(y), -1) if len(y) else np.zeros((0, FEATURES))
     if len(set(y)) < 2:  # nothing to tell apart
         share = float(y.mean()) if len(y) else 0.0
         weights = np.zeros(FEATURES + 1)
         weights[0] = np.log((share + 1e-3) / (1 - share + 1e-3))
-        return ToxicityModel(lexicon, weights)
-    return ToxicityModel(lexicon, fit_weights(x, y))
+        return ToxicityModel(lexicon, weights, learnt)
+    return ToxicityModel(lexicon, fit_weights(x, y), learnt)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tapewright.llm import langid, quality, toxicity, transducers
+from tapewright.llm import inflections, langid, quality, toxicity, transducers
 from tapewright.llm.common import keep_by_text
 
 from .helpers import documents, odd_rows
@@ -86,7 +86,7 @@ LEXICON = {"blarg": 2.0, "snerf": 1.5, "grub-": 1.0}
 CLAUSE_WORDS = ["blarg", "snerfs", "grubnak", "kill", "you", "him", "not", "never", "said", "the", "a", "house", "12", "."]
 
 
-def plain_features(text, lexicon):
+def plain_features(text, lexicon, learnt={}):
     """The features by positions of words, clause by clause."""
     words = re.findall(r"[^\W\d_]+|[.!?;:\n]", (text or "").lower())
     clauses, out, total, matched, plan = [[]], np.zeros(toxicity.FEATURES), 0.0, 0, toxicity.relative_weights()
@@ -98,8 +98,9 @@ def plain_features(text, lexicon):
     fixed = {w: k for k, ws in ((transducers.THREAT, toxicity.THREATS), (transducers.TARGET, toxicity.TARGETS), (transducers.NEGATION, toxicity.NEGATIONS), (transducers.REPORT, toxicity.REPORTS)) for w in ws}
     for clause in clauses:
         strength = [max((lexicon[f] for f in toxicity.forms(w) if f in lexicon), default=0.0) for w in clause]
+        fixed = {w: k for w, k in fixed.items() if k != transducers.TARGET or learnt.get(w, 1) >= 0}
         kinds = [fixed[w] if w in fixed else transducers.INSULT if s else transducers.WORD for w, s in zip(clause, strength)]
-        strength = [s if k == transducers.INSULT else toxicity.THREAT_STRENGTH for k, s in zip(kinds, strength) if k in (transducers.INSULT, transducers.THREAT)]
+        strength = [s if k == transducers.INSULT else max(0, learnt.get(w, toxicity.THREAT_STRENGTH)) for w, k, s in zip(clause, kinds, strength) if k in (transducers.INSULT, transducers.THREAT)]
         sums = {}
         for (k, marks), s in zip(by_position(kinds), strength):
             at = marks + transducers.MARKS * (k == transducers.THREAT)
@@ -146,11 +147,11 @@ def test_negation_report_target_and_threat_each_matter(spark, monkeypatch):
     model = toxicity.fit_toxicity(docs, labels)
 
     def accuracy(m):
-        got = {i: m.scores(np.array([toxicity.Grammar(m.lexicon).features(t)]))[0] >= 0.5 for i, t in rows if held(i, 5, 0)}
+        got = {i: m.scores(np.array([toxicity.Grammar(m.lexicon, m.learnt).features(t)]))[0] >= 0.5 for i, t in rows if held(i, 5, 0)}
         return np.mean([v == truth[i] for i, v in got.items()])
 
     got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels, model).collect()}
-    want = model.scores(np.array([plain_features(t, model.lexicon) for _, t in rows]))
+    want = model.scores(np.array([plain_features(t, model.lexicon, model.learnt) for _, t in rows]))
     assert np.allclose([got[i] for i, _ in rows], want)
     whole = accuracy(model)
     assert whole > 0.97
@@ -160,6 +161,48 @@ def test_negation_report_target_and_threat_each_matter(spark, monkeypatch):
         assert accuracy(model) < whole - 0.03, (kind, whole, accuracy(model))
 
 
+def test_inflections_are_the_products_of_their_parts():
+    """Every beginning, stem and ending put together gives the first such paradigm's lemma, and nothing else does."""
+    want = {}
+    part = lambda words: ["" if w == "-" else w for w in words.split()]
+    for p in inflections.PARADIGMS:
+        for b, (stem, lemma), e in itertools.product(part(p.beginnings), p.lemmas().items(), part(p.endings)):
+            want.setdefault(b + stem + e, lemma)
+    found = inflections.inflections()
+    assert all(found(w) == lemma for w, lemma in want.items())
+    near = {w[:-1] for w in want} | {w + "x" for w in want} | {"ge" + w for w in want} | {"", "here", "hero", "tu", "mate", "time"}
+    assert all(found(w) == want.get(w) for w in near)
+    assert set(want.values()) <= set(toxicity._FIXED)
+    g = toxicity.Grammar({})
+    for text in ("he kills you", "stabbing them", "er schlägt dich", "ils blessaient vous", "matando usted"):
+        assert [set(c) for c in g.clauses(text)[0]] == [{transducers.MARKS + transducers.AIMED}], text
+    reported = transducers.MARKS + (transducers.AIMED | transducers.REPORTED)
+    assert set(g.clauses("il prétend vous tuer")[0][0]) == {reported} == set(g.clauses("sie sagten er tötet dich")[0][0])
+
+
+def test_labels_weigh_threats_and_targets(spark):
+    """A threat that clean texts aim too loses its strength, a target that stands near matches in clean texts is none."""
+    rng, rows, labels = random.Random(21), [], []
+    for i in range(1200):
+        y = i % 3 == 0
+        clause = rng.choice(["we will kill you", "such a blarg are you"] if y else ["we beat you at chess", "the blarg of il road"])
+        rows.append((i, f"the lake and the road. {clause}. " + " ".join(rng.choice(["tree", "stone", "time", "now"]) for _ in range(6))))
+        labels.append((i, 1, int(y), "x"))
+    lexicon = {"blarg": 2.0}
+    truth = {i: t for i, _, t, _ in labels}
+    sample = spark.createDataFrame([(t, truth[i]) for i, t in rows], "text string, y int").repartition(5)
+    learnt = toxicity.learn_fixed(sample, lexicon)
+    counts = {w: [sum(f(t) and truth[i] == y for i, t in rows) for y in (1, 0)] for w, f in (("kill", lambda t: "kill you" in t), ("beat", lambda t: "beat you" in t), ("il", lambda t: "of il" in t), ("you", lambda t: "you" in t))}
+    sizes = sum(truth.values()), len(rows) - sum(truth.values())
+    before = {"kill": toxicity.THREAT_STRENGTH, "beat": toxicity.THREAT_STRENGTH}
+    assert learnt == {w: pytest.approx(toxicity.drawn_odds(a, b, *sizes, before.get(w, toxicity.TARGET_ODDS))) for w, (a, b) in counts.items()}
+    assert learnt["kill"] > 2 and learnt["beat"] < 0 and learnt["il"] < 0 < learnt["you"]
+    g = toxicity.Grammar(lexicon, learnt)
+    assert g.clauses("a blarg il saw")[0] == [{0: 2.0}] and g.clauses("beats you")[0] == [{transducers.MARKS + transducers.AIMED: 0.0}]
+    assert toxicity.learn_fixed(sample.where("y = 1"), lexicon) == {} == toxicity.learn_fixed(sample.limit(0), lexicon)
+    assert toxicity.drawn_odds(0, 0, 10, 90, 3.0) == pytest.approx(3.0)  # nothing seen
+
+
 def test_kinds_without_labels_keep_their_share():
     rng = np.random.default_rng(14)
     x = np.zeros((400, toxicity.FEATURES))
