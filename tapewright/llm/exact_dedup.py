@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, bounded, unused, work_dir, written
 
-#: Shortest and longest chunk, in UTF-16 units.
+#: Shortest and longest chunk, in bytes of UTF-8, but for what the cut itself matches.
 MIN_CHUNK, MAX_CHUNK = 512, 4096
-#: A chunk ends behind one of these letters, a space and one of those letters: a rule on content, so that the same
+#: Of last bytes of characters of several bytes, one in eight.
+_EIGHTH = r"[\x84\x8B\x92\x9B\xA4\xAB\xB2\xBB]"
+#: A chunk ends behind one of these letters, a space and one of those letters, or, in scripts whose characters have
+#: several bytes, behind two in sequence that end in such a byte, before a third: a rule on content, so that the same
 #: passage is cut alike wherever it stands. Text without such a place is cut at the longest length.
-CUT = r"[dnrs] [acmtw]"
+CUT = rf"[dnrs] [acmtw]|{_EIGHTH}[\xC2-\xF4][\x80-\xBF]{{0,2}}{_EIGHTH}(?=[\xC2-\xF4])"
 
 
 def normalised(text: Column) -> Column:
@@ -20,8 +23,12 @@ def normalised(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """The content-defined chunks of a text, in order; joined they are the text. Empty text has none."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?{CUT}|.{{1,{MAX_CHUNK}}}"), F.lit(0))
+    """The content-defined chunks of a text, in order, a character for each byte of UTF-8; joined they are the text.
+
+    Empty text has none.
+    """
+    by_byte = F.decode(text.cast("binary"), "ISO-8859-1")
+    return F.regexp_extract_all(by_byte, F.lit(rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?(?:{CUT})|.{{1,{MAX_CHUNK}}}"), F.lit(0))
 
 
 def strong_keys(chunk: Column) -> list[Column]:

@@ -48,7 +48,23 @@ def test_colliding_chunk_hashes_are_told_apart(spark):
 def test_chunks_join_to_the_text(spark):
     rows = [(i, t) for i, (_, t) in enumerate([*odd_rows(), *random_rows(3), (0, "😀" * 9000), (0, "x" * 20_000)])]
     got = documents(spark, rows).select("doc_id", exact_dedup.chunks(exact_dedup.normalised(F.col("text"))).alias("c")).collect()
-    assert {r["doc_id"]: "".join(r["c"]) for r in got} == {i: norm(t) for i, t in rows}
+    assert {r["doc_id"]: "".join(r["c"]).encode("latin-1").decode() for r in got} == {i: norm(t) for i, t in rows}
+
+
+def test_chunks_follow_the_content_in_every_script(spark):
+    """A long passage behind different beginnings is mostly cut into the same chunks."""
+    rng = random.Random(31)
+    alphabets = ["etaoinshrdlu cmwfg ", "оеаинтсрвлкмдпуяы ", "αοιετσνηυρπκμλ ", "ابتثجحخدرزسشعفقكلمنهوي ", "कखगघचछजझटठडढणतथदधन ", "".join(map(chr, range(0x4E00, 0x4E00 + 500)))]
+    rows = []
+    for k, letters in enumerate(alphabets):
+        text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+        passage = text(20_000)
+        rows += [(2 * k, text(700) + passage), (2 * k + 1, text(1900) + passage)]
+    got = documents(spark, rows).select("doc_id", exact_dedup.chunks(exact_dedup.normalised(F.col("text"))).alias("c")).collect()
+    cut = {r["doc_id"]: set(r["c"]) for r in got}
+    for k, letters in enumerate(alphabets):
+        a, b = cut[2 * k], cut[2 * k + 1]
+        assert len(a) > 15 and len(a & b) > 0.8 * len(a), (letters[:5], len(a), len(a & b))
 
 
 def test_drop_exact_copies_keeps_columns(spark):
