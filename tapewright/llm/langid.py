@@ -22,7 +22,7 @@ ROUNDS, SETTLED = 25, 1e-4
 #: repeat each other's evidence.
 PENALTY = 3.0
 UNKNOWN = "und"
-#: Languages that can be told apart, at most: what is sent to the executors has 256 kB for each.
+#: Languages that can be told apart, at most: what is sent to the executors has 128 kB for each.
 MOST_LANGUAGES = 1000
 
 
@@ -74,16 +74,9 @@ class Mixture:
     def __init__(self, langs: list[str], counts: np.ndarray):
         """``counts``: (languages, BUCKETS)."""
         self.langs = langs
-        smooth = counts + SMOOTHING
-        self.p = smooth / smooth.sum(axis=1, keepdims=True)
-        self.log_p = np.log(self.p)
-
-    def __getstate__(self) -> tuple[list[str], np.ndarray]:
-        return self.langs, self.p  # the logarithms are taken again where it arrives
-
-    def __setstate__(self, state: tuple[list[str], np.ndarray]) -> None:
-        self.langs, self.p = state
-        self.log_p = np.log(self.p)
+        p = counts + np.float32(SMOOTHING)
+        p /= p.sum(axis=1, keepdims=True, dtype=np.float64)
+        self.p = p.astype(np.float32, copy=False)
 
     @staticmethod
     def _fit(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
@@ -111,8 +104,8 @@ class Mixture:
         n = np.bincount(found, minlength=BUCKETS)
         some = np.flatnonzero(n)
         n = n[some].astype(float)
-        p = self.p[:, some]
-        single = self.log_p[:, some] @ n
+        p = self.p[:, some].astype(float)
+        single = np.log(p) @ n
         best = int(single.argmax())
         cost = PENALTY * np.log(max(len(found) / GRAM, 2.0)) / 2
         share, most = self._fit(p, n)
@@ -129,19 +122,25 @@ class Mixture:
 
 
 def fit_mixture(docs: DataFrame) -> Mixture:
-    """Collects one number for each language and bucket, whatever the number of documents.
+    """Collects BUCKETS numbers of four bytes for each language, whatever the number of documents.
 
     More than MOST_LANGUAGES values of lang are an error: then they aren't languages.
     """
     counts = ngram_counts(docs)
     if (n := docs.select("lang").distinct().limit(MOST_LANGUAGES + 2).count()) > MOST_LANGUAGES + 1:
         raise ValueError(f"{n} values of lang or more, where at most {MOST_LANGUAGES} are expected")
-    rows = counts.toArrow()
-    langs = sorted(set(rows["lang"].to_pylist()))
-    counts = np.zeros((len(langs), BUCKETS))
-    at = {lang: i for i, lang in enumerate(langs)}
-    counts[[at[lang] for lang in rows["lang"].to_pylist()], rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return Mixture(langs, counts)
+
+    def row(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        """A language's counts, BUCKETS rows at most, as one row of numbers."""
+        n = np.zeros(BUCKETS, np.float32)
+        n[found["bucket"].to_numpy()] = found["n"].to_numpy()
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "n": pa.array([n.tobytes()], pa.binary())})
+
+    rows = counts.groupBy("lang").applyInArrow(row, "lang string, n binary").toArrow().sort_by("lang")
+    counts = np.zeros((len(rows), BUCKETS), np.float32)
+    for at, n in enumerate(rows["n"]):
+        counts[at] = np.frombuffer(n.as_buffer(), np.float32)
+    return Mixture(rows["lang"].to_pylist(), counts)
 
 
 def detect_languages(docs: DataFrame, model: Mixture | None = None) -> DataFrame:
