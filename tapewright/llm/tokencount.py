@@ -17,7 +17,7 @@ from .pretokens import PATTERN, UnitMemo, compiled
 NEVER = 1 << 60
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Matches of the pattern that, cut after their first letter, are two matches.
-CUT_SHORT = ("'re", "'ve", "'ll")
+CUT_SHORT = frozenset(("'re", "'ve", "'ll"))
 
 
 def byte_letters() -> dict[str, int]:
@@ -33,14 +33,17 @@ LONGEST_KEPT = 200
 
 def packed(counts: list[int] | bytes | tuple) -> bytes | tuple:
     """Counts in as few bytes as they need; both forms are read by index."""
-    return tuple(counts) if counts[-1] > 255 or max(counts) > 255 else bytes(counts)
+    try:
+        return bytes(counts)
+    except ValueError:  # one is above 255
+        return tuple(counts)
 
 
 def joined(arrays: Iterable[bytes | tuple | list[int]]) -> list[int]:
     """The counts of all prefixes of stretches that follow each other."""
     out, base = [0], 0
     for kept in arrays:
-        out += [base + c for c in kept[1:]]
+        out += [base + c for c in kept[1:]] if base else kept[1:]
         base += kept[-1]
     return out
 
@@ -53,7 +56,8 @@ class TokenCounter:
 
     The encoding of a prefix ends in one token, and what stands before that token is the encoding of a shorter prefix.
     So from left to right each position needs only the token that ends there: the one whose pair with the last token of
-    the prefix before it would be left as it is by the merges. Counts follow by adding one.
+    the prefix before it would be left as it is by the merges. Counts follow by adding one. Only tokens that end at a
+    position are tried there: an automaton over the bytes, filled as texts need it, gives them, longest first.
     """
 
     def __init__(self, path: str):
@@ -70,7 +74,7 @@ class TokenCounter:
             self.rank.setdefault(key, r)
             self.parts.setdefault(number[a + b], (*key, r))
         self.tokens = {t: i for t, i in vocab.items() if len(t) == 1 or i in self.parts}
-        self.longest = max(map(len, self.tokens))
+        self.begun = {t[:k] for t in self.tokens for k in range(len(t) + 1)}
         added = spec.get("added_tokens", [])
         if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
             raise ValueError("added tokens that look at their neighbours aren't supported")
@@ -80,6 +84,7 @@ class TokenCounter:
         self.right = Recent(lambda t: self._edge(t, 1), 200_000)
         self.left = Recent(lambda t: self._edge(t, 0), 200_000)
         self.fits = Recent(self._fits, 400_000)
+        self.endings = Recent(self._endings, 100_000)
         self.pretokens = Recent(lambda p: packed(self._by_characters(p)), 300_000, LONGEST_KEPT)
         self.arrays = UnitMemo(lambda unit: packed(self._of_stretch(unit)), 200_000, LONGEST_KEPT)
 
@@ -108,13 +113,21 @@ class TokenCounter:
             else:
                 j += 1
 
+    def _endings(self, read: bytes) -> tuple[bytes, tuple[tuple[int, int], ...]]:
+        """The longest end of what was read that begins a token, and the tokens that end with it: (token, bytes)."""
+        while read not in self.begun:
+            read = read[1:]
+        ends = [read[i:] for i in range(len(read))]
+        return read, tuple((self.tokens[t], len(t)) for t in ends if t in self.tokens)
+
     def prefixes(self, data: bytes) -> list[int]:
         """Counts of the prefixes of one pretoken, by bytes; the first entry is 0."""
-        count, last = [0], [-1]
+        count, last, state, endings, fits = [0], [-1], b"", self.endings, self.fits
         for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.tokens.get(data[start:end])
-                if token is not None and (not start or self.fits[last[start], token]):
+            state, ending = endings[state + data[end - 1 : end]]
+            for token, size in ending:
+                start = end - size
+                if not start or fits[last[start], token]:
                     count.append(count[start] + 1)
                     last.append(token)
                     break
@@ -144,8 +157,10 @@ class TokenCounter:
         found = self.findall(unit)
         if len(found) == 1 and found[0] not in CUT_SHORT:
             return self.pretokens[unit]
+        if unit[1] not in SPACES and CUT_SHORT.isdisjoint(found):  # a prefix's matches are those of the unit, the last one cut
+            return joined(map(self.pretokens.__getitem__, found))
         spaces = len(unit) - len(unit.lstrip(SPACES))
-        out = self._by_characters(unit[:spaces])  # white space at the end of a prefix is one pretoken
+        out = [*self.pretokens[unit[:spaces]]]  # white space at the end of a prefix is one pretoken
         base = at = 0
         for pretoken in found:
             end, kept = at + len(pretoken), self.pretokens[pretoken]
@@ -178,9 +193,7 @@ class TokenCounter:
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; special strings in it are one token each, as in the library."""
-        if not text:
-            return 0
-        return sum([kept[-1] for kept in (self.stretches(text) if self.has_special(text) else self.arrays(text))])
+        return self.count_and_cut(text)[0]
 
     def prefix_counts(self, text: str | None) -> list[int]:
         """Tokens of text[:k] for every k from 0 to its length, each as encoding that prefix alone would give."""
@@ -188,15 +201,24 @@ class TokenCounter:
 
     def longest_prefix(self, text: str | None, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens, read from the arrays up to where it ends."""
+        return self.count_and_cut(text, budget)[1]
+
+    def count_and_cut(self, text: str | None, budget: int | None = None) -> tuple[int, int]:
+        """Both of the above from one reading of the text; without a budget the whole text is the prefix."""
         text = text or ""
-        if self.has_special(text):  # a cut inside a special string can have fewer tokens than one before it
-            return max(k for k, c in enumerate(self.prefix_counts(text)) if c <= budget)
+        special = self.has_special(text)
+        arrays = [*self.stretches(text)] if special else self.arrays(text)
+        n = sum([kept[-1] for kept in arrays])
+        if budget is None or n <= budget:
+            return n, len(text)
+        if special:  # a cut inside a special string can have fewer tokens than one before it
+            return n, max(k for k, c in enumerate(joined(arrays)) if c <= budget)
         used = at = 0
-        for kept in self.arrays(text):
+        for kept in arrays:
             if used + kept[-1] > budget:
-                return at + max(k for k, c in enumerate(kept) if used + c <= budget)
+                return n, at + max(k for k, c in enumerate(kept) if used + c <= budget)
             used, at = used + kept[-1], at + len(kept) - 1
-        return at
+        return n, at
 
 
 def counter(path: str) -> TokenCounter:
@@ -221,8 +243,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, prefixes: bool =
             out = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 text = text.as_py() or ""
-                n = c.count(text)
-                cut = c.longest_prefix(text, limit) if n > limit else len(text)
+                n, cut = c.count_and_cut(text, limit)
                 out.append((doc, len(text.encode("utf-8", "replace")), n, n > limit, cut, *([c.prefix_counts(text)] if prefixes else [])))
             yield pa.record_batch([pa.array(col, f.type) for col, f in zip(zip(*out) if out else [()] * len(schema), schema)], schema=schema)
 

@@ -8,6 +8,7 @@ import pytest
 
 from tapewright.llm.bpe import Bpe, RankQueue, bpe_digests
 from tapewright.llm.packing import OpenWindows, best_fit_decreasing, packed_documents
+from tapewright.llm.pretokens import UnitMemo
 from tapewright.llm.tokencount import TokenCounter, token_counts
 
 from .helpers import documents, odd_rows
@@ -93,6 +94,38 @@ def test_counts_are_read_from_kept_arrays(library, monkeypatch):
     assert len(counter.arrays.plain) < 2000 and not any(len(u) > 200 for u in counter.arrays.plain)
 
 
+def test_count_and_cut_come_from_one_reading(library, monkeypatch):
+    counter = TokenCounter(public.path("byte_bpe_50k.json"))
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for t in [*texts(80, 9), "", None, "some words<|endoftext|>and <|endoftext|>"]:
+        want = [n((t or "")[:k]) for k in range(len(t or "") + 1)]
+        for budget in (0, 2, 512):
+            assert counter.count_and_cut(t, budget) == (want[-1], max(k for k, c in enumerate(want) if c <= budget)), repr(t)
+    read, call = [], UnitMemo.__call__
+    monkeypatch.setattr(UnitMemo, "__call__", lambda memo, text: read.append(text) or call(memo, text))
+    assert counter.count_and_cut("one two three four", 2) == (4, len("one two"))
+    assert read == ["one two three four"]
+
+
+def test_each_pretoken_is_computed_once(monkeypatch):
+    counter, seen = TokenCounter(public.path("byte_bpe_50k.json")), []
+    prefixes = counter.prefixes
+    monkeypatch.setattr(counter, "prefixes", lambda data: seen.append(data) or prefixes(data))
+    for t in ("Haanth, reoush. haanth; Reoush.\nHaanth, reoush!", "haanth, reoush. \n reoush; don't we're  haanth:"):
+        counter.count(t)
+    assert len(seen) == len(set(seen))
+
+
+def test_a_position_tries_only_tokens_that_end_there(library, monkeypatch):
+    """Stretches of text that are no tokens are not looked up: what ends where is known from the bytes read so far."""
+    counter = TokenCounter(public.path("byte_bpe_50k.json"))
+    words = [" vergangenheitsbew", "thendouantiing", "x" * 300, "-" * 200, " ererthwhion"]
+    want = [[len(library.encode(w[:k], add_special_tokens=False).ids) for k in range(len(w) + 1)] for w in words]
+    assert [counter.prefixes(w.encode()) for w in words] == want
+    monkeypatch.setattr(counter, "tokens", None)
+    assert [counter.prefixes(w.encode()) for w in words] == want
+
+
 def test_token_counts_of_odd_rows(spark, library):
     rows = odd_rows()
     got = token_counts(documents(spark, rows), public.path("byte_bpe_50k.json"), prefixes=True).collect()
